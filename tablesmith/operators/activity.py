@@ -93,5 +93,6 @@ def purge_owner(tables: dict[str, tuple[DataFrame, str]], ids) -> dict[str, Data
     values = list(ids)
     for name, (df, owner) in tables.items():
         require_columns(df, [owner])
-        out[name] = df.filter(~F.coalesce(qcol(owner).isin(values), F.lit(False)))
+        # rows without an owner stay; the NOT IN part is pushed to the scan
+        out[name] = df.filter(qcol(owner).isNull() | ~qcol(owner).isin(values))
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol, require_columns
 from tablesmith.functions.numbers import js_number
-from tablesmith.operators.profile import quantile_exprs
+from tablesmith.operators.quantiles import grouped_quantiles, quantile_agg
 
 # Fixed value: bucket name for a missing category.
 MISSING = "__MISSING__"
@@ -110,17 +110,24 @@ def histogram(df: DataFrame, x: str, bins: int = 20, nulls: str = "zero") -> Dat
         "bin", "lo", "hi", F.coalesce(F.col("n"), F.lit(0)).alias("n"))
 
 
-def boxplot(df: DataFrame, x: str, y: str, nulls: str = "zero", exact: bool = True,
+def boxplot(df: DataFrame, x: str, y: str, nulls: str = "zero", method: str = "distributed",
             accuracy: int = 10000) -> DataFrame:
     """(key, min, q1, median, q3, max) per category; quantiles interpolate linearly.
 
-    exact=False uses a bounded-memory sketch (rank error 1/accuracy) for very large
-    groups; exact keeps a value->count map per group.
+    method="distributed": exact, by rank selection over range partitions (a hot category
+    is spread over many tasks); "map": Spark's exact `percentile`; "approx": a sketch with
+    rank error 1/accuracy.
     """
     v = value_of(df, y, nulls)
-    q = quantile_exprs(v, (0.25, 0.5, 0.75), exact, accuracy)
-    out = df.filter(v.isNotNull()).groupBy(category_key(df, x).alias("key")).agg(
-        F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
+    base = df.select(category_key(df, x).alias("key"), v.alias("v")).filter(F.col("v").isNotNull())
+    stats = base.groupBy("key").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    if method == "distributed":
+        qs = grouped_quantiles(base, ["key"], "v", [0.25, 0.5, 0.75])
+        out = stats.join(qs, "key")
+    else:
+        out = base.groupBy("key").agg(F.min("v").alias("min"),
+                                      quantile_agg(F.col("v"), (0.25, 0.5, 0.75), method, accuracy).alias("q"),
+                                      F.max("v").alias("max"))
     return out.select("key", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                       F.col("q")[2].alias("q3"), "max")
 

@@ -1,11 +1,13 @@
-"""Pearson correlation in one aggregation, with two null treatments.
+"""Pearson correlation in one pass, with two null treatments.
 
 nulls="zero":     a missing value counts as 0 (what the reference's `stat.corr` and the
                   browser heat map do).
 nulls="pairwise": only rows where both values are present.
 
-A zero-variance column gives NULL, never an error: ANSI mode raises on `corr` of a
-constant, so r = try_divide(covar_pop, stddev_pop(a) * stddev_pop(b)).
+A zero-variance column gives NULL, never an error. All pairs come from one pass of
+per-partition co-moments (operators/comoments.py); `pearson()` is the single-pair
+aggregate expression, r = try_divide(covar_pop, stddev_pop(a) * stddev_pop(b)) (ANSI mode
+raises on `corr` of a constant).
 """
 
 from __future__ import annotations
@@ -15,10 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import chunks, numeric_columns, qcol, require_columns
+from tablesmith.functions.columns import numeric_columns, qcol, require_columns
+from tablesmith.operators.comoments import pair_moments, pearson_from_moments
 
-# Pair expressions per aggregation (each is three aggregates).
-PAIR_CHUNK = 256
 # Above this many columns the zero-filled matrix is computed with ml.stat.Correlation
 # (one Gramian pass) instead of N^2/2 SQL aggregates.
 MATRIX_THRESHOLD = 48
@@ -49,16 +50,21 @@ def pearson(a: str, b: str, nulls: str = "zero", min_count: int | None = None) -
 
 def _pairs_agg(df: DataFrame, pairs: list[tuple[str, str]], nulls: str,
                min_count: int | None = None) -> DataFrame:
-    parts = []
-    for chunk in chunks(pairs, PAIR_CHUNK):
-        if not chunk:
-            continue
-        structs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                            pearson(a, b, nulls, min_count).alias("r")) for a, b in chunk]
-        parts.append(df.agg(F.array(*structs).alias("p")).select(F.inline("p")))
-    if not parts:
+    """(a, b, r) for the listed pairs from one co-moment pass over their columns."""
+    if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    return reduce(lambda x, y: x.unionByName(y), parts)
+    cols = list(dict.fromkeys([c for p in pairs for c in p]))
+    pos = {c: i for i, c in enumerate(cols)}
+    m = pearson_from_moments(pair_moments(df, cols, nulls))
+    wanted = df.sparkSession.createDataFrame(
+        [(pos[a], pos[b], a, b) for a, b in pairs], "i int, j int, a string, b string")
+    r = F.col("r")
+    if min_count is not None:
+        r = F.when(F.col("n") < min_count, F.lit(0.0)).otherwise(r)
+    out = F.broadcast(wanted).join(m, ["i", "j"], "left")  # at most len(cols)^2 pairs
+    if min_count is not None:  # no complete pair at all: fewer than min_count
+        r = F.when(F.col("n").isNull(), F.lit(0.0)).otherwise(r)
+    return out.select("a", "b", r.alias("r"))
 
 
 def _matrix_by_gramian(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -72,7 +72,9 @@ def area_under_roc(df: DataFrame, label: str = "label", score: str = "score",
     s = df.select(qcol(score).cast("double").alias("s"),
                   (qcol(label).cast("double") == 1.0).cast("long").alias("pos")) \
           .filter(F.col("s").isNotNull())
-    g = s.groupBy("s").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n"))
+    # distinct scores are read twice (cut points, then ranks): materialise them once in
+    # the shared checkpoint folder, which also cuts the lineage
+    g = s.groupBy("s").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n")).checkpoint(eager=True)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = g.agg(F.percentile_approx("s", probs, 10000).alias("c")).first()["c"] or []
     splits = [float("-inf")] + sorted({float(c) for c in cuts}) + [float("inf")]

@@ -117,31 +117,37 @@ def drop_empty_constant(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.drop(*dropped), report
 
 
-def quantile_exprs(c, probs, exact: bool = True, accuracy: int = 10000):
-    """Quantiles with linear interpolation (exact) or a bounded-memory sketch (approx)."""
-    if exact:
-        return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
-    return F.percentile_approx(c, [float(p) for p in probs], accuracy)
+QUARTILES = (0.25, 0.5, 0.75)
 
 
-def describe(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column, count, mean, std, min, q1, median, q3, max) for numeric columns, one pass."""
+def describe(df: DataFrame, cols: list[str] | None = None, method: str = "distributed",
+             accuracy: int = 10000) -> DataFrame:
+    """(column, count, mean, std, min, q1, median, q3, max) for numeric columns.
+
+    Moments come from one aggregation; exact quartiles from the distributed rank
+    selection over all columns at once (method="map" / "approx": inside the same agg).
+    """
+    from tablesmith.operators.quantiles import grouped_quantiles, long_values, quantile_agg
     if cols is None:
         cols = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if not cols:
         raise ValueError("no numeric columns to describe")
+    inline_q = method != "distributed"
     parts = []
     for chunk in chunks(cols, AGG_CHUNK // 4):
         structs = []
         for name in chunk:
             c = qcol(name).cast("double")
-            q = quantile_exprs(c, (0.25, 0.5, 0.75), exact)
-            structs.append(F.struct(
-                F.lit(name).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q.alias("q"),
-                F.max(c).alias("max")))
+            fields = [F.lit(name).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
+                      F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+            if inline_q:
+                fields.append(quantile_agg(c, QUARTILES, method, accuracy).alias("q"))
+            structs.append(F.struct(*fields))
         parts.append(df.agg(F.array(*structs).alias("s")).select(F.inline("s")))
     out = _union(parts)
+    if not inline_q:
+        qs = grouped_quantiles(long_values(df, cols), ["__col"], "__val", list(QUARTILES))
+        out = out.join(qs.withColumnRenamed("__col", "column"), "column", "left")
     return out.select("column", "count", "mean", "std", "min",
                       F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                       F.col("q")[2].alias("q3"), "max")

@@ -25,6 +25,15 @@ from tablesmith.operators.train import choose_algorithm, make_estimator
 from tablesmith.sources.sinks import save_model
 
 
+# A categorical feature is one-hot encoded only up to this many levels (approximate
+# count): the fitted indexer keeps every level on the driver and in the saved model, and
+# an identifier-like text column (one level per row) would make a vector as wide as the
+# table. Skipped columns are reported in `notes`; pass None to encode every column.
+MAX_CATEGORIES = 1_000
+# Classification targets above this many classes are refused for the same reason.
+MAX_CLASSES = 10_000
+
+
 @dataclass
 class TrainResult:
     model: object
@@ -84,7 +93,8 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
           algorithm: str | None = None, categorical: bool = True, features: str | list[str] = "",
           threshold: float = fx.CORR_THRESHOLD, split_keys: list[str] | None = None,
           fraction: float = fx.TRAIN_FRACTION, split: str = "hash", nulls: str = "zero",
-          max_categories: int | None = None, match: str = "substring",
+          max_categories: int | None = MAX_CATEGORIES, max_classes: int = MAX_CLASSES,
+          match: str = "substring",
           save_path: str | None = None, drop_rules: bool = True) -> TrainResult:
     """Fit and evaluate one model; see the module doc for the steps."""
     spark = df.sparkSession
@@ -99,6 +109,9 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
 
     labels = None
     if task == "classification":
+        n_classes = df.agg(F.approx_count_distinct(qcol(target)).alias("n")).first()["n"]
+        if n_classes > max_classes:
+            raise ValueError(f"target {target!r} has about {n_classes} classes (max_classes={max_classes})")
         idx_model, lab = fx.index_label(df, target)
         labels = list(idx_model.labels)
     else:
@@ -149,17 +162,23 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
 
     preds = model.transform(test_df)
     names = [_clean_slot(n) for n in ev.slot_names(preds, fx.FEATURES)]
+    # the test part is scored once: the metric passes read the persisted predictions and
+    # the handful of metric rows is materialised before the cache is released
+    scored = preds.persist(StorageLevel.MEMORY_AND_DISK)
     if task == "regression":
-        metrics = ev.regression_metrics(preds, fx.LABEL, "prediction")
+        rows = ev.regression_metrics(scored, fx.LABEL, "prediction").collect()
     else:
-        metrics = ev.classification_metrics(preds, fx.LABEL, "prediction")
-        n_test_labels = preds.select(fx.LABEL).distinct().limit(3).count()
+        conf = ev.confusion_counts(scored, fx.LABEL, "prediction").collect()
+        rows = ev.classification_metrics(scored, fx.LABEL, "prediction").collect()
+        n_test_labels = len({r["label"] for r in conf})
         if n_test_labels == 2 and "rawPrediction" in preds.columns:
             from pyspark.ml.functions import vector_to_array
-            scored = preds.select(fx.LABEL, vector_to_array("rawPrediction")[1].alias("score"))
-            metrics = metrics.unionByName(ev.area_under_roc(scored, fx.LABEL, "score"))
+            sc_df = scored.select(fx.LABEL, vector_to_array("rawPrediction")[1].alias("score"))
+            rows += ev.area_under_roc(sc_df, fx.LABEL, "score").collect()
         else:
             notes.append("auc left out: the test part does not have exactly two labels")
+    scored.unpersist()
+    metrics = spark.createDataFrame([(r["metric"], r["value"]) for r in rows], "metric string, value double")
     last = model.stages[-2] if labels is not None else model.stages[-1]
     if hasattr(last, "featureImportances"):
         importances = ev.feature_importance(spark, last, names)

@@ -17,14 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             infer: bool = True) -> DataFrame:
-    """CSV with a header row. Inference costs one extra pass over the input, so pass
-    `schema` when it is known (and reuse one inferred schema across reads)."""
+             infer: bool = True, sampling_ratio: float = 1.0) -> DataFrame:
+    """CSV with a header row. Inference costs one extra pass over the input (or over a
+    `sampling_ratio` share of it), so pass `schema` when it is known and reuse one
+    inferred schema across reads (`infer_schema_once`)."""
     r = spark.read.option("header", True)
     if schema is not None:
         r = r.schema(schema)
     elif infer:
-        r = r.option("inferSchema", True)
+        r = r.option("inferSchema", True).option("samplingRatio", sampling_ratio)
     return r.csv(path)
 
 

@@ -59,3 +59,17 @@ def test_activity_log_append_partitions_by_day(spark):
 def test_json_records_blank_for_null(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert sk.json_records(df).first()["json"] == '{"a":"1","b":""}'
+
+
+def test_stream_appends_each_file_once(spark):
+    from tablesmith.streaming import stream_activity_log
+    land, sink, ckpt = (scratch_path(spark, n) for n in ("land", "sink", "ckpt"))
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.filter(F.col("event_id") % 2 == 0).write.parquet(f"{land}/b1")
+    q = stream_activity_log(spark, land + "/*", sink, ckpt, schema=ev.schema)
+    q.awaitTermination(120)
+    ev.filter(F.col("event_id") % 2 == 1).write.parquet(f"{land}/b2")
+    q = stream_activity_log(spark, land + "/*", sink, ckpt, schema=ev.schema)
+    q.awaitTermination(120)
+    back = spark.read.parquet(sink)
+    assert back.count() == ev.count() and back.select("event_id").distinct().count() == ev.count()
