@@ -69,6 +69,8 @@ def area_under_roc(df: DataFrame, label: str = "label", score: str = "score",
     """
     from pyspark.ml.feature import Bucketizer
 
+    from tablesmith.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     s = df.select(qcol(score).cast("double").alias("s"),
                   (qcol(label).cast("double") == 1.0).cast("long").alias("pos")) \
           .filter(F.col("s").isNotNull())

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablesmith.session import ensure_checkpoint_dir
+
 # Offset tables up to this many rows are broadcast to the rank step.
 BROADCAST_OFFSETS = 200_000
 
@@ -33,6 +35,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     """(keys..., q) where q[i] is the interpolated quantile probs[i] of `value` per group;
     NULL values are ignored, groups without values are absent."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     vals = df.select(*_keys(keys), F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     distinct = vals.groupBy(*_keys(keys), "__v").agg(F.count(F.lit(1)).alias("__c"))
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

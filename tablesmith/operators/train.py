@@ -10,6 +10,9 @@ from tablesmith.operators.features import FEATURES, LABEL, SEED
 RF_TREES = 100
 GBT_ITERATIONS = 50
 LOGISTIC_ITERATIONS = 50
+# Tree learners cache node ids and checkpoint them (to spark.checkpoint.dir) every few
+# iterations, so a lost executor re-runs a short lineage, not the whole fit.
+CHECKPOINT_INTERVAL = 10
 
 REGRESSORS = ("LinearRegression", "RandomForestRegressor", "GBTRegressor")
 CLASSIFIERS = ("LogisticRegression", "RandomForestClassifier", "GBTClassifier")
@@ -36,15 +39,19 @@ def make_estimator(algo: str, features: str = FEATURES, label: str = LABEL, seed
     if algo == "LinearRegression":
         return R.LinearRegression(**common)
     if algo == "RandomForestRegressor":
-        return R.RandomForestRegressor(numTrees=RF_TREES, seed=seed, **common)
+        return R.RandomForestRegressor(numTrees=RF_TREES, seed=seed, cacheNodeIds=True,
+                                       checkpointInterval=CHECKPOINT_INTERVAL, **common)
     if algo == "GBTRegressor":
-        return R.GBTRegressor(maxIter=GBT_ITERATIONS, seed=seed, **common)
+        return R.GBTRegressor(maxIter=GBT_ITERATIONS, seed=seed, checkpointInterval=CHECKPOINT_INTERVAL,
+                              **common)
     if algo == "LogisticRegression":
         return C.LogisticRegression(maxIter=LOGISTIC_ITERATIONS, **common)
     if algo == "RandomForestClassifier":
-        return C.RandomForestClassifier(numTrees=RF_TREES, seed=seed, **common)
+        return C.RandomForestClassifier(numTrees=RF_TREES, seed=seed, cacheNodeIds=True,
+                                        checkpointInterval=CHECKPOINT_INTERVAL, **common)
     if algo == "GBTClassifier":
-        return C.GBTClassifier(maxIter=GBT_ITERATIONS, seed=seed, **common)
+        return C.GBTClassifier(maxIter=GBT_ITERATIONS, seed=seed, checkpointInterval=CHECKPOINT_INTERVAL,
+                               **common)
     raise ValueError(f"unknown algorithm {algo!r}")
 
 
