@@ -1,16 +1,20 @@
 """Pairwise co-moments in one pass: per-partition numpy statistics, merged in Spark.
 
-Each partition reduces its rows (Arrow batches) to, for every ordered column pair (i, j)
-over the rows where both values are present: count n, mean of i, second central moment
-of i, and the co-moment C_ij. Values are centred on the column median of the batch
-before the matrix products (exact zero for a constant column, robust to outliers), and
-batches are merged with the parallel (Chan et al.) update. The partitions' statistics
-(one row of N*N arrays each) are then merged with the same update expressed as Spark
-aggregations, so no step holds more than one partition's rows or one pair's partials.
+For a left column set X and a right set Y, each partition reduces its rows (Arrow
+batches) to, for every pair (x, y) over the rows where both values are present: count n,
+mean of x, mean of y, second central moments of x and y, and the co-moment C. Values are
+centred on the batch median before the matrix products (exact zero for a constant column,
+robust to outliers), and batches are merged with the parallel (Chan et al.) update. The
+partitions' statistics (one row of |X|*|Y| arrays each) are then merged with the same
+update expressed as Spark aggregations, so no step holds more than one partition's rows
+or one pair's partials. A full matrix uses X = Y; a target correlation uses Y = [target],
+so its cost is linear in the number of features.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,81 +22,94 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol
 
-STATS_SCHEMA = ("n array<double>, mean array<double>, meanT array<double>, "
-                "m2 array<double>, m2T array<double>, c array<double>")
+try:  # ship these functions by value: executors need numpy/pandas, not this package
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
+STATS_SCHEMA = ("n array<double>, mx array<double>, my array<double>, "
+                "m2x array<double>, m2y array<double>, c array<double>")
 
 
-def _batch_stats(x: np.ndarray, zero: bool):
-    if zero:
-        x = np.where(np.isnan(x), 0.0, x)
+def _centred(x: np.ndarray):
     present = ~np.isnan(x)
-    mf = present.astype(np.float64)
     with np.errstate(all="ignore"):
-        shift = np.nanmedian(np.where(present, x, np.nan), axis=0)
+        shift = np.nanmedian(np.where(present, x, np.nan), axis=0) if x.shape[1] else np.zeros(0)
     shift = np.where(np.isnan(shift), 0.0, shift)
-    xc = np.where(present, x - shift, 0.0)
-    n = mf.T @ mf
-    sx = xc.T @ mf                      # sx[i, j] = sum of centred x_i where i and j present
-    sxx = (xc * xc).T @ mf
-    sxy = xc.T @ xc
+    return present.astype(np.float64), np.where(present, x - shift, 0.0), shift
+
+
+def _batch_stats(x: np.ndarray, y: np.ndarray):
+    mx_, xc, sh_x = _centred(x)
+    my_, yc, sh_y = _centred(y)
+    n = mx_.T @ my_
+    sx, sy = xc.T @ my_, mx_.T @ yc
+    sxx, syy, sxy = (xc * xc).T @ my_, mx_.T @ (yc * yc), xc.T @ yc
     with np.errstate(all="ignore"):
-        mc = np.where(n > 0, sx / n, 0.0)
-    m2 = sxx - sx * mc
-    c = sxy - sx * mc.T
-    return n, mc + shift[:, None], m2, c
+        ax = np.where(n > 0, sx / n, 0.0)
+        ay = np.where(n > 0, sy / n, 0.0)
+    return n, ax + sh_x[:, None], ay + sh_y[None, :], sxx - sx * ax, syy - sy * ay, sxy - sx * ay
 
 
 def _merge(a, b):
-    na, ma, m2a, ca = a
-    nb, mb, m2b, cb = b
+    na, xa, ya, m2xa, m2ya, ca = a
+    nb, xb, yb, m2xb, m2yb, cb = b
     n = na + nb
+    both = (na > 0) & (nb > 0)
     with np.errstate(all="ignore"):
         w = np.where(n > 0, nb / n, 0.0)
-        d = np.where((na > 0) & (nb > 0), mb - ma, 0.0)
-        mean = np.where(na > 0, ma + d * w, mb)
         f = np.where(n > 0, na * nb / n, 0.0)
-    return n, mean, m2a + m2b + d * d * f, ca + cb + d * d.T * f
+    dx, dy = np.where(both, xb - xa, 0.0), np.where(both, yb - ya, 0.0)
+    mx = np.where(na > 0, xa + dx * w, xb)
+    my = np.where(na > 0, ya + dy * w, yb)
+    return n, mx, my, m2xa + m2xb + dx * dx * f, m2ya + m2yb + dy * dy * f, ca + cb + dx * dy * f
 
 
-def _partition_stats(cols: list[str], zero: bool):
+def _partition_stats(xcols: list[str], ycols: list[str], zero: bool):
     def run(batches):
         acc = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            s = _batch_stats(pdf[cols].to_numpy(dtype=np.float64, na_value=np.nan), zero)
+            arr = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            if zero:  # a missing value counts as 0
+                arr = np.where(np.isnan(arr), 0.0, arr)
+            s = _batch_stats(arr[:, :len(xcols)], arr[:, len(xcols):])
             acc = s if acc is None else _merge(acc, s)
         if acc is not None:
-            n, mean, m2, c = acc
-            yield pd.DataFrame({"n": [n.ravel()], "mean": [mean.ravel()], "meanT": [mean.T.ravel()],
-                                "m2": [m2.ravel()], "m2T": [m2.T.ravel()], "c": [c.ravel()]})
+            yield pd.DataFrame({k: [v.ravel()] for k, v in zip(("n", "mx", "my", "m2x", "m2y", "c"), acc)})
     return run
 
 
-def pair_moments(df: DataFrame, cols: list[str], nulls: str = "zero") -> DataFrame:
-    """(i, j, n, m2x, m2y, c) for every ordered pair of `cols` (indices into cols)."""
+def pair_moments(df: DataFrame, xcols: list[str], ycols: list[str] | None = None,
+                 nulls: str = "zero") -> DataFrame:
+    """(i, j, n, m2x, m2y, c) for every pair (xcols[i], ycols[j]); ycols defaults to xcols."""
     if nulls not in ("zero", "pairwise"):
         raise ValueError(f"nulls must be 'zero' or 'pairwise', not {nulls!r}")
-    k = len(cols)
-    names = [f"c{i}" for i in range(k)]
-    src = df.select(*[qcol(c).cast("double").alias(nm) for c, nm in zip(cols, names)])
-    parts = src.mapInPandas(_partition_stats(names, nulls == "zero"), STATS_SCHEMA)
-    long = parts.select(F.posexplode(F.arrays_zip("n", "mean", "meanT", "m2", "m2T", "c")).alias("idx", "s")) \
+    ycols = xcols if ycols is None else ycols
+    kx, ky = len(xcols), len(ycols)
+    xn, yn = [f"x{i}" for i in range(kx)], [f"y{j}" for j in range(ky)]
+    src = df.select(*[qcol(c).cast("double").alias(a) for c, a in zip(xcols, xn)],
+                    *[qcol(c).cast("double").alias(a) for c, a in zip(ycols, yn)])
+    parts = src.mapInPandas(_partition_stats(xn, yn, nulls == "zero"), STATS_SCHEMA)
+    long = parts.select(F.posexplode(F.arrays_zip("n", "mx", "my", "m2x", "m2y", "c")).alias("idx", "s")) \
                 .select("idx", "s.*").filter(F.col("n") > 0)
-    # merged means; identical partition means are taken as they are (a constant column
-    # then has exactly zero spread)
+
+    # merged means; identical partition means are kept as they are, so a constant column
+    # has exactly zero spread
     def merged_mean(m):
         return F.when(F.min(m) == F.max(m), F.min(m)).otherwise(F.sum(F.col("n") * F.col(m)) / F.sum("n"))
-    g = long.groupBy("idx").agg(F.sum("n").alias("n_total"), merged_mean("mean").alias("mean_x"),
-                                merged_mean("meanT").alias("mean_y"))
-    j = long.join(F.broadcast(g), "idx")  # g has at most len(cols)^2 rows
-    dx, dy = F.col("mean") - F.col("mean_x"), F.col("meanT") - F.col("mean_y")
+    g = long.groupBy("idx").agg(F.sum("n").alias("n_total"), merged_mean("mx").alias("mean_x"),
+                                merged_mean("my").alias("mean_y"))
+    j = long.join(F.broadcast(g), "idx")  # g has at most |X|*|Y| rows
+    dx, dy = F.col("mx") - F.col("mean_x"), F.col("my") - F.col("mean_y")
     st = j.groupBy("idx").agg(
         F.first("n_total").alias("n_pairs"),
-        F.sum(F.col("m2") + F.col("n") * dx * dx).alias("m2x"),
-        F.sum(F.col("m2T") + F.col("n") * dy * dy).alias("m2y"),
+        F.sum(F.col("m2x") + F.col("n") * dx * dx).alias("m2x"),
+        F.sum(F.col("m2y") + F.col("n") * dy * dy).alias("m2y"),
         F.sum(F.col("c") + F.col("n") * dx * dy).alias("c"))
-    return st.select((F.col("idx") / k).cast("int").alias("i"), (F.col("idx") % k).cast("int").alias("j"),
+    return st.select((F.col("idx") / ky).cast("int").alias("i"), (F.col("idx") % ky).cast("int").alias("j"),
                      F.col("n_pairs").alias("n"), "m2x", "m2y", "c")
 
 

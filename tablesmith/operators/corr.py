@@ -50,20 +50,23 @@ def pearson(a: str, b: str, nulls: str = "zero", min_count: int | None = None) -
 
 def _pairs_agg(df: DataFrame, pairs: list[tuple[str, str]], nulls: str,
                min_count: int | None = None) -> DataFrame:
-    """(a, b, r) for the listed pairs from one co-moment pass over their columns."""
+    """(a, b, r) for the listed pairs from one co-moment pass. When every pair shares
+    one right-hand column (a target), only those pairs are computed."""
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    cols = list(dict.fromkeys([c for p in pairs for c in p]))
-    pos = {c: i for i, c in enumerate(cols)}
-    m = pearson_from_moments(pair_moments(df, cols, nulls))
+    rights = list(dict.fromkeys(b for _, b in pairs))
+    if len(rights) == 1:
+        xcols, ycols = list(dict.fromkeys(a for a, _ in pairs)), rights
+    else:
+        xcols = ycols = list(dict.fromkeys([c for p in pairs for c in p]))
+    px, py = {c: i for i, c in enumerate(xcols)}, {c: j for j, c in enumerate(ycols)}
+    m = pearson_from_moments(pair_moments(df, xcols, ycols, nulls))
     wanted = df.sparkSession.createDataFrame(
-        [(pos[a], pos[b], a, b) for a, b in pairs], "i int, j int, a string, b string")
+        [(px[a], py[b], a, b) for a, b in pairs], "i int, j int, a string, b string")
+    out = F.broadcast(wanted).join(m, ["i", "j"], "left")  # at most |X|*|Y| pairs
     r = F.col("r")
-    if min_count is not None:
-        r = F.when(F.col("n") < min_count, F.lit(0.0)).otherwise(r)
-    out = F.broadcast(wanted).join(m, ["i", "j"], "left")  # at most len(cols)^2 pairs
-    if min_count is not None:  # no complete pair at all: fewer than min_count
-        r = F.when(F.col("n").isNull(), F.lit(0.0)).otherwise(r)
+    if min_count is not None:  # too few complete pairs (or none at all) -> 0.0
+        r = F.when(F.col("n").isNull() | (F.col("n") < min_count), F.lit(0.0)).otherwise(r)
     return out.select("a", "b", r.alias("r"))
 
 

@@ -26,6 +26,16 @@ from tablesmith.session import ensure_checkpoint_dir
 BROADCAST_OFFSETS = 200_000
 
 
+def _range_partitions(spark, df: DataFrame) -> int:
+    """Range partitions for the rank step: grows with the input (one per input split),
+    never fewer than the shuffle partitions."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return max(base, df.rdd.getNumPartitions())
+    except Exception:  # no RDD access (e.g. a remote session)
+        return base
+
+
 def _keys(keys):
     return [F.col(k) for k in keys]
 
@@ -38,7 +48,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     ensure_checkpoint_dir(spark)
     vals = df.select(*_keys(keys), F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
     distinct = vals.groupBy(*_keys(keys), "__v").agg(F.count(F.lit(1)).alias("__c"))
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = partitions or _range_partitions(spark, df)
     ranged = (distinct.repartitionByRange(p, *_keys(keys), F.col("__v"))
               .withColumn("__pid", F.spark_partition_id())
               .checkpoint(eager=True))

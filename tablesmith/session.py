@@ -38,23 +38,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def _checkpoint_dir(spark: SparkSession) -> str | None:
-    sc = spark.sparkContext
+    d = None
     try:
-        d = sc.getCheckpointDir()
-    except Exception:  # older PySpark
-        d = None
-    return d or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        sc = spark.sparkContext
+        d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # remote session: no SparkContext
+        pass
+    return d or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
     Only when the session names none (local tests) is a private folder set.
     """
     d = _checkpoint_dir(spark)
     if not d:
         d = tempfile.mkdtemp(prefix="tablesmith-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:
+            spark.conf.set("spark.checkpoint.dir", d)
         d = _checkpoint_dir(spark) or d
     return d
 
