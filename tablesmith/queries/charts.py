@@ -42,7 +42,7 @@ def _bar(agg, rnd=6):
     return run
 
 
-for _agg, _rnd in (("count", 6), ("sum", 2), ("mean", 6), ("min", 6), ("max", 6)):
+for _agg, _rnd in (("count", 6), ("sum", 2), ("mean", 8), ("min", 6), ("max", 6)):
     QUERIES[f"bar_{_agg}"] = _bar(_agg, _rnd)
     ORACLE[f"bar_{_agg}"] = _bar_sql("l_returnflag", "l_extendedprice", _agg, _rnd)
 

@@ -13,7 +13,19 @@ CSV_GLOB = "*.[cC][sS][vV]"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_input(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    """Give an under-split input (one file with one row group, a gzip CSV) at least one
+    partition per core; filters and column pruning still reach the scan below it. A large
+    input already has more splits than cores and is returned unchanged."""
+    try:
+        n = df.rdd.getNumPartitions()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # remote session: leave the layout to the server
+        return df
+    return df.repartition(cores) if n < cores else df
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
