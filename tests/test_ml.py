@@ -83,12 +83,24 @@ def test_all_null_feature_in_train_part_is_dropped(spark, planted):
 
 
 def test_auc_left_out_with_one_test_label(spark):
-    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 10).cast("double").alias("x"),
-                                 F.when(F.col("id") < 290, "a").otherwise("b").alias("t"))
+    base = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 10).cast("double").alias("x"))
+    in_train = fx.split_flag(["k"], 0.8)
+    # label 'b' only on some training rows: the test part holds one label
+    df = base.withColumn("t", F.when(in_train & (F.col("k") % 2 == 0), "b").otherwise("a"))
     res = train(df, "t", mode="A", split_keys=["k"], algorithm="RandomForestClassifier")
-    labels = res.predictions.select(fx.LABEL).distinct().count()
+    assert res.predictions.select(fx.LABEL).distinct().count() == 1
     metrics = {r["metric"] for r in res.metrics.collect()}
-    assert labels == 2 or "auc" not in metrics
+    assert "auc" not in metrics and "accuracy" in metrics
+    assert any("auc left out" in n for n in res.notes)
+
+
+def test_timestamp_and_boolean_categoricals_are_indexed(spark, planted):
+    df = planted.withColumn("when", F.to_timestamp(F.lit("2024-01-01 00:00:00")) +
+                            F.make_interval(days=(F.col("row_id") % 4).cast("int"))) \
+                .withColumn("flag", F.col("row_id") % 2 == 0).drop("cls")
+    res = train(df, "y", mode="A", algorithm="LinearRegression", split_keys=["row_id"])
+    assert {"when", "flag", "region"} <= set(res.categorical)
+    assert any(n.startswith("when_vec_") for n in res.slot_names)
 
 
 def test_save_load_scores_raw_table(spark, planted):
