@@ -12,8 +12,6 @@ raises on `corr` of a constant).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,8 @@ from tablesmith.functions.columns import numeric_columns, qcol, require_columns
 from tablesmith.operators.comoments import pair_moments, pearson_from_moments
 
 # Above this many columns the zero-filled matrix is computed with ml.stat.Correlation
-# (one Gramian pass) instead of N^2/2 SQL aggregates.
+# (mean-centred Gramian, packed upper triangle per task) instead of per-partition
+# N x N co-moment arrays.
 MATRIX_THRESHOLD = 48
 
 

@@ -4,7 +4,6 @@ work is Column expressions."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import is_numeric, qcol, require_columns
 from tablesmith.functions.names import is_id_like, sanitize_names

@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tablesmith.functions.names import is_id_like
 from tablesmith.operators.corr import corr_pairs
