@@ -8,7 +8,7 @@ only aggregated rows reach the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol, require_columns
@@ -141,10 +141,28 @@ def scatter_points(df: DataFrame, x: str, y: str, nulls: str = "zero",
 
 
 def line_series(df: DataFrame, x: str, y: str, nulls: str = "zero") -> DataFrame:
-    """(x, y) sorted by x, then y (a distributed range sort, no single-partition step)."""
+    """(pos, x, y) sorted by x, then y; pos = 0, 1, 2, ... in that order.
+
+    The sort is a range-partitioned sort; the sorted table is checkpointed so its
+    partitions are stable, each row's place inside its partition comes from
+    monotonically_increasing_id (partition id in the upper bits, row index below), and
+    per-partition counts (one row per partition) give the offsets. No step puts all rows
+    in one partition.
+    """
+    from tablesmith.session import ensure_checkpoint_dir
     require_columns(df, [x])
-    return df.select(qcol(x).alias("x"), value_of(df, y, nulls).alias("y")) \
-             .orderBy(F.col("x").asc_nulls_first(), F.col("y").asc_nulls_first())
+    ensure_checkpoint_dir(df.sparkSession)
+    pts = df.select(qcol(x).alias("x"), value_of(df, y, nulls).alias("y")) \
+            .orderBy(F.col("x").asc_nulls_first(), F.col("y").asc_nulls_first()) \
+            .select("x", "y", F.spark_partition_id().alias("pid"),
+                    F.monotonically_increasing_id().alias("mid")) \
+            .checkpoint(eager=True)
+    counts = pts.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("pid", F.coalesce(F.sum("n").over(
+        Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    local = F.col("mid") - F.shiftleft(F.col("pid").cast("bigint"), 33)
+    # offsets has one row per partition of the sorted table
+    return pts.join(F.broadcast(offsets), "pid").select((F.col("off") + local).alias("pos"), "x", "y")
 
 
 def column_summary(df: DataFrame, threshold: float = 0.6) -> DataFrame:

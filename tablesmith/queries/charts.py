@@ -102,7 +102,8 @@ def scatter_points(spark, sf):
     return ch.scatter_points(lineitem_nulls(spark, sf), "l_quantity", "l_extendedprice")
 
 
-@q("line_series", "SELECT o_orderdate AS x, coalesce(o_totalprice, 0.0) AS y FROM orders ORDER BY x, y")
+@q("line_series", """SELECT row_number() OVER (ORDER BY o_orderdate, coalesce(o_totalprice, 0.0)) - 1 AS pos,
+  o_orderdate AS x, coalesce(o_totalprice, 0.0) AS y FROM orders""")
 def line_series(spark, sf):
     return ch.line_series(T(spark, sf, "orders"), "o_orderdate", "o_totalprice")
 

@@ -29,6 +29,12 @@ def append_activity_log(df: DataFrame, path: str, ts: str = "ts") -> None:
     df.withColumn("day", F.to_date(qcol(ts))).write.mode("append").partitionBy("day").parquet(path)
 
 
+def model_path(base: str, owner, name: str) -> str:
+    """Folder for a saved model: <base>/<owner>_<name>_<6 hex>, unique per save."""
+    import uuid
+    return f"{base.rstrip('/')}/{owner}_{name}_{uuid.uuid4().hex[:6]}"
+
+
 def save_model(model, path: str) -> str:
     """Save a fitted PipelineModel (overwrites)."""
     model.write().overwrite().save(path)
