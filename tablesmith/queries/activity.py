@@ -34,7 +34,7 @@ def recent_activity_all(spark, sf):
 
 
 @q("recent_activity_per_user", """SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events)
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events)
 WHERE rank <= 30""")
 def recent_activity_per_user(spark, sf):
     return ac.recent_activity_per_user(T(spark, sf, "events"))

@@ -139,7 +139,7 @@ SCALAR_SQL = """SELECT p_partkey,
   regexp_replace(p_brand, '[^0-9]', '', 'g') AS brand_digits,
   lower(p_brand) AS brand_lower,
   contains(lower(p_name), 'id') AS has_id,
-  len(list_filter(list_transform(string_split(p_name || ', ,' || p_type, ','), lambda x: trim(x)), lambda x: x <> '')) AS n_names,
+  CAST(len(list_filter(list_transform(string_split(p_name || ', ,' || p_type, ','), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n_names,
   array_to_string(list_filter(list_transform(string_split(p_name || ', ,' || p_type, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS names,
   lower(string_split(p_name || '.Data.CSV', '.')[-1]) AS ext,
   coalesce(CASE WHEN p_size > 40 THEN NULL ELSE p_size END, 0) AS size_or_zero,

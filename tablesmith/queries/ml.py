@@ -95,7 +95,7 @@ def index_categorical(spark, sf):
     return df.select("p_partkey", "p_brand_idx", "p_type_idx")
 
 
-@q("one_hot", f"""SELECT p_partkey, 'p_type' AS "column", CAST(t.idx AS INTEGER) AS slot, 1.0 AS value
+@q("one_hot", f"""SELECT p_partkey, 'p_type' AS "column", CAST(t.idx AS INTEGER) AS slot, CAST(1.0 AS DOUBLE) AS value
 FROM part JOIN {_rank_sql('part', 'p_type')} t ON p_type = t.v""")
 def one_hot(spark, sf):
     _, idx = fx.index_categorical(T(spark, sf, "part"), ["p_type"])
@@ -105,7 +105,7 @@ def one_hot(spark, sf):
 
 @q("assemble_features", f"""SELECT p_partkey, 0 AS slot, 'p_size' AS feature, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size <> 0
 UNION ALL SELECT p_partkey, 1, 'p_retailprice', p_retailprice FROM part WHERE p_retailprice <> 0
-UNION ALL SELECT p_partkey, CAST(2 + t.idx AS INTEGER), 'p_type_vec_' || p_type, 1.0
+UNION ALL SELECT p_partkey, CAST(2 + t.idx AS INTEGER), 'p_type_vec_' || p_type, CAST(1.0 AS DOUBLE)
 FROM part JOIN {_rank_sql('part', 'p_type')} t ON p_type = t.v""")
 def assemble_features(spark, sf):
     _, idx = fx.index_categorical(T(spark, sf, "part"), ["p_type"])

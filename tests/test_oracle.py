@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
-from tools.compare import TABLES, canon
+from tools.compare import TABLES, canon, type_mismatches
 
 ORACLE = entry.oracle_sql()
 
@@ -20,7 +20,9 @@ def con():
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, key):
-    got = entry.queries()[key](spark, SF_SMALL).toPandas()
+    sdf = entry.queries()[key](spark, SF_SMALL)
+    assert type_mismatches(sdf, con, ORACLE[key]) == []
+    got = sdf.toPandas()
     exp = con.execute(ORACLE[key]).df()
     assert sorted(got.columns) == sorted(exp.columns)
     assert canon(got) == canon(exp)
