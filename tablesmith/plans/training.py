@@ -2,9 +2,11 @@
 
 Every fitted step (casts, mean imputation, category indexing, one-hot, assembly, model)
 sits inside one PipelineModel fitted on the training part only, so the saved model
-scores raw tables. Passes over the data: drop rules (1), label index (1, classification),
-correlation selection (1, mode B), all-null guard on the training part (1), the fit
-itself, and one aggregation per metric family.
+scores raw tables. Passes over the data: one profile aggregation (drop rules, plus
+approximate level counts for categorical columns and a classification target), label
+index (classification), correlation selection (mode B), an all-null guard on the
+training part, the fit itself, and the metric aggregations over the persisted
+(label, prediction, score) columns of the test part.
 """
 
 from __future__ import annotations
@@ -17,10 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.ml.feature import (Imputer, IndexToString, OneHotEncoder, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 
-from tablesmith.functions.columns import qcol
+from tablesmith.functions.columns import is_numeric, orderable, qcol
 from tablesmith.operators import evaluate as ev
 from tablesmith.operators import features as fx
-from tablesmith.operators.profile import drop_empty_constant
 from tablesmith.operators.train import choose_algorithm, make_estimator
 from tablesmith.sources.sinks import save_model
 
@@ -81,6 +82,27 @@ def build_stages(numeric: list[str], categorical: list[str], algo: str,
     return stages, inputs
 
 
+def _profile_pass(df: DataFrame, approx_cols: list[str]) -> tuple[dict, dict]:
+    """One aggregation -> ({column: 'empty' | 'constant' | None}, {column: approx levels})."""
+    exprs = [F.count(F.lit(1)).alias("rows")]
+    fields = list(enumerate(df.schema.fields))
+    for i, f in fields:
+        c = qcol(f.name)
+        exprs.append(F.count(c).alias(f"n{i}"))
+        exprs.append((F.min(c).eqNullSafe(F.max(c)) if orderable(f.dataType) else F.lit(False)).alias(f"s{i}"))
+        if f.name in approx_cols:
+            exprs.append(F.approx_count_distinct(c).alias(f"d{i}"))
+    row = df.agg(*exprs).first().asDict()
+    reasons, levels = {}, {}
+    for i, f in fields:
+        nonnull = row[f"n{i}"]
+        reasons[f.name] = "empty" if nonnull == 0 else (
+            "constant" if row[f"s{i}"] and nonnull == row["rows"] else None)
+        if f"d{i}" in row:
+            levels[f.name] = row[f"d{i}"]
+    return reasons, levels
+
+
 def numeric_out(numeric: list[str]) -> list[str]:
     return [c + "__imp" for c in numeric]
 
@@ -101,17 +123,24 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
     notes: list[str] = []
     if target not in df.columns:
         raise ValueError(f"target {target!r} not found")
+    task = fx.infer_task(df, target, task)  # from the schema
+
+    # one pass: drop rules for every column, plus approximate level counts for the
+    # categorical columns and a classification target (bounds what reaches the driver)
+    approx = [f.name for f in df.schema.fields if not is_numeric(f.dataType)] \
+        if (categorical and max_categories is not None) else []
+    if task == "classification" and target not in approx:
+        approx.append(target)
+    reasons, levels = _profile_pass(df, approx)
     if drop_rules:
-        df, _ = drop_empty_constant(df)
+        df = df.drop(*[c for c, r in reasons.items() if r])
         if target not in df.columns:
             raise ValueError(f"target {target!r} is empty or constant")
-    task = fx.infer_task(df, target, task)
 
     labels = None
     if task == "classification":
-        n_classes = df.agg(F.approx_count_distinct(qcol(target)).alias("n")).first()["n"]
-        if n_classes > max_classes:
-            raise ValueError(f"target {target!r} has about {n_classes} classes (max_classes={max_classes})")
+        if levels[target] > max_classes:
+            raise ValueError(f"target {target!r} has about {levels[target]} classes (max_classes={max_classes})")
         idx_model, lab = fx.index_label(df, target)
         labels = list(idx_model.labels)
     else:
@@ -134,8 +163,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
         raise ValueError("no features available")
 
     if max_categories is not None and cat:
-        counts = lab.agg(*[F.approx_count_distinct(qcol(c)).alias(c) for c in cat]).first().asDict()
-        skipped = [c for c in cat if counts[c] > max_categories]
+        skipped = [c for c in cat if levels.get(c, 0) > max_categories]
         if skipped:
             notes.append(f"skipped high-cardinality categorical columns: {skipped}")
             cat = [c for c in cat if c not in skipped]
@@ -143,8 +171,9 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
     algo, more = choose_algorithm(task, algorithm, len(labels) if labels is not None else None)
     notes += more
 
+    # the training part is not cached here: the learners persist their own compact
+    # inputs (binned tree points, assembled instances) for their iterations
     train_df, test_df = fx.train_test_split(lab, split_keys or list(df.columns), fraction, split)
-    train_df = train_df.persist(StorageLevel.MEMORY_AND_DISK)
     if num:  # Imputer cannot fit a column with no value in the training part
         present = train_df.agg(*[F.count(fx.to_double(qcol(c))).alias(c) for c in num]).first().asDict()
         empty = [c for c in num if present[c] == 0]
@@ -152,26 +181,26 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
             notes.append(f"dropped features with no value in the training part: {empty}")
             num = [c for c in num if c not in empty]
     if not num and not cat:
-        train_df.unpersist()
         raise ValueError("no feature columns after encoding")
 
     stages, _ = build_stages(num, cat, algo, labels, target)
     from pyspark.ml import Pipeline
     model = Pipeline(stages=stages).fit(train_df)
-    train_df.unpersist()
 
     preds = model.transform(test_df)
     names = [_clean_slot(n) for n in ev.slot_names(preds, fx.FEATURES)]
-    # the test part is scored once: the metric passes read the persisted predictions and
-    # the handful of metric rows is materialised before the cache is released
-    scored = preds.persist(StorageLevel.MEMORY_AND_DISK)
+    # the test part is scored once: the metric passes read the persisted (label,
+    # prediction, raw score) columns and the few metric rows are materialised before the
+    # cache is released
+    keep = [fx.LABEL, "prediction"] + (["rawPrediction"] if "rawPrediction" in preds.columns else [])
+    scored = preds.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     if task == "regression":
         rows = ev.regression_metrics(scored, fx.LABEL, "prediction").collect()
     else:
         conf = ev.confusion_counts(scored, fx.LABEL, "prediction").collect()
         rows = ev.classification_metrics(scored, fx.LABEL, "prediction").collect()
         n_test_labels = len({r["label"] for r in conf})
-        if n_test_labels == 2 and "rawPrediction" in preds.columns:
+        if n_test_labels == 2 and "rawPrediction" in keep:
             from pyspark.ml.functions import vector_to_array
             sc_df = scored.select(fx.LABEL, vector_to_array("rawPrediction")[1].alias("score"))
             rows += ev.area_under_roc(sc_df, fx.LABEL, "score").collect()
