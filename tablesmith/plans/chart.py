@@ -27,6 +27,8 @@ class ChartSpec:
     bins: int = 20
     nulls: str = "zero"
     threshold: float = 0.6
+    sample_rows: int | None = None      # chart only the first n rows in `order_by` order
+    order_by: list[str] | None = None   # (whole table when sample_rows is None)
 
 
 def _numeric_by_vote(df: DataFrame, threshold: float) -> list[str]:
@@ -37,6 +39,11 @@ def _numeric_by_vote(df: DataFrame, threshold: float) -> list[str]:
 
 def chart_data(df: DataFrame, spec: ChartSpec) -> DataFrame:
     t = spec.type
+    if spec.sample_rows is not None:
+        if not spec.order_by:
+            raise ValueError("sample_rows needs order_by: a bare limit is not deterministic")
+        from tablesmith.sources.files import scan_sample
+        df = scan_sample(df, spec.sample_rows, spec.order_by)
     if t not in CHART_TYPES:
         raise ValueError(f"chart type must be one of {CHART_TYPES}")
     if t != "heatmap" and not spec.x:

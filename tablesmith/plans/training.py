@@ -154,7 +154,10 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
     elif mode == "B":
         cands = fx.numeric_candidates(df, target, match)
         selection = fx.selection_by_corr(lab, fx.LABEL, cands, threshold, nulls) if cands else None
-        num = [r["feature"] for r in selection.collect() if r["selected"]] if selection is not None else []
+        sel_rows = selection.collect() if selection is not None else []
+        num = [r["feature"] for r in sel_rows if r["selected"]]
+        if sel_rows and not any(r["r"] is not None and abs(r["r"]) >= threshold for r in sel_rows):
+            notes.append(f"no feature reaches |r| >= {threshold}: all numeric candidates used")
         cat = fx.string_candidates(df, target) if categorical else []
     else:
         num, cat, more = fx.select_custom(df, target, features, categorical, match)

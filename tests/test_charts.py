@@ -65,3 +65,13 @@ def test_chart_dispatch_and_checks(spark, mixed):
     df = spark.createDataFrame([(1.0, 2.0, "3"), (2.0, 4.1, "x"), (3.0, 6.3, "5")], "a double, b double, c string")
     hm = chart_data(df, ChartSpec("heatmap"))
     assert hm.count() == 9
+
+
+def test_chart_on_ordered_sample(spark):
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 3).cast("string").alias("k"),
+                                 F.col("id").cast("double").alias("v"))
+    spec = ChartSpec("bar", x="k", y="v", agg="count", sample_rows=10, order_by=["id"])
+    got = {r["key"]: r["value"] for r in chart_data(df, spec).collect()}
+    assert got == {"0": 4.0, "1": 3.0, "2": 3.0}
+    with pytest.raises(ValueError):
+        chart_data(df, ChartSpec("bar", x="k", y="v", sample_rows=10))

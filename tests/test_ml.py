@@ -44,10 +44,12 @@ def test_mode_b_selects_signal(spark, planted):
 
 
 def test_mode_b_fallback_when_nothing_passes(spark):
-    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"),
+    df = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"),
                                  (F.col("id") % 5).cast("double").alias("y"))
     sel = fx.selection_by_corr(df, "y", ["a"], 0.99).collect()
     assert sel[0]["selected"] is True
+    res = train(df, "y", mode="B", threshold=0.99, algorithm="LinearRegression", split_keys=["row_id"])
+    assert res.numeric == ["a"] and any("all numeric candidates" in n for n in res.notes)
 
 
 def test_string_target_classification_no_leak(spark, planted):
