@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from tablesmith.functions.columns import numeric_columns, qcol, require_columns
 from tablesmith.operators.comoments import pair_moments, pearson_from_moments
 
+# Pairwise-mode statistics are computed in column blocks of this size, so one partition's
+# partial result holds at most BLOCK x BLOCK pair statistics (one scan per block pair).
+BLOCK = 32
 # Above this many columns the zero-filled matrix is computed with ml.stat.Correlation
 # (mean-centred Gramian, packed upper triangle per task) instead of per-partition
 # N x N co-moment arrays.
@@ -58,8 +61,27 @@ def _pairs_agg(df: DataFrame, pairs: list[tuple[str, str]], nulls: str,
         xcols, ycols = list(dict.fromkeys(a for a, _ in pairs)), rights
     else:
         xcols = ycols = list(dict.fromkeys([c for p in pairs for c in p]))
+    blocks = []  # (x block, y block) index ranges
+    xb = [list(range(i, min(i + BLOCK, len(xcols)))) for i in range(0, len(xcols), BLOCK)]
+    yb = [list(range(j, min(j + BLOCK, len(ycols)))) for j in range(0, len(ycols), BLOCK)]
+    for bi, xs in enumerate(xb):
+        for bj, ys in enumerate(yb):
+            if xcols is ycols and bj < bi:
+                continue  # symmetric: the mirrored block carries the same pairs
+            blocks.append((xs, ys))
+    parts = []
+    for xs, ys in blocks:
+        m = pair_moments(df, [xcols[i] for i in xs], [ycols[j] for j in ys], nulls)
+        ix = F.element_at(F.array(*[F.lit(i) for i in xs]), F.col("i") + 1)
+        iy = F.element_at(F.array(*[F.lit(j) for j in ys]), F.col("j") + 1)
+        parts.append(pearson_from_moments(m).select(ix.alias("i"), iy.alias("j"), "n", "r"))
+    m = parts[0]
+    for extra in parts[1:]:
+        m = m.unionByName(extra)
+    if xcols is ycols and len(blocks) > 1:  # add the mirrored pairs of off-diagonal blocks
+        m = m.unionByName(m.filter(F.col("i") != F.col("j"))
+                          .select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "r")).dropDuplicates(["i", "j"])
     px, py = {c: i for i, c in enumerate(xcols)}, {c: j for j, c in enumerate(ycols)}
-    m = pearson_from_moments(pair_moments(df, xcols, ycols, nulls))
     wanted = df.sparkSession.createDataFrame(
         [(px[a], py[b], a, b) for a, b in pairs], "i int, j int, a string, b string")
     out = F.broadcast(wanted).join(m, ["i", "j"], "left")  # at most |X|*|Y| pairs

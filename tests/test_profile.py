@@ -104,3 +104,19 @@ def test_describe_matches_pandas(spark):
     s = pd.Series([1, 2, 3, 4, 10], dtype=float).describe()
     assert d["count"] == 5 and d["mean"] == pytest.approx(s["mean"]) and d["std"] == pytest.approx(s["std"])
     assert (d["q1"], d["median"], d["q3"]) == (s["25%"], s["50%"], s["75%"])
+
+
+def test_blocked_pairwise_matches_single_block(spark):
+    import tablesmith.operators.corr as c
+    li = lineitem_nulls(spark, SF_MID)
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    one = {(r["x"], r["y"]): r["r"] for r in corr_matrix(li, cols, nulls="pairwise").collect()}
+    old = c.BLOCK
+    c.BLOCK = 3
+    try:
+        blocked = {(r["x"], r["y"]): r["r"] for r in corr_matrix(li, cols, nulls="pairwise").collect()}
+    finally:
+        c.BLOCK = old
+    assert one.keys() == blocked.keys() and len(one) == 49
+    for k in one:
+        assert blocked[k] == pytest.approx(one[k], abs=1e-12)
