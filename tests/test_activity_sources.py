@@ -72,3 +72,19 @@ def test_stream_appends_each_file_once(spark):
     q.awaitTermination(120)
     back = spark.read.parquet(sink)
     assert back.count() == ev.count() and back.select("event_id").distinct().count() == ev.count()
+
+
+def test_projection_reaches_scan_and_top_n_is_take_ordered(spark):
+    import __spark_entry__ as entry
+    q = entry.queries()
+    plan = _plan(q["select_column"](spark, SF_SMALL))
+    assert "ReadSchema: struct<l_shipdate:timestamp_ntz>" in plan
+    plan = _plan(q["bar_topn"](spark, SF_SMALL))
+    assert "TakeOrderedAndProject(limit=10" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_extendedprice:double>" in plan
+
+
+def test_purge_list_filter_reaches_scan(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    plan = _plan(ac.purge_owner({"e": (ev, "user_id")}, [3, 5])["e"])
+    assert "PushedFilters: [Or(IsNull(user_id),Not(In(user_id, [3,5])))]" in plan

@@ -120,3 +120,26 @@ def test_blocked_pairwise_matches_single_block(spark):
     assert one.keys() == blocked.keys() and len(one) == 49
     for k in one:
         assert blocked[k] == pytest.approx(one[k], abs=1e-12)
+
+
+def test_profile_plan_end_to_end_from_csv(spark):
+    from tablesmith.plans.profile import correlation_dict
+    from tablesmith.session import scratch_path
+    from tablesmith.sources import files as fs
+    from tablesmith.sources import sinks as sk
+    from conftest import SF_SMALL
+    part = spark.read.parquet(f"{SF_SMALL}/part.parquet")
+    messy = part.select(F.col("p_partkey").alias(" part key"), F.col("p_size").alias("size (cm)"),
+                        F.col("p_retailprice").alias("retail-price"), F.col("p_brand").alias("brand"),
+                        F.lit(3).alias("const"), F.lit(None).cast("string").alias("empty"))
+    path = scratch_path(spark, "profile-csv")
+    sk.write_csv(messy, path)
+    p = profile(fs.scan_csv(spark, path))
+    assert p.dropped == {"const": "constant", "empty": "empty"}
+    assert p.table.columns == ["part_key", "size_cm", "retail_price", "brand"]
+    assert p.numeric == ["part_key", "size_cm", "retail_price"] and p.string == ["brand"]
+    assert p.targets == ["part_key", "size_cm", "retail_price"] and p.can_train
+    corr = correlation_dict(p)
+    assert set(corr) == {"part_key___size_cm", "part_key___retail_price", "size_cm___retail_price"}
+    assert corr["part_key___retail_price"] == pytest.approx(
+        part.select(F.corr("p_partkey", "p_retailprice")).first()[0], abs=1e-9)
