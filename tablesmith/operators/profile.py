@@ -146,7 +146,7 @@ def describe(df: DataFrame, cols: list[str] | None = None, method: str = "distri
         parts.append(df.agg(F.array(*structs).alias("s")).select(F.inline("s")))
     out = _union(parts)
     if not inline_q:
-        qs = grouped_quantiles(long_values(df, cols), ["__col"], "__val", list(QUARTILES))
+        qs = grouped_quantiles(long_values(df, cols), ["__col"], "__val", list(QUARTILES), few_groups=True)
         out = out.join(qs.withColumnRenamed("__col", "column"), "column", "left")
     return out.select("column", "count", "mean", "std", "min",
                       F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),

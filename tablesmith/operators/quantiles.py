@@ -41,9 +41,13 @@ def _keys(keys):
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, few_groups: bool = False) -> DataFrame:
     """(keys..., q) where q[i] is the interpolated quantile probs[i] of `value` per group;
-    NULL values are ignored, groups without values are absent."""
+    NULL values are ignored, groups without values are absent.
+
+    few_groups=True states that the group count is bounded (e.g. one per column), so the
+    offset table (at most #groups + partitions rows) is broadcast without counting it.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     vals = df.select(*_keys(keys), F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
@@ -59,7 +63,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         F.coalesce(F.sum("__pc").over(wk.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__off"),
         F.sum("__pc").over(wk).alias("__n"))
-    small = offsets.limit(BROADCAST_OFFSETS + 1).count() <= BROADCAST_OFFSETS
+    small = few_groups or offsets.limit(BROADCAST_OFFSETS + 1).count() <= BROADCAST_OFFSETS
     j = ranged.join(F.broadcast(offsets) if small else offsets, ["__pid", *keys])
     w = Window.partitionBy("__pid", *_keys(keys)).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumn("__end", F.col("__off") + F.sum("__c").over(w))

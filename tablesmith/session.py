@@ -23,13 +23,22 @@ DEFAULT_CONF = {
 }
 
 
+def _default_driver_memory() -> str:
+    """16g, or 3/4 of the machine's memory when that is smaller (local mode only)."""
+    try:
+        total_mb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") // (1024 * 1024)
+        return f"{max(1024, min(16 * 1024, total_mb * 3 // 4))}m"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "tablesmith",
                   extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark. On a cluster the caller passes its own."""
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("TABLESMITH_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("TABLESMITH_DRIVER_MEMORY", _default_driver_memory())
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
