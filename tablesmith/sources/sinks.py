@@ -22,11 +22,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_activity_log(df: DataFrame, path: str, ts: str = "ts") -> None:
+def append_activity_log(df: DataFrame, path: str, ts: str = "ts", files_per_day: int | None = None) -> None:
     """Append a batch of activity records, partitioned by day (partition pruning on
     later date filters). Appends are file-level atomic per task, so a lost executor
-    only re-runs its task."""
-    df.withColumn("day", F.to_date(qcol(ts))).write.mode("append").partitionBy("day").parquet(path)
+    only re-runs its task.
+
+    Without `files_per_day` every task writes one file per day it holds (no shuffle).
+    With it, rows are first clustered by (day, hash bucket): each day gets at most that
+    many files and a busy day is still spread over `files_per_day` tasks.
+    """
+    out = df.withColumn("day", F.to_date(qcol(ts)))
+    if files_per_day:
+        bucket = F.pmod(F.xxhash64(*[qcol(c) for c in df.columns]), F.lit(int(files_per_day)))
+        out = out.repartition(F.col("day"), bucket)
+    out.write.mode("append").partitionBy("day").parquet(path)
 
 
 def model_path(base: str, owner, name: str) -> str:

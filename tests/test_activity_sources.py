@@ -55,6 +55,16 @@ def test_activity_log_append_partitions_by_day(spark):
     assert back.count() == 20 and "day" in back.columns
 
 
+def test_activity_log_files_per_day(spark):
+    import glob
+    path = scratch_path(spark, "logfiles")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    sk.append_activity_log(ev, path, files_per_day=2)
+    days = glob.glob(f"{path.removeprefix('file:')}/day=*")
+    assert days and all(len(glob.glob(f"{d}/*.parquet")) <= 2 for d in days)
+    assert spark.read.parquet(path).count() == ev.count()
+
+
 def test_json_records_blank_for_null(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert sk.json_records(df).first()["json"] == '{"a":"1","b":""}'
