@@ -214,7 +214,7 @@ def train_report(spark, sf):
 
 @q("sink_model")
 def sink_model(spark, sf):
-    path = scratch_path(spark, "model")
+    path = sk.model_path(scratch_path(spark, "models"), owner=7, name="part_price")
     res = train(T(spark, sf, "part"), "p_retailprice", algorithm="LinearRegression",
                 split_keys=["p_partkey"], save_path=path)
     return _stage_rows(spark, sk.load_model(res.path))
