@@ -124,30 +124,37 @@ def describe(df: DataFrame, cols: list[str] | None = None, method: str = "distri
              accuracy: int = 10000) -> DataFrame:
     """(column, count, mean, std, min, q1, median, q3, max) for numeric columns.
 
-    Moments come from one aggregation; exact quartiles from the distributed rank
-    selection over all columns at once (method="map" / "approx": inside the same agg).
+    method="distributed" (default): one pass over the input builds the distinct
+    (column, value, count) table; exact quartiles (distributed rank selection) and the
+    moments both come from it. method="map" / "approx": one aggregation with Spark's
+    `percentile` / `percentile_approx` next to the moments.
     """
     from tablesmith.operators.quantiles import grouped_quantiles, long_values, quantile_agg
     if cols is None:
         cols = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if not cols:
         raise ValueError("no numeric columns to describe")
-    inline_q = method != "distributed"
-    parts = []
-    for chunk in chunks(cols, AGG_CHUNK // 4):
-        structs = []
-        for name in chunk:
-            c = qcol(name).cast("double")
-            fields = [F.lit(name).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-                      F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
-            if inline_q:
-                fields.append(quantile_agg(c, QUARTILES, method, accuracy).alias("q"))
-            structs.append(F.struct(*fields))
-        parts.append(df.agg(F.array(*structs).alias("s")).select(F.inline("s")))
-    out = _union(parts)
-    if not inline_q:
-        qs = grouped_quantiles(long_values(df, cols), ["__col"], "__val", list(QUARTILES), few_groups=True)
-        out = out.join(qs.withColumnRenamed("__col", "column"), "column", "left")
+    if method == "distributed":
+        # one pass over the input: the distinct (column, value, count) table that the
+        # exact quartiles need also gives count, mean, std, min and max
+        qs = grouped_quantiles(long_values(df, cols), ["__col"], "__val", list(QUARTILES),
+                               few_groups=True, moments=True)
+        names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "column string, __pos int")
+        out = names.join(F.broadcast(qs.withColumnRenamed("__col", "column")), "column", "left") \
+                   .select("column", F.coalesce(F.col("n"), F.lit(0)).alias("count"), "mean", "std", "min",
+                           "q", "max", "__pos")
+    else:
+        parts = []
+        for chunk in chunks(cols, AGG_CHUNK // 4):
+            structs = []
+            for name in chunk:
+                c = qcol(name).cast("double")
+                structs.append(F.struct(
+                    F.lit(name).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
+                    F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+                    quantile_agg(c, QUARTILES, method, accuracy).alias("q")))
+            parts.append(df.agg(F.array(*structs).alias("s")).select(F.inline("s")))
+        out = _union(parts)
     return out.select("column", "count", "mean", "std", "min",
                       F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                       F.col("q")[2].alias("q3"), "max")

@@ -41,12 +41,15 @@ def _keys(keys):
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                      partitions: int | None = None, few_groups: bool = False) -> DataFrame:
+                      partitions: int | None = None, few_groups: bool = False,
+                      moments: bool = False) -> DataFrame:
     """(keys..., q) where q[i] is the interpolated quantile probs[i] of `value` per group;
     NULL values are ignored, groups without values are absent.
 
     few_groups=True states that the group count is bounded (e.g. one per column), so the
     offset table (at most #groups + partitions rows) is broadcast without counting it.
+    moments=True (needs keys) adds n, mean, std (sample), min and max per group, computed
+    from the checkpointed distinct-value table instead of another pass over the input.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -83,7 +86,20 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         (F.col("hi") - F.col("pos")) * F.col("vlo") + (F.col("pos") - F.col("lo")) * F.col("vhi"))
     per_q = per_q.select(*_keys(keys), "i", q.alias("q"))
     out = per_q.groupBy(*_keys(keys)).agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("__qs"))
-    return out.select(*_keys(keys), F.transform("__qs", lambda s: s["q"]).alias("q"))
+    out = out.select(*_keys(keys), F.transform("__qs", lambda s: s["q"]).alias("q"))
+    if moments:
+        if not keys:
+            raise ValueError("moments=True needs group keys")
+        first = ranged.groupBy(*_keys(keys)).agg(
+            F.sum("__c").alias("n"), (F.sum(F.col("__c") * F.col("__v")) / F.sum("__c")).alias("mean"),
+            F.min("__v").alias("min"), F.max("__v").alias("max"))
+        means = first.select(*_keys(keys), F.col("mean").alias("__m"))
+        spread = ranged.join(F.broadcast(means) if small else means, keys).groupBy(*_keys(keys)).agg(
+            F.sum(F.col("__c") * (F.col("__v") - F.col("__m")) * (F.col("__v") - F.col("__m"))).alias("__ss"))
+        std = F.when(F.col("n") > 1, F.sqrt(F.col("__ss") / (F.col("n") - 1)))
+        out = out.join(first, keys).join(spread, keys).select(
+            *_keys(keys), "q", "n", "mean", std.alias("std"), "min", "max")
+    return out
 
 
 def quantile_agg(c: Column, probs, method: str, accuracy: int = 10000) -> Column:

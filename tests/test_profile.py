@@ -143,3 +143,12 @@ def test_profile_plan_end_to_end_from_csv(spark):
     assert set(corr) == {"part_key___size_cm", "part_key___retail_price", "size_cm___retail_price"}
     assert corr["part_key___retail_price"] == pytest.approx(
         part.select(F.corr("p_partkey", "p_retailprice")).first()[0], abs=1e-9)
+
+
+def test_describe_all_null_column_and_methods_agree(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "a double, b double")
+    d = {r["column"]: r for r in pr.describe(df).collect()}
+    assert d["b"]["count"] == 0 and d["b"]["mean"] is None and d["b"]["median"] is None
+    m = {r["column"]: r for r in pr.describe(df, method="map").collect()}
+    for k in ("count", "mean", "std", "min", "q1", "median", "q3", "max"):
+        assert d["a"][k] == pytest.approx(m["a"][k])
