@@ -120,10 +120,8 @@ def boxplot(df: DataFrame, x: str, y: str, nulls: str = "zero", method: str = "d
     """
     v = value_of(df, y, nulls)
     base = df.select(category_key(df, x).alias("key"), v.alias("v")).filter(F.col("v").isNotNull())
-    stats = base.groupBy("key").agg(F.min("v").alias("min"), F.max("v").alias("max"))
-    if method == "distributed":
-        qs = grouped_quantiles(base, ["key"], "v", [0.25, 0.5, 0.75])
-        out = stats.join(qs, "key")
+    if method == "distributed":  # one input pass: min/max come from the distinct-value table
+        out = grouped_quantiles(base, ["key"], "v", [0.25, 0.5, 0.75], moments=True)
     else:
         out = base.groupBy("key").agg(F.min("v").alias("min"),
                                       quantile_agg(F.col("v"), (0.25, 0.5, 0.75), method, accuracy).alias("q"),
