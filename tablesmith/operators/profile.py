@@ -110,11 +110,12 @@ def drop_empty_constant(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Drop all-null and constant columns. Returns (kept table, (column, reason) report).
 
     The report is one aggregation; its rows (one per column, bounded by the schema) are
-    read on the driver to project the kept columns.
+    read on the driver to project the kept columns and returned as they are (no second
+    pass when the caller shows the report).
     """
-    report = profile_table(df).filter(F.col("reason").isNotNull()).select("column", "reason")
-    dropped = [r["column"] for r in report.collect()]
-    return df.drop(*dropped), report
+    rows = profile_table(df).filter(F.col("reason").isNotNull()).select("column", "reason").collect()
+    report = df.sparkSession.createDataFrame([tuple(r) for r in rows], "column string, reason string")
+    return df.drop(*[r["column"] for r in rows]), report
 
 
 QUARTILES = (0.25, 0.5, 0.75)

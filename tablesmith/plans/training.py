@@ -155,6 +155,8 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
         cands = fx.numeric_candidates(df, target, match)
         selection = fx.selection_by_corr(lab, fx.LABEL, cands, threshold, nulls) if cands else None
         sel_rows = selection.collect() if selection is not None else []
+        if selection is not None:  # keep the computed rows (one per candidate), not the plan
+            selection = spark.createDataFrame([tuple(r) for r in sel_rows], "feature string, r double, selected boolean")
         num = [r["feature"] for r in sel_rows if r["selected"]]
         if sel_rows and not any(r["r"] is not None and abs(r["r"]) >= threshold for r in sel_rows):
             notes.append(f"no feature reaches |r| >= {threshold}: all numeric candidates used")
