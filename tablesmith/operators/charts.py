@@ -80,17 +80,23 @@ def category_counts(df: DataFrame, x: str) -> DataFrame:
     return df.groupBy(category_key(df, x).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram(df: DataFrame, x: str, bins: int = 20, nulls: str = "zero") -> DataFrame:
+def histogram(df: DataFrame, x: str, bins: int = 20, nulls: str = "zero",
+              value_range: tuple[float, float] | None = None) -> DataFrame:
     """(bin, lo, hi, n) for `bins` equal-width bins between min and max; empty bins have n=0.
 
-    Two passes: the range (two scalars to the driver), then one grouped count. The last
-    bin is closed; when min = max everything falls in bin 0.
+    Two passes: the range (two scalars to the driver), then one grouped count; pass a
+    known `value_range` (e.g. from a profile) to skip the first. The last bin is closed;
+    when min = max everything falls in bin 0.
     """
     if bins < 1:
         raise ValueError("bins must be >= 1")
     v = value_of(df, x, nulls)
     vals = df.select(v.alias("v")).filter(F.col("v").isNotNull())
-    lo, hi = vals.agg(F.min("v"), F.max("v")).first()
+    if value_range is not None:
+        lo, hi = value_range
+        vals = vals.filter((F.col("v") >= F.lit(float(lo))) & (F.col("v") <= F.lit(float(hi))))
+    else:
+        lo, hi = vals.agg(F.min("v"), F.max("v")).first()
     spark = df.sparkSession
     if lo is None:
         return spark.createDataFrame([], "bin bigint, lo double, hi double, n bigint")

@@ -75,3 +75,10 @@ def test_chart_on_ordered_sample(spark):
     assert got == {"0": 4.0, "1": 3.0, "2": 3.0}
     with pytest.raises(ValueError):
         chart_data(df, ChartSpec("bar", x="k", y="v", sample_rows=10))
+
+
+def test_histogram_with_known_range(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    a = [tuple(r) for r in ch.histogram(df, "v", bins=5).orderBy("bin").collect()]
+    b = [tuple(r) for r in ch.histogram(df, "v", bins=5, value_range=(0.0, 99.0)).orderBy("bin").collect()]
+    assert a == b
