@@ -23,6 +23,7 @@ from tablesmith.functions.columns import is_numeric, orderable, qcol
 from tablesmith.operators import evaluate as ev
 from tablesmith.operators import features as fx
 from tablesmith.operators.train import choose_algorithm, make_estimator
+from tablesmith.session import ensure_checkpoint_dir
 from tablesmith.sources.sinks import save_model
 
 
@@ -120,6 +121,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
           save_path: str | None = None, drop_rules: bool = True) -> TrainResult:
     """Fit and evaluate one model; see the module doc for the steps."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)  # tree learners checkpoint their node ids / predictions there
     notes: list[str] = []
     if target not in df.columns:
         raise ValueError(f"target {target!r} not found")

@@ -58,13 +58,25 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
     return d or spark.conf.get("spark.checkpoint.dir", None)
 
 
+def _is_local(spark: SparkSession) -> bool:
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # remote session
+        master = spark.conf.get("spark.master", "")
+    return str(master).startswith("local")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session names none (local tests) is a private folder set.
+    Only a local-mode session without one (tests, the benchmark) gets a private folder;
+    on a cluster a machine-local folder would not be shared, so that is an error.
     """
     d = _checkpoint_dir(spark)
     if not d:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(checkpoints, scratch tables and models are written there)")
         d = tempfile.mkdtemp(prefix="tablesmith-ckpt-")
         try:
             spark.sparkContext.setCheckpointDir(d)

@@ -45,3 +45,10 @@ def test_text_helpers(spark):
     r = df.select(split_list("s").alias("l"), file_extension("f").alias("e")).first()
     assert r["l"] == ["a", "b", "c"] and r["e"] == "csv"
     assert split_names(" x, ,y ") == ["x", "y"]
+
+
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    from tablesmith.session import _is_local, ensure_checkpoint_dir, scratch_path
+    d = ensure_checkpoint_dir(spark)
+    assert d and _is_local(spark)
+    assert scratch_path(spark, "x").startswith(d.rstrip("/") + "/tablesmith/x-")
