@@ -52,3 +52,23 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     d = ensure_checkpoint_dir(spark)
     assert d and _is_local(spark)
     assert scratch_path(spark, "x").startswith(d.rstrip("/") + "/tablesmith/x-")
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    import pytest as _pytest
+
+    from tablesmith.session import ensure_checkpoint_dir
+
+    class _Conf:
+        def get(self, key, default=None):
+            return "yarn" if key == "spark.master" else default
+
+    class _Remote:  # a session without SparkContext access and no checkpoint folder
+        conf = _Conf()
+
+        @property
+        def sparkContext(self):
+            raise RuntimeError("remote session")
+
+    with _pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_Remote())
