@@ -22,16 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import WORD, text_of, words_of
+from tablesmith.llm.common import WORD, WS, stored, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
-CLASSES = (r"\p{Lu}", r"\p{Ll}", r"\p{Nd}", r"[.,;:!?'()-]")
+# classes counted in what is left without lower-case letters and white space: most texts' short rest
+PLAIN = r"[\p{Ll}\x20\x09-\x0D]+"
+CLASSES = (r"\p{Lu}", r"\p{Nd}", r"[.,;:!?'()-]", SYMBOLS)
+FEW = 16  # repeated windows that are looked up one by one; more are found by sorting
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 N_COMMON = 24
 COMMON_LETTERS = 4
 MIN_CHARS = 200
 MIN_COMMON_WORDS = 60
+BROADCAST_LANGS = 5_000
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.62
 
@@ -46,12 +50,20 @@ def base_counts(docs: DataFrame, doc_id: str, lang: str, text: str, keep: tuple[
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD))
     d = d.withColumn("_lines", lines)
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    d = d.withColumn("n_symbols", F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"))
-    counts = [F.length("_t") - F.length(F.regexp_replace("_t", c + "+", "")) for c in CLASSES]
-    d = d.withColumn("_c", F.array(*[c.cast("long") for c in counts]))
+    d = with_classes(d)
+    d = d.withColumn("n_symbols", F.get("classes", F.lit(CLASSES.index(SYMBOLS))))
+    return d.drop("_t", "_lines")
+
+
+def with_classes(d: DataFrame) -> DataFrame:
+    """Add classes from _t and word_chars: characters of each of CLASSES, lower-case letters, all others."""
+    d = d.withColumn("_o", F.regexp_replace("_t", PLAIN, "")).withColumn("_no", F.length("_o").cast("long"))
+    counts = [(F.col("_no") - F.length(F.regexp_replace("_o", c + "+", ""))).cast("long") for c in CLASSES]
+    d = d.withColumn("_c", F.array(*counts))
     d = d.withColumn("classes", F.concat("_c", F.array(
-        F.col("word_chars") - F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x))))
-    return d.drop("_t", "_lines", "_c")
+        F.col("word_chars") - F.col("_no"),
+        F.col("_no") - F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x))))
+    return d.drop("_o", "_no", "_c")
 
 
 def repeated_words(d: DataFrame) -> DataFrame:
@@ -60,26 +72,25 @@ def repeated_words(d: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("n_words").cast("int") - 3),
         lambda i: F.xxhash64(F.get("ws", i), F.get("ws", i + 1), F.get("ws", i + 2)))).otherwise(
         F.array().cast("array<bigint>"))
-    d = d.withColumn("_h", windows)
-    d = d.withColumn("_s", F.when(F.size("_h") > F.size(F.array_distinct("_h")),
-                                  F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-                     .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    d = d.withColumn("_h", windows).withColumn("_o", F.sort_array("_h"))
+    d = d.withColumn("_q", F.array_distinct(F.filter("_o", lambda x, k: x == F.get("_o", k - 1)))).drop("_o")
+    where = F.array_compact(F.transform("_h", lambda h, i: F.when(F.array_contains("_q", h), i)))
+    sort = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    d = d.withColumn("_s", F.when(F.size("_q") > FEW, sort))
     twice = F.filter("_s", lambda x, k: x["h"].eqNullSafe(F.get("_s", k - 1)["h"]) | x["h"].eqNullSafe(F.get("_s", k + 1)["h"]))
-    d = d.withColumn("_r", twice)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_r", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    return d.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_s", "_r")
+    d = d.withColumn("_r", F.when(F.size("_q") == 0, F.array().cast("array<int>")).when(
+        F.size("_q") <= FEW, where).otherwise(F.transform(twice, lambda x: x["i"])))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("_r", lambda i: F.array(i, i + 1, i + 2)))))
+    return d.withColumn("n_repeat_words", covered.cast("long")).drop("_h", "_q", "_s", "_r")
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """One row per language: _lang, ref_classes, common (words), ref_words (their counts)."""
     d = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), text_of(text).alias("_t"))
-    total = d.select("_lang", *[(F.length("_t") - F.length(F.regexp_replace("_t", c + "+", ""))).alias(f"c{i}")
-                                for i, c in enumerate(CLASSES)],
-                     F.length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).alias("all"))
-    total = total.groupBy("_lang").agg(*[F.sum(c).alias(c) for c in total.columns[1:]])
-    n = len(CLASSES)
-    rest = F.col("all") - sum((F.col(f"c{i}") for i in range(n)), F.lit(0))
-    classes = total.select("_lang", F.array(*[F.col(f"c{i}") for i in range(n)], rest).alias("ref_classes"))
+    total = with_classes(d.withColumn("word_chars", F.length(F.regexp_replace("_t", WS, "")).cast("long")))
+    n = len(CLASSES) + 2
+    total = total.groupBy("_lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n)])
+    classes = total.select("_lang", F.array(*[F.col(f"c{i}") for i in range(n)]).alias("ref_classes"))
     short = rf"(?<![^\x20\x09-\x0D])\p{{L}}{{1,{COMMON_LETTERS}}}(?![^\x20\x09-\x0D])"
     w = d.select("_lang", F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(short), F.lit(0))).alias("word"))
     w = w.groupBy("_lang", "word").agg(F.count("*").alias("n"))
@@ -114,7 +125,10 @@ def with_distance(d: DataFrame, a: str, b: str, out: str) -> DataFrame:
 def judge(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text",
           keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, the counts, class_distance, word_distance, base_failed, kept, and `keep`."""
-    d = base_counts(docs, doc_id, lang, text, keep).join(references(docs, lang, text), "_lang")
+    refs = stored(references(docs, lang, text), "references")
+    if refs.count() <= BROADCAST_LANGS:  # about 1 kB each
+        refs = F.broadcast(refs)
+    d = base_counts(docs, doc_id, lang, text, keep).join(refs, "_lang")
     d = repeated_words(d)
     low = F.filter(F.transform("ws", lambda x: F.when(F.length(x) <= COMMON_LETTERS, F.lower(x))),
                    lambda x: F.array_contains("common", x))
