@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablesmith.llm.bpe import encode_documents
 from tablesmith.llm.common import documents
 from tablesmith.llm.exact_dedup import exact_dedup
+from tablesmith.llm.language import held_out, predict_language, train_profiles
+from tablesmith.llm.line_dedup import line_dedup
 from tablesmith.llm.mixing import mix
 from tablesmith.llm.quality import judge
+from tablesmith.llm.warc import damaged, fixity_audit
 
 
 def vocabulary() -> str:
@@ -18,10 +22,27 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup(documents(spark, sf_dir))
+    return d.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir)
+    profiles = train_profiles(d.where(~held_out()))
+    out = predict_language(d, profiles)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return fixity_audit(pages, damaged(pages))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), vocabulary(), digest=True)
 
@@ -34,9 +55,48 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op7_bpe, op8_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_exact_dedup, op3_language, op5_warc_audit, op7_bpe, op8_mixing, op10_quality)}
 
 ORACLE = {
+    "op1_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
+        b AS (SELECT *, (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % 3 = 0 AS cut FROM h),
+        g AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),
+        t AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS txt, count(*) AS n FROM g GROUP BY doc_id, c),
+        r AS (SELECT doc_id, c, row_number() OVER (PARTITION BY txt ORDER BY doc_id, c) > 1 AS gone FROM t
+              WHERE n >= 2 AND regexp_matches(txt, '[^\x20\x09-\x0D]')),
+        f AS (SELECT g.*, coalesce(gone, false) AS gone FROM g LEFT JOIN r USING (doc_id, c))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM f GROUP BY doc_id""",
+    "op5_warc_audit": r"""
+        WITH p AS (SELECT page_id, url, html, length(html) // 2 AS half,
+                     ('0x' || substr(md5(page_id::VARCHAR), 1, 7))::BIGINT % 53 AS pick FROM pages),
+        q AS (SELECT *, CASE WHEN pick = 0 AND half > 0 THEN substr(html, 1, half - 1) || chr(1) || substr(html, half + 1)
+                             WHEN pick = 1 THEN substr(html, 1, half) ELSE html END AS other FROM p),
+        r AS (SELECT page_id, page_id // 1000 AS f,
+                     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) ||
+                     'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) ||
+                     chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
+                     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) ||
+                     'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(other) ||
+                     chr(13) || chr(10) || chr(13) || chr(10) || other || chr(13) || chr(10) || chr(13) || chr(10) AS rec2
+                   FROM q),
+        m AS (SELECT page_id, f, sha256(rec) AS h, rec = rec2 AS intact, strlen(rec) AS len,
+                     row_number() OVER (PARTITION BY f ORDER BY page_id) - 1 AS seq,
+                     (sum(strlen(rec)) OVER (PARTITION BY f ORDER BY page_id))::BIGINT AS stop FROM r),
+        l1 AS (SELECT f, seq // 10 AS seq, min(stop - len) AS a, max(stop) AS b,
+                      sha256(min(stop - len) || ':' || max(stop) || ':' || string_agg(h, ',' ORDER BY seq)) AS h FROM m GROUP BY f, seq // 10),
+        l2 AS (SELECT f, seq // 10 AS seq, min(a) AS a, max(b) AS b,
+                      sha256(min(a) || ':' || max(b) || ':' || string_agg(h, ',' ORDER BY seq)) AS h FROM l1 GROUP BY f, seq // 10),
+        l3 AS (SELECT f, sha256(min(a) || ':' || max(b) || ':' || string_agg(h, ',' ORDER BY seq)) AS h FROM l2 GROUP BY f)
+        SELECT page_id, m.f AS warc_file, m.seq, stop - len AS rec_start, stop AS rec_stop, m.h AS record_sha256,
+               l3.h AS file_root, intact
+        FROM m JOIN l3 ON l3.f = m.f""",
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
