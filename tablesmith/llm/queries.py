@@ -12,6 +12,8 @@ from tablesmith.llm.language import held_out, predict_language, train_profiles
 from tablesmith.llm.line_dedup import line_dedup
 from tablesmith.llm.mixing import mix
 from tablesmith.llm.quality import judge
+from tablesmith.llm.substring import substring_dedup
+from tablesmith.llm.suffix import suffix_dedup
 from tablesmith.llm.warc import damaged, fixity_audit
 
 
@@ -43,6 +45,10 @@ def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_audit(pages, damaged(pages))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), digest=True)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), vocabulary(), digest=True)
 
@@ -51,12 +57,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir), digest=True)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_exact_dedup, op3_language, op5_warc_audit, op7_bpe, op8_mixing, op10_quality)}
+    op1_line_dedup, op2_exact_dedup, op3_language, op5_warc_audit, op6_substring_dedup, op7_bpe,
+    op8_mixing, op9_suffix_dedup, op10_quality)}
 
 ORACLE = {
     "op1_line_dedup": r"""
