@@ -11,6 +11,7 @@ from tablesmith.llm.exact_dedup import exact_dedup
 from tablesmith.llm.language import held_out, predict_language, train_profiles
 from tablesmith.llm.line_dedup import line_dedup
 from tablesmith.llm.mixing import mix
+from tablesmith.llm.near_dedup import near_dedup
 from tablesmith.llm.quality import judge
 from tablesmith.llm.substring import substring_dedup
 from tablesmith.llm.suffix import suffix_dedup
@@ -40,6 +41,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir)).drop("th")
+
+
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
     return fixity_audit(pages, damaged(pages))
@@ -66,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_exact_dedup, op3_language, op5_warc_audit, op6_substring_dedup, op7_bpe,
+    op1_line_dedup, op2_exact_dedup, op3_language, op4_near_dedup, op5_warc_audit, op6_substring_dedup, op7_bpe,
     op8_mixing, op9_suffix_dedup, op10_quality)}
 
 ORACLE = {
