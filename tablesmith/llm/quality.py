@@ -141,5 +141,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str
     d = d.withColumn("base_failed", failed)
     far = ((F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("_nw") >= MIN_COMMON_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    "class_distance", "word_distance", "base_failed", (~failed & ~far).alias("kept"), *keep)
+    out = F.struct("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                   "class_distance", "word_distance", "base_failed", (~failed & ~far).alias("kept"), *keep)
+    # a filter on the result must not be pushed below: it would repeat all the expressions above, many times over
+    return d.select(F.explode_outer(F.array(out)).alias("out")).select("out.*")

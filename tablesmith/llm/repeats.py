@@ -141,7 +141,7 @@ def repeated_runs(base: DataFrame, values: Callable[[bytes], np.ndarray], k: int
                                    "start": (0, np.int32), "n": (1, np.int32), "anchor": (2, np.int32)})
 
     often = base.select("text").mapInArrow(hashes, "mkey long").groupBy("mkey").agg(F.count("*").alias("c"))
-    often = often.where(F.col("c") > 1).select("mkey")
+    often = stored(often.where(F.col("c") > 1).select("mkey"), "anchors")  # stored, so that the join can split hot keys
     return stored(base.mapInArrow(rows, RUN_SCHEMA).join(often, "mkey", "left_semi"), name)
 
 

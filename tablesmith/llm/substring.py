@@ -61,7 +61,7 @@ def repeated_spans(base: DataFrame, window: int = WINDOW) -> DataFrame:
     copies = copies.where(~place.eqNullSafe(F.col("first"))).select(
         "doc_id", "th", "start", "n", F.col("first.doc_id").alias("src_doc"), F.col("first.start").alias("src_start"))
     # paths of different content at one anchor: edge by edge, at their first places
-    crossed = paths.groupBy("mkey").agg(F.count("*").alias("c")).where("c > 1").select("mkey")
+    crossed = stored(paths.groupBy("mkey").agg(F.count("*").alias("c")).where("c > 1").select("mkey"), "word-crossed")
     open_paths = paths.join(crossed, "mkey", "left_semi").select("first.*", "mkey", "n")
     by_doc = open_paths.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "mkey")).alias("paths"))
     d = base.join(by_doc, same_document(base, by_doc)).select(base["doc_id"], base["th"], "text", "paths")

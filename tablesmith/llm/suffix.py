@@ -243,6 +243,7 @@ def repeated_byte_spans(base: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = runs.join(kinds.where("places > 1").select("mkey", "chash"), ["mkey", "chash"], "left_semi")
     crossed = kinds.groupBy("mkey").agg(F.count("*").alias("c"), F.min("places").alias("least"))
     crossed = crossed.where("c > 1 and least = 1").select("mkey")  # else all of the anchor's runs are copies
+    crossed = stored(crossed, "byte-crossed")
     open_runs = kinds.join(crossed, "mkey", "left_semi").select("first.*", "mkey", "n", "off")
     by_doc = open_runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct(
         "start", "n", "mkey", (F.col("start") + F.col("off")).alias("anchor"))).alias("paths"))
