@@ -133,10 +133,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(members: DataFrame) -> DataFrame:
     """(x, p, c): texts and the smallest of a bucket they share, c buckets, lengths that can be linked."""
-    buckets = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(DEPTH)), lambda depth: F.transform(
-        "keys", lambda k, i: F.xxhash64(depth, i, F.slice(F.concat("keys", "keys"), i + 1, depth)))))
-    rows = members.where(F.size("keys") > 0).select("x", "n", F.explode(buckets).alias("bucket"))
-    rows = stored(rows, "near-buckets")
+    # a text alone with a sketch is alone in that sketch's narrower buckets too
+    tops = F.transform("keys", lambda k, i: F.xxhash64(i, k))
+    has = members.where(F.size("keys") > 0).select("x", "n", "keys", F.posexplode(tops).alias("i", "top"))
+    shared = has.select("top").groupBy("top").agg(F.count("*").alias("size")).where("size > 1").select("top")
+    narrow = F.transform(F.sequence(F.lit(1), F.lit(DEPTH)),
+                         lambda depth: F.xxhash64(depth, "i", F.slice(F.concat("keys", "keys"), F.col("i") + 1, depth)))
+    rows = has.select("x", "n", "top", narrow.alias("buckets")).join(stored(shared, "near-shared"), "top", "left_semi")
+    rows = stored(rows.select("x", "n", F.explode("buckets").alias("bucket")), "near-buckets")
     first = rows.groupBy("bucket").agg(F.min(F.struct("x", "n")).alias("f"), F.count("*").alias("size")).where("size > 1")
     pairs = rows.join(first.select("bucket", F.col("f.x").alias("p"), F.col("f.n").alias("pn")), "bucket")
     pairs = pairs.where((F.col("x") != F.col("p")) & (F.least("n", "pn") >= F.greatest("n", "pn") * THRESHOLD))
