@@ -199,6 +199,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     pairs = stored(candidates(reps), "near-pairs")
     nodes = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
     nodes = nodes.select(F.col("x.doc_id").alias("d"), F.col("x.th").alias("h"))
+    nodes = nodes.hint("merge")  # grows with the input: never broadcast
     involved = base.join(nodes, base["doc_id"].eqNullSafe(F.col("d")) & (base["th"] == F.col("h")), "left_semi")
     involved = stored(involved.dropDuplicates(["doc_id", "th"]).select(x.alias("x"), "text"), "near-texts")
     best = pairs.groupBy("x").agg(F.max_by("p", F.struct("c", F.xxhash64("p"))).alias("p"))
