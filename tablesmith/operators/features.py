@@ -88,8 +88,8 @@ def select_custom(df: DataFrame, target: str, names: str | list[str], categorica
 
 
 def split_bucket(keys: list[str]) -> Column:
-    """0..SPLIT_BUCKETS-1 from the md5 of the key text: independent of partitioning."""
-    text = qcol(keys[0]).cast("string") if len(keys) == 1 else \
+    """0..SPLIT_BUCKETS-1 from the md5 of the key text: independent of partitioning; NULL keys have a bucket too."""
+    text = F.coalesce(qcol(keys[0]).cast("string"), F.lit("\u0000NULL")) if len(keys) == 1 else \
         F.concat_ws("\u0001", *[qcol(k).cast("string") for k in keys])
     h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
     return h % F.lit(SPLIT_BUCKETS)

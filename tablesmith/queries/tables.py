@@ -68,7 +68,8 @@ def sink_json_records(spark, sf):
 def sink_activity_log(spark, sf):
     path = scratch_path(spark, "activity")
     ev = T(spark, sf, "events")
-    first_half = F.dayofmonth("ts") <= 15  # two daily loads; together they are the whole table
+    # two daily loads; together they are the whole table, rows without a time included
+    first_half = F.coalesce(F.dayofmonth("ts") <= 15, F.lit(False))
     sk.append_activity_log(ev.filter(first_half), path)
     sk.append_activity_log(ev.filter(~first_half), path)
     return spark.read.parquet(path).select("event_id", "ts", "user_id", "event_type", "value",

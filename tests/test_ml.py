@@ -169,3 +169,9 @@ def test_one_hot_long_agrees_with_vector(spark):
     dense = {(r["k"], i) for r in vec.select("k", vector_to_array("c_vec").alias("v")).collect()
              for i, x in enumerate(r["v"]) if x == 1.0}
     assert long == dense
+
+
+def test_split_keeps_rows_with_null_keys(spark):
+    df = spark.createDataFrame([(None if i % 7 == 0 else i % 11, i) for i in range(100)], "k int, v int")
+    a, b = fx.train_test_split(df, ["k"])
+    assert a.count() + b.count() == 100
