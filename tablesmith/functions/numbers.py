@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 # Fixed value: decimal number text accepted by the browser-style `Number(v)` rule.
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
+# Fixed value: white space that the browser's `Number(v)` ignores around a number.
+BLANKS = (" \t\n\v\f\r"
+          "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -20,17 +25,21 @@ def js_number(c, dtype: T.DataType | None = None, nulls: str = "zero") -> Column
     Blank or whitespace text becomes 0, decimal text is parsed, anything else is NULL
     (dropped by aggregates). A SQL NULL was shown to the browser as '' and so also becomes
     0 with ``nulls="zero"``; ``nulls="skip"`` keeps it NULL. Numeric and boolean columns
-    need no parsing.
+    need no parsing; their NaN is a missing value like NULL.
     """
     col = _col(c)
+    missing = col.isNull()
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         v = col.cast("double")
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            v = F.when(~F.isnan(v), v)
+            missing = v.isNull()
     else:
-        s = F.trim(col.cast("string"))
+        s = F.btrim(col.cast("string"), F.lit(BLANKS))
         v = (F.when(s == "", F.lit(0.0))
              .when(s.rlike(NUMBER_PATTERN), s.try_cast("double")))
     if nulls == "zero":
-        v = F.when(col.isNull(), F.lit(0.0)).otherwise(v)
+        v = F.when(missing, F.lit(0.0)).otherwise(v)
     return v
 
 

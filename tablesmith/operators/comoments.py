@@ -5,9 +5,9 @@ batches) to, for every pair (x, y) over the rows where both values are present:
 mean of x, mean of y, second central moments of x and y, and the co-moment C. Values are
 centred on the batch median before the matrix products (exact zero for a constant column,
 robust to outliers), and batches are merged with the parallel (Chan et al.) update. The
-partitions' statistics (one row of |X|*|Y| arrays each) are then merged with the same
-update expressed as Spark aggregations, so no step holds more than one partition's rows
-or one pair's partials. A full matrix uses X = Y; a target correlation uses Y = [target],
+partitions' statistics (one row of |X|*|Y| arrays each) are then merged pair by pair
+about their common mean, so no step holds more than one partition's rows or one pair's
+partials. A full matrix uses X = Y; a target correlation uses Y = [target],
 so its cost is linear in the number of features.
 """
 
@@ -17,7 +17,7 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol
@@ -97,15 +97,18 @@ def pair_moments(df: DataFrame, xcols: list[str], ycols: list[str] | None = None
                 .select("idx", "s.*").filter(F.col("n") > 0)
 
     # merged means; identical partition means are kept as they are, so a constant column
-    # has exactly zero spread
+    # has exactly zero spread. The window and the aggregation share one exchange, so the
+    # input is read once; a pair has one row per input partition
+    pair = Window.partitionBy("idx")
+
     def merged_mean(m):
-        return F.when(F.min(m) == F.max(m), F.min(m)).otherwise(F.sum(F.col("n") * F.col(m)) / F.sum("n"))
-    g = long.groupBy("idx").agg(F.sum("n").alias("n_total"), merged_mean("mx").alias("mean_x"),
-                                merged_mean("my").alias("mean_y"))
-    j = long.join(F.broadcast(g), "idx")  # g has at most |X|*|Y| rows
+        least = F.min(m).over(pair)
+        return F.when(least == F.max(m).over(pair), least).otherwise(
+            F.sum(F.col("n") * F.col(m)).over(pair) / F.sum("n").over(pair))
+    j = long.select("*", merged_mean("mx").alias("mean_x"), merged_mean("my").alias("mean_y"))
     dx, dy = F.col("mx") - F.col("mean_x"), F.col("my") - F.col("mean_y")
     st = j.groupBy("idx").agg(
-        F.first("n_total").alias("n_pairs"),
+        F.sum("n").alias("n_pairs"),
         F.sum(F.col("m2x") + F.col("n") * dx * dx).alias("m2x"),
         F.sum(F.col("m2y") + F.col("n") * dy * dy).alias("m2y"),
         F.sum(F.col("c") + F.col("n") * dx * dy).alias("c"))

@@ -1,58 +1,25 @@
-"""Pearson correlation in one pass, with two null treatments.
+"""Pearson correlation in one scan, with two treatments of missing values (NULL, NaN).
 
 nulls="zero":     a missing value counts as 0 (what the reference's `stat.corr` and the
                   browser heat map do).
 nulls="pairwise": only rows where both values are present.
 
-A zero-variance column gives NULL, never an error. All pairs come from one pass of
-per-partition co-moments (operators/comoments.py); `pearson()` is the single-pair
-aggregate expression, r = try_divide(covar_pop, stddev_pop(a) * stddev_pop(b)) (ANSI mode
-raises on `corr` of a constant).
+A zero-variance column gives NULL, never an error. All pairs come from one scan of
+per-partition co-moments (operators/comoments.py), by the same method at every width.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.functions.columns import numeric_columns, qcol, require_columns
+from tablesmith.functions.columns import numeric_columns, require_columns
 from tablesmith.operators.comoments import pair_moments, pearson_from_moments
 
-# Pairwise-mode statistics are computed in column blocks of this size, so one partition's
-# partial result holds at most BLOCK x BLOCK pair statistics (one scan per block pair).
-BLOCK = 32
-# Above this many columns the zero-filled matrix is computed with ml.stat.Correlation
-# (mean-centred Gramian, packed upper triangle per task) instead of per-partition
-# N x N co-moment arrays.
-MATRIX_THRESHOLD = 48
-
-
-def _inputs(a: str, b: str, nulls: str) -> tuple[Column, Column]:
-    ca, cb = qcol(a).cast("double"), qcol(b).cast("double")
-    if nulls == "zero":
-        return F.coalesce(ca, F.lit(0.0)), F.coalesce(cb, F.lit(0.0))
-    if nulls == "pairwise":
-        both = ca.isNotNull() & cb.isNotNull()
-        return F.when(both, ca), F.when(both, cb)
-    raise ValueError(f"nulls must be 'zero' or 'pairwise', not {nulls!r}")
-
-
-def pearson(a: str, b: str, nulls: str = "zero", min_count: int | None = None) -> Column:
-    """Aggregate Column: Pearson r of a and b; NULL for zero variance.
-
-    min_count: when fewer complete pairs exist, r is 0.0 (browser heat-map rule n<2 -> 0).
-    """
-    ca, cb = _inputs(a, b, nulls)
-    r = F.try_divide(F.covar_pop(ca, cb), F.stddev_pop(ca) * F.stddev_pop(cb))
-    if min_count is not None:
-        n = F.count(F.when(ca.isNotNull() & cb.isNotNull(), F.lit(1)))
-        r = F.when(n < min_count, F.lit(0.0)).otherwise(r)
-    return r
-
 
 def _pairs_agg(df: DataFrame, pairs: list[tuple[str, str]], nulls: str,
                min_count: int | None = None) -> DataFrame:
-    """(a, b, r) for the listed pairs from one co-moment pass. When every pair shares
+    """(a, b, r) for the listed pairs from one co-moment scan. When every pair shares
     one right-hand column (a target), only those pairs are computed."""
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
@@ -61,26 +28,7 @@ def _pairs_agg(df: DataFrame, pairs: list[tuple[str, str]], nulls: str,
         xcols, ycols = list(dict.fromkeys(a for a, _ in pairs)), rights
     else:
         xcols = ycols = list(dict.fromkeys([c for p in pairs for c in p]))
-    blocks = []  # (x block, y block) index ranges
-    xb = [list(range(i, min(i + BLOCK, len(xcols)))) for i in range(0, len(xcols), BLOCK)]
-    yb = [list(range(j, min(j + BLOCK, len(ycols)))) for j in range(0, len(ycols), BLOCK)]
-    for bi, xs in enumerate(xb):
-        for bj, ys in enumerate(yb):
-            if xcols is ycols and bj < bi:
-                continue  # symmetric: the mirrored block carries the same pairs
-            blocks.append((xs, ys))
-    parts = []
-    for xs, ys in blocks:
-        m = pair_moments(df, [xcols[i] for i in xs], [ycols[j] for j in ys], nulls)
-        ix = F.element_at(F.array(*[F.lit(i) for i in xs]), F.col("i") + 1)
-        iy = F.element_at(F.array(*[F.lit(j) for j in ys]), F.col("j") + 1)
-        parts.append(pearson_from_moments(m).select(ix.alias("i"), iy.alias("j"), "n", "r"))
-    m = parts[0]
-    for extra in parts[1:]:
-        m = m.unionByName(extra)
-    if xcols is ycols and len(blocks) > 1:  # add the mirrored pairs of off-diagonal blocks
-        m = m.unionByName(m.filter(F.col("i") != F.col("j"))
-                          .select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "r")).dropDuplicates(["i", "j"])
+    m = pearson_from_moments(pair_moments(df, xcols, ycols, nulls)).select("i", "j", "n", "r")
     px, py = {c: i for i, c in enumerate(xcols)}, {c: j for j, c in enumerate(ycols)}
     wanted = df.sparkSession.createDataFrame(
         [(px[a], py[b], a, b) for a, b in pairs], "i int, j int, a string, b string")
@@ -91,43 +39,17 @@ def _pairs_agg(df: DataFrame, pairs: list[tuple[str, str]], nulls: str,
     return out.select("a", "b", r.alias("r"))
 
 
-def _matrix_by_gramian(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Zero-filled N x N Pearson matrix via ml.stat.Correlation (distributed Gramian).
-
-    The N x N result (bounded by the schema width) comes back to the driver and is
-    returned as (a, b, r); NaN from a constant column becomes NULL.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    filled = df.select([F.coalesce(qcol(c).cast("double"), F.lit(0.0)).alias(f"c{i}")
-                        for i, c in enumerate(cols)])
-    vec = VectorAssembler(inputCols=filled.columns, outputCol="__v").transform(filled)
-    m = Correlation.corr(vec, "__v").head()[0].toArray()
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            v = float(m[i][j])
-            rows.append((a, b, None if v != v else v))
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-
-
-def corr_pairs(df: DataFrame, cols: list[str] | None = None, max_cols: int = 12,
+def corr_pairs(df: DataFrame, cols: list[str] | None = None, max_cols: int | None = None,
                nulls: str = "zero") -> DataFrame:
-    """(a, b, r) for every pair i<j of the first `max_cols` numeric columns, one pass."""
+    """(a, b, r) for every pair i<j of the numeric columns (of the first `max_cols` if given)."""
     cols = (cols if cols is not None else numeric_columns(df))[:max_cols]
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if nulls == "zero" and len(cols) > MATRIX_THRESHOLD:
-        order = {c: i for i, c in enumerate(cols)}
-        m = _matrix_by_gramian(df, cols)
-        pos = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(order[c]))])
-        return m.filter(pos[F.col("a")] < pos[F.col("b")])
     return _pairs_agg(df, pairs, nulls)
 
 
 def corr_with_target(df: DataFrame, target: str, features: list[str] | None = None,
                      nulls: str = "zero") -> DataFrame:
-    """(feature, r): correlation of every feature with the target, one pass."""
+    """(feature, r): correlation of every feature with the target, in one scan."""
     require_columns(df, [target])
     feats = [c for c in (features if features is not None else numeric_columns(df)) if c != target]
     return _pairs_agg(df, [(f, target) for f in feats], nulls).select(
@@ -140,11 +62,6 @@ def corr_matrix(df: DataFrame, cols: list[str] | None = None, nulls: str = "zero
     complete pairs gives 0.0, zero variance gives NULL."""
     cols = cols if cols is not None else numeric_columns(df)
     require_columns(df, cols)
-    if nulls == "zero" and len(cols) > MATRIX_THRESHOLD:
-        m = _matrix_by_gramian(df, cols)
-        if df.limit(min_count).count() < min_count:
-            m = m.withColumn("r", F.lit(0.0))
-        return m.select(F.col("a").alias("x"), F.col("b").alias("y"), "r")
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
     upper = _pairs_agg(df, pairs, nulls, min_count)
     fwd = F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "r")

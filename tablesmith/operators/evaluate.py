@@ -65,14 +65,14 @@ def area_under_roc(df: DataFrame, label: str = "label", score: str = "score",
     Scores are cut into `buckets` ranges at approximate quantiles (a bounded list of cut
     points); positives above each bucket come from a prefix sum over the bucket totals
     (at most `buckets` rows), positives above each score inside its bucket from a window
-    per bucket. No step ranks all rows in one task. Positive class is label 1.
+    per bucket. No step ranks all rows in one task. Labels above 0.5 are positive.
     """
     from pyspark.ml.feature import Bucketizer
 
     from tablesmith.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     s = df.select(qcol(score).cast("double").alias("s"),
-                  (qcol(label).cast("double") == 1.0).cast("long").alias("pos")) \
+                  (qcol(label).cast("double") > 0.5).cast("long").alias("pos")) \
           .filter(F.col("s").isNotNull())
     # distinct scores are read twice (cut points, then ranks): materialise them once in
     # the shared checkpoint folder, which also cuts the lineage
@@ -108,7 +108,7 @@ def slot_names(df: DataFrame, features_col: str) -> list[str]:
 def feature_importance(spark, model, names: list[str]) -> DataFrame:
     """(feature, value) from a tree model's importances, largest first."""
     imp = model.featureImportances.toArray()
-    rows = [(names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]
+    rows = [(n, float(v)) for n, v in zip(names, imp)]
     return spark.createDataFrame(rows, "feature string, value double").orderBy(
         F.col("value").desc(), F.col("feature"))
 
@@ -120,9 +120,8 @@ def model_coefficients(spark, model, names: list[str]) -> DataFrame:
     if getattr(model, "numClasses", 2) > 2 and hasattr(model, "coefficientMatrix"):
         m = model.coefficientMatrix.toArray()
         for k in range(m.shape[0]):
-            rows += [(k, names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(m[k])]
+            rows += [(k, n, float(v)) for n, v in zip(names, m[k])]
     else:
-        rows = [(None, names[i] if i < len(names) else f"f{i}", float(v))
-                for i, v in enumerate(model.coefficients.toArray())]
+        rows = [(None, n, float(v)) for n, v in zip(names, model.coefficients.toArray())]
     return spark.createDataFrame(rows, "class int, feature string, value double").orderBy(
         F.abs(F.col("value")).desc(), F.col("feature"))

@@ -102,11 +102,10 @@ def split_flag(keys: list[str], fraction: float = TRAIN_FRACTION) -> Column:
 
 def train_test_split(df: DataFrame, keys: list[str] | None = None, fraction: float = TRAIN_FRACTION,
                      method: str = "hash", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Deterministic key-hash split (default; all columns when no key) or randomSplit."""
-    if method == "random":
+    """Key-hash split, the same however the table is partitioned; randomSplit without keys."""
+    if method == "random" or not keys:
         a, b = df.randomSplit([fraction, 1 - fraction], seed=seed)
         return a, b
-    keys = keys or list(df.columns)
     flag = split_flag(keys, fraction)
     return df.filter(flag), df.filter(~flag)
 

@@ -1,7 +1,8 @@
 """The full table profile in two aggregations, whatever the column count:
 
 1. per column: rows, non-null, missing, min<=>max  -> roles, drop reasons, missing counts
-2. correlations of the first `max_cols` surviving numeric columns (all pairs in one agg)
+2. correlations of all surviving numeric columns (of the first `max_cols` if given), all
+   pairs in one scan
 
 The reference needed ~3 jobs per column plus one per pair.
 """
@@ -32,7 +33,7 @@ class Profile:
     correlations: DataFrame   # (a, b, r)
 
 
-def profile(df: DataFrame, max_cols: int = 12, nulls: str = "zero", match: str = "substring",
+def profile(df: DataFrame, max_cols: int | None = None, nulls: str = "zero", match: str = "substring",
             sanitize: bool = True) -> Profile:
     if sanitize:
         df = sanitize_columns(df)

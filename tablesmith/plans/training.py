@@ -27,15 +27,6 @@ from tablesmith.session import ensure_checkpoint_dir
 from tablesmith.sources.sinks import save_model
 
 
-# A categorical feature is one-hot encoded only up to this many levels (approximate
-# count): the fitted indexer keeps every level on the driver and in the saved model, and
-# an identifier-like text column (one level per row) would make a vector as wide as the
-# table. Skipped columns are reported in `notes`; pass None to encode every column.
-MAX_CATEGORIES = 1_000
-# Classification targets above this many classes are refused for the same reason.
-MAX_CLASSES = 10_000
-
-
 @dataclass
 class TrainResult:
     model: object
@@ -116,22 +107,29 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
           algorithm: str | None = None, categorical: bool = True, features: str | list[str] = "",
           threshold: float = fx.CORR_THRESHOLD, split_keys: list[str] | None = None,
           fraction: float = fx.TRAIN_FRACTION, split: str = "hash", nulls: str = "zero",
-          max_categories: int | None = MAX_CATEGORIES, max_classes: int = MAX_CLASSES,
+          max_categories: int | None = None, max_classes: int | None = None,
           match: str = "substring",
           save_path: str | None = None, drop_rules: bool = True) -> TrainResult:
-    """Fit and evaluate one model; see the module doc for the steps."""
+    """Fit and evaluate one model; see the module doc for the steps.
+
+    Every text column is one-hot encoded with all its levels, which the fitted indexer
+    keeps on the driver and in the saved model: name the features, or set `categorical`
+    to False, where a table has identifier-like text. A caller may set limits on
+    (approximate) level counts: columns above `max_categories` are left out and listed in
+    `notes`, a target above `max_classes` raises.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)  # tree learners checkpoint their node ids / predictions there
     notes: list[str] = []
     if target not in df.columns:
-        raise ValueError(f"target {target!r} not found")
+        raise ValueError(f"the table has no column {target!r}")
     task = fx.infer_task(df, target, task)  # from the schema
 
-    # one pass: drop rules for every column, plus approximate level counts for the
-    # categorical columns and a classification target (bounds what reaches the driver)
+    # one pass: drop rules for every column, plus approximate level counts where the
+    # caller set a limit on them
     approx = [f.name for f in df.schema.fields if not is_numeric(f.dataType)] \
         if (categorical and max_categories is not None) else []
-    if task == "classification" and target not in approx:
+    if task == "classification" and max_classes is not None and target not in approx:
         approx.append(target)
     reasons, levels = _profile_pass(df, approx)
     if drop_rules:
@@ -141,8 +139,8 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
 
     labels = None
     if task == "classification":
-        if levels[target] > max_classes:
-            raise ValueError(f"target {target!r} has about {levels[target]} classes (max_classes={max_classes})")
+        if max_classes is not None and levels[target] > max_classes:
+            raise ValueError(f"about {levels[target]} classes in {target!r}, more than max_classes={max_classes}")
         idx_model, lab = fx.index_label(df, target)
         labels = list(idx_model.labels)
     else:
@@ -167,7 +165,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
         num, cat, more = fx.select_custom(df, target, features, categorical, match)
         notes += more
     if not num and not cat:
-        raise ValueError("no features available")
+        raise ValueError("no column is left to learn from")
 
     if max_categories is not None and cat:
         skipped = [c for c in cat if levels.get(c, 0) > max_categories]
@@ -180,7 +178,11 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
 
     # the training part is not cached here: the learners persist their own compact
     # inputs (binned tree points, assembled instances) for their iterations
-    train_df, test_df = fx.train_test_split(lab, split_keys or list(df.columns), fraction, split)
+    train_df, test_df = fx.train_test_split(lab, split_keys, fraction, split)
+    if not train_df.take(1):
+        raise ValueError("the training part is empty")
+    if not test_df.take(1):
+        notes.append("the test part is empty: the metrics are NULL")
     if num:  # Imputer cannot fit a column with no value in the training part
         present = train_df.agg(*[F.count(fx.to_double(qcol(c))).alias(c) for c in num]).first().asDict()
         empty = [c for c in num if present[c] == 0]
@@ -188,7 +190,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
             notes.append(f"dropped features with no value in the training part: {empty}")
             num = [c for c in num if c not in empty]
     if not num and not cat:
-        raise ValueError("no feature columns after encoding")
+        raise ValueError("no feature has a value in the training part")
 
     stages, _ = build_stages(num, cat, algo, labels, target)
     from pyspark.ml import Pipeline

@@ -146,86 +146,136 @@ def model_coefficients(spark, sf):
     return ev.model_coefficients(spark, model, names).select("feature", F.round("value", 4).alias("value"))
 
 
-def _part_model(spark, sf, algo, **kw):
-    return train(T(spark, sf, "part"), "p_retailprice", mode="A", algorithm=algo, categorical=False,
-                 split_keys=["p_partkey"], **kw)
+def _parts_sql(table, key, cols):
+    """The source with its training flag, by the split rule of the library."""
+    return (f"s AS (SELECT {key}, {cols}, CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 800 "
+            f"AS in_train FROM {table})")
 
 
-def _cust_model(spark, sf, algo):
-    return train(T(spark, sf, "customer"), "c_mktsegment", mode="A", algorithm=algo,
-                 categorical=False, split_keys=["c_custkey"])
+# Models whose result SQL can state: a line through one feature, means of a feature's levels, rules of a feature.
 
+LINE_SQL = f"""WITH {_parts_sql('part', 'p_partkey', 'p_retailprice')},
+m AS (SELECT regr_slope(p_retailprice, p_partkey) AS a, regr_intercept(p_retailprice, p_partkey) AS b,
+      avg(p_partkey) AS mean FROM s WHERE in_train)"""
 
-@q("fit_rf_regressor")
+
+def _line(spark, sf, **kw):
+    return train(T(spark, sf, "part"), "p_retailprice", mode="C", features="p_partkey", algorithm="LinearRegression",
+                 categorical=False, split_keys=["p_partkey"], **kw)
+
+
+def _line_terms(spark, model):
+    """(term, value) of a fitted pipeline: the imputer's mean, the slope, the intercept."""
+    mean, line = model.stages[1].surrogateDF.first()[0], model.stages[-1]
+    rows = [("mean", float(mean)), ("slope", float(line.coefficients[0])), ("intercept", float(line.intercept))]
+    return spark.createDataFrame(rows, "term string, value double").select("term", F.round("value", 6).alias("value"))
+
+
+LINE_TERMS_SQL = LINE_SQL + """
+SELECT 'mean' AS term, round(mean, 6) AS value FROM m UNION ALL SELECT 'slope', round(a, 6) FROM m
+UNION ALL SELECT 'intercept', round(b, 6) FROM m"""
+
+
+def _size_model(spark, sf, target, algo):
+    size = (F.col("p_size") % 4).alias("size_class")
+    d = T(spark, sf, "part").select("p_partkey", size, "p_retailprice", (size * 10.0).alias("grade"))
+    return train(d.select("p_partkey", "size_class", target), target, mode="C", features="size_class", algorithm=algo,
+                 categorical=False, split_keys=["p_partkey"])
+
+
+@q("fit_rf_regressor", f"""WITH {_parts_sql('part', 'p_partkey', 'CAST(p_size % 4 * 10 AS DOUBLE) AS grade')}
+SELECT p_partkey, grade AS __label, grade AS prediction FROM s WHERE NOT in_train""")
 def fit_rf_regressor(spark, sf):
-    return _part_model(spark, sf, "RandomForestRegressor").predictions.select("p_partkey", fx.LABEL, "prediction")
+    res = _size_model(spark, sf, "grade", "RandomForestRegressor")
+    return res.predictions.select("p_partkey", fx.LABEL, r6(F.col("prediction")).alias("prediction"))
 
 
-@q("fit_gbt_regressor")
+@q("fit_gbt_regressor", f"""WITH {_parts_sql('part', 'p_partkey', 'p_size % 4 AS size_class, p_retailprice')},
+m AS (SELECT size_class, avg(p_retailprice) AS mean FROM s WHERE in_train GROUP BY 1)
+SELECT p_partkey, p_retailprice AS __label, round(mean, 4) AS prediction FROM s JOIN m USING (size_class) WHERE NOT in_train""")
 def fit_gbt_regressor(spark, sf):
-    return _part_model(spark, sf, "GBTRegressor").predictions.select("p_partkey", fx.LABEL, "prediction")
+    res = _size_model(spark, sf, "p_retailprice", "GBTRegressor")
+    return res.predictions.select("p_partkey", fx.LABEL, F.round("prediction", 4).alias("prediction"))
 
 
-@q("fit_logistic_regression")
+@q("fit_logistic_regression", f"""WITH {_parts_sql('orders', 'o_orderkey', """(o_orderstatus = 'F')::INT AS finished,
+      CASE WHEN o_totalprice >= 200000 THEN 'large' ELSE 'small' END AS size""")},
+pos AS (SELECT size FROM s GROUP BY size ORDER BY count(*), size DESC LIMIT 1),
+o AS (SELECT finished, ln(count(*) FILTER (s.size = pos.size) / count(*) FILTER (s.size <> pos.size)) AS odds
+      FROM s, pos WHERE in_train GROUP BY finished)
+SELECT 'finished' AS term, round(a.odds - b.odds, 4) AS value FROM o a, o b WHERE a.finished = 1 AND b.finished = 0
+UNION ALL SELECT 'intercept', round(odds, 4) FROM o WHERE finished = 0""")
 def fit_logistic_regression(spark, sf):
-    return _cust_model(spark, sf, "LogisticRegression").predictions.select(
-        "c_custkey", fx.LABEL, "prediction", "predicted_c_mktsegment")
+    d = T(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderstatus") == "F").cast("int").alias("finished"),
+        F.when(F.col("o_totalprice") >= 200000, "large").otherwise("small").alias("size"))
+    res = train(d, "size", mode="C", features="finished", algorithm="LogisticRegression", categorical=False,
+                split_keys=["o_orderkey"])
+    line = res.model.stages[-2]
+    rows = [("finished", float(line.coefficients[0])), ("intercept", float(line.intercept))]
+    return spark.createDataFrame(rows, "term string, value double").select("term", F.round("value", 4).alias("value"))
 
 
-@q("fit_rf_classifier")
-def fit_rf_classifier(spark, sf):
-    return _cust_model(spark, sf, "RandomForestClassifier").predictions.select(
-        "c_custkey", fx.LABEL, "prediction", "predicted_c_mktsegment")
+def _bands(spark, sf, table, key, source, algo):
+    zone = F.col(source) % 4
+    d = T(spark, sf, table).select(key, zone.alias("zone"), F.when(zone == 1, "high").when(
+        zone == 3, "high" if algo == "GBTClassifier" else "middle").otherwise("low").alias("band"))
+    return train(d, "band", mode="C", features="zone", algorithm=algo, categorical=False, split_keys=[key])
 
 
-@q("fit_gbt_classifier")
-def fit_gbt_classifier(spark, sf):
-    res = train(T(spark, sf, "labels"), "quality", mode="A", task="classification",
-                algorithm="GBTClassifier", categorical=False, split_keys=["doc_id"])
-    return res.predictions.select("doc_id", fx.LABEL, "prediction")
+def _bands_sql(table, key, source, middle):
+    band = f"CASE {source} % 4 WHEN 1 THEN 'high' WHEN 3 THEN '{middle}' ELSE 'low' END AS band"
+    return f"WITH {_parts_sql(table, key, band)} SELECT {key}, band, band AS predicted_band FROM s WHERE NOT in_train"
 
 
-def _stage_rows(spark, model):
-    rows = [(i, type(s).__name__) for i, s in enumerate(model.stages)]
-    return spark.createDataFrame(rows, "stage int, kind string")
+@q("fit_rf_classifier", _bands_sql("customer", "c_custkey", "c_nationkey", "middle"))
+def fit_rf_classifier(spark, sf):
+    res = _bands(spark, sf, "customer", "c_custkey", "c_nationkey", "RandomForestClassifier")
+    return res.predictions.select("c_custkey", "band", "predicted_band")
+
+
+@q("fit_gbt_classifier", _bands_sql("labels", "doc_id", "doc_id", "high"))
+def fit_gbt_classifier(spark, sf):
+    res = _bands(spark, sf, "labels", "doc_id", "doc_id", "GBTClassifier")
+    return res.predictions.select("doc_id", "band", "predicted_band")
 
 
-@q("fit_pipeline")
+@q("fit_pipeline", LINE_TERMS_SQL)
 def fit_pipeline(spark, sf):
-    return _stage_rows(spark, train(T(spark, sf, "part"), "p_retailprice", algorithm="LinearRegression",
-                                    split_keys=["p_partkey"]).model)
+    return _line_terms(spark, _line(spark, sf).model)
 
 
-@q("predict")
+@q("predict", LINE_SQL + """
+SELECT p_partkey, p_retailprice AS __label, round(a * p_partkey + b, 4) AS prediction FROM s, m WHERE NOT in_train""")
 def predict(spark, sf):
-    res = train(T(spark, sf, "part"), "p_retailprice", algorithm="LinearRegression", split_keys=["p_partkey"])
-    return res.predictions.select("p_partkey", fx.LABEL, "prediction")
+    return _line(spark, sf).predictions.select("p_partkey", fx.LABEL, F.round("prediction", 4).alias("prediction"))
 
 
-@q("feature_importance")
+@q("feature_importance", "SELECT 'size_class' AS feature, CAST(1 AS DOUBLE) AS value FROM part HAVING count(*) > 0")
 def feature_importance(spark, sf):
-    return _part_model(spark, sf, "RandomForestRegressor").importances
+    return _size_model(spark, sf, "grade", "RandomForestRegressor").importances
 
 
-@q("train_report")
+@q("train_report", """SELECT * FROM (VALUES ('model', 'algorithm', 'RandomForestClassifier'),
+  ('model', 'task', 'classification'), ('model', 'name', 'bands'), ('metric', 'accuracy', '1.0'),
+  ('metric', 'weightedPrecision', '1.0'), ('metric', 'weightedRecall', '1.0'),
+  ('importance', 'zone', '1.0')) AS r(section, name, value)""")
 def train_report(spark, sf):
-    return report(train(T(spark, sf, "customer"), "c_mktsegment", split_keys=["c_custkey"]), "segments")
+    return report(_bands(spark, sf, "customer", "c_custkey", "c_nationkey", "RandomForestClassifier"), "bands")
 
 
-@q("sink_model")
+@q("sink_model", LINE_TERMS_SQL)
 def sink_model(spark, sf):
     path = sk.model_path(scratch_path(spark, "models"), owner=7, name="part_price")
-    res = train(T(spark, sf, "part"), "p_retailprice", algorithm="LinearRegression",
-                split_keys=["p_partkey"], save_path=path)
-    return _stage_rows(spark, sk.load_model(res.path))
+    return _line_terms(spark, sk.load_model(_line(spark, sf, save_path=path).path))
 
 
-@q("score_saved_model")
+@q("score_saved_model", LINE_SQL + "\nSELECT p_partkey, round(a * p_partkey + b, 4) AS prediction FROM s, m")
 def score_saved_model(spark, sf):
     path = scratch_path(spark, "model")
-    train(T(spark, sf, "part"), "p_retailprice", algorithm="LinearRegression", split_keys=["p_partkey"],
-          save_path=path)
-    return sk.load_model(path).transform(T(spark, sf, "part")).select("p_partkey", "prediction")
+    _line(spark, sf, save_path=path)
+    scored = sk.load_model(path).transform(T(spark, sf, "part"))
+    return scored.select("p_partkey", F.round("prediction", 4).alias("prediction"))
 
 
 # ---------------------------------------------------------------- evaluators on rule-based predictions

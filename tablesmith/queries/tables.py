@@ -32,6 +32,8 @@ def q(name, sql=None):
 CUSTOMER_CSV_SQL = ("SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, "
                     "c_acctbal, c_mktsegment FROM customer")
 
+CUSTOMER_COLS = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
 # ---------------------------------------------------------------- 2.A sources / sinks
 
 
@@ -56,11 +58,12 @@ def scan_sample(spark, sf):
     return fs.scan_sample(T(spark, sf, "orders"), 2000, ["o_orderkey"])
 
 
-@q("sink_json_records")
+@q("sink_json_records", "SELECT " + ", ".join(
+    f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in CUSTOMER_COLS) + " FROM customer")
 def sink_json_records(spark, sf):
     path = scratch_path(spark, "json")
     sk.write_json_records(T(spark, sf, "customer"), path)
-    return spark.read.text(path).withColumnRenamed("value", "json")
+    return spark.read.schema(", ".join(f"{c} string" for c in CUSTOMER_COLS)).json(path)
 
 
 @q("sink_activity_log",

@@ -72,3 +72,14 @@ def test_no_local_checkpoint_folder_on_a_cluster():
 
     with _pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(_Remote())
+
+
+def test_number_ignores_white_space_and_nan(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from tablesmith.functions.numbers import js_number
+    s = spark.createDataFrame([("\t12\n",), ("\t",), ("\u00a07",)], "v string")
+    assert [r[0] for r in s.select(js_number("v")).collect()] == [12.0, 0.0, 7.0]
+    n = spark.createDataFrame([(float("nan"),), (None,), (2.0,)], "v double")
+    assert [r[0] for r in n.select(js_number(F.col("v"), T.DoubleType())).collect()] == [0.0, 0.0, 2.0]
+    assert [r[0] for r in n.select(js_number(F.col("v"), T.DoubleType(), "skip")).collect()] == [None, None, 2.0]

@@ -175,3 +175,18 @@ def test_split_keeps_rows_with_null_keys(spark):
     df = spark.createDataFrame([(None if i % 7 == 0 else i % 11, i) for i in range(100)], "k int, v int")
     a, b = fx.train_test_split(df, ["k"])
     assert a.count() + b.count() == 100
+
+
+def test_all_levels_are_encoded_unless_the_caller_sets_a_limit(spark):
+    df = spark.range(10010).select(F.col("id").alias("row_id"), F.concat(F.lit("v"), F.col("id") % 1001).alias("word"),
+                                   (F.col("id") % 5).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    res = train(df, "y", mode="A", algorithm="LinearRegression", split_keys=["row_id"])
+    assert res.categorical == ["word"] and len(res.slot_names) == 1002
+    res = train(df, "y", mode="A", algorithm="LinearRegression", split_keys=["row_id"], max_categories=500)
+    assert res.categorical == [] and any("word" in n for n in res.notes)
+
+
+def test_split_without_keys_keeps_all_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 4).alias("v"))
+    a, b = fx.train_test_split(df)
+    assert a.count() + b.count() == 1000 and 100 < b.count() < 300

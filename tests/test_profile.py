@@ -82,19 +82,26 @@ def test_corr_matrix_min_count(spark):
     assert all(r["r"] == 0.0 for r in corr_matrix(df).collect())
 
 
-def test_gramian_path_matches_sql(spark):
-    import tablesmith.operators.corr as c
-    li = lineitem_nulls(spark, SF_MID).select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    sql = {(r["a"], r["b"]): r["r"] for r in corr_pairs(li, nulls="zero").collect()}
-    old = c.MATRIX_THRESHOLD
-    c.MATRIX_THRESHOLD = 1
-    try:
-        gram = {(r["a"], r["b"]): r["r"] for r in corr_pairs(li, nulls="zero").collect()}
-    finally:
-        c.MATRIX_THRESHOLD = old
-    assert sql.keys() == gram.keys()
-    for k in sql:
-        assert gram[k] == pytest.approx(sql[k], abs=1e-9)
+def _gappy(spark, n):
+    cell = lambda i: F.when((F.col("id") + i) % 9 != 0, ((F.col("id") * (i + 3)) % 17).cast("double")).otherwise(float("nan"))
+    return spark.range(300).select(*[cell(i).alias(f"c{i}") for i in range(n)])
+
+
+@pytest.mark.parametrize("nulls", ["zero", "pairwise"])
+def test_corr_is_the_same_at_every_width(spark, nulls):
+    import numpy as np
+    d = _gappy(spark, 2).toPandas()
+    exp = (d.fillna(0.0) if nulls == "zero" else d.dropna()).corr().iloc[0, 1]
+    for n in (2, 48, 49):
+        r = corr_pairs(_gappy(spark, n), nulls=nulls).where("a = 'c0' AND b = 'c1'").first()["r"]
+        assert np.isclose(r, exp, atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [8, 60])
+def test_corr_reads_its_input_once(spark, n):
+    df = _gappy(spark, n)
+    for out in (corr_pairs(df), corr_matrix(df, nulls="pairwise"), corr_with_target(df, "c0")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
 
 
 def test_describe_matches_pandas(spark):
@@ -106,22 +113,6 @@ def test_describe_matches_pandas(spark):
     assert (d["q1"], d["median"], d["q3"]) == (s["25%"], s["50%"], s["75%"])
 
 
-def test_blocked_pairwise_matches_single_block(spark):
-    import tablesmith.operators.corr as c
-    li = lineitem_nulls(spark, SF_MID)
-    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    one = {(r["x"], r["y"]): r["r"] for r in corr_matrix(li, cols, nulls="pairwise").collect()}
-    old = c.BLOCK
-    c.BLOCK = 3
-    try:
-        blocked = {(r["x"], r["y"]): r["r"] for r in corr_matrix(li, cols, nulls="pairwise").collect()}
-    finally:
-        c.BLOCK = old
-    assert one.keys() == blocked.keys() and len(one) == 49
-    for k in one:
-        assert blocked[k] == pytest.approx(one[k], abs=1e-12)
-
-
 def test_profile_plan_end_to_end_from_csv(spark):
     from tablesmith.plans.profile import correlation_dict
     from tablesmith.session import scratch_path
