@@ -2,9 +2,13 @@
 
 Byte windows of `window` bytes that may repeat are found by their anchors (see repeats).
 Runs of equal content repeat as a whole. Where runs of different content share an anchor,
-the suffixes that start at the anchors are sorted: each task sorts its own, sends them
+each is cut into parts: windows whose distance from start to anchor lies in one of `PARTS`
+ranges. All windows of a part hold its core, the bytes from the last of their starts to the
+first of their ends, so equal windows have equal cores and a part whose core occurs once is
+dropped; a short passage in many surroundings thus falls apart. Parts of equal cores form a
+group. The suffixes that start at a group's anchors are sorted: each task sorts its own, sends them
 front-coded (length of the prefix shared with the one before, and the rest) to the task
-of the anchor, and there a loser tree merges the sorted runs. The tree knows for each
+of the group, and there a loser tree merges the sorted runs. The tree knows for each
 run how long a prefix it shares with the last suffix given out, so known prefixes are
 never compared again, and it gives the common prefix of neighbours with the order. Of a
 group of suffixes, two share a window at offset o before the anchor if they agree on
@@ -32,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm.common import keyed, stored
-from tablesmith.llm.repeats import byte_values, repeated_runs, same_document, texts
+from tablesmith.llm.repeats import U, Rolled, _flat, byte_values, mix, repeated_runs, same_document, texts
 
 WINDOW = 400
 ANCHOR = 32
 HEAD = struct.Struct("<HHHqqi?")
 RUN_BYTES = 32 << 20
+PARTS = 8
+GROUP_ROWS = 4096
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -129,9 +135,9 @@ def merge(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple[int,
 
 
 def shared_windows(lcps: list[int], group: list[tuple[bytes, tuple]], window: int, head: int) -> list[list[tuple[int, int]]]:
-    """For each suffix of a group (one anchor, suffix order), the offsets (from, to) of windows that another one has.
+    """For each suffix of a group (suffix order), the offsets (from, to) of windows that another one has.
 
-    lcps[i]: prefix shared by suffixes i and i + 1; each suffix begins with `head` bytes of the anchor's hash.
+    lcps[i]: prefix shared by suffixes i and i + 1; each suffix begins with `head` bytes of the core's hash.
     """
     n = len(group)
     right = np.array(lcps, np.int64) - head
@@ -158,6 +164,53 @@ def shared_windows(lcps: list[int], group: list[tuple[bytes, tuple]], window: in
     return out
 
 
+PART_SCHEMA = "doc_id long, th long, start int, n int, anchor int, core long"
+
+
+def _parts(window: int):
+    """Runs cut by the distance from a window's start to its anchor, each part with the hash of its core."""
+    most = window - ANCHOR
+    width = -(-(most + 1) // PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t, paths in zip(texts(b), b.column("paths").to_pylist()):
+                a, start, n = (np.array([p[c] for p in paths], np.int64) for c in ("anchor", "start", "n"))
+                rolled = Rolled(byte_values(t))
+                cut = []
+                for k, low in enumerate(range(0, most + 1, width)):
+                    high = min(low + width - 1, most)
+                    far, near = np.minimum(a - start, high), np.maximum(a - start - n + 1, low)
+                    at = np.flatnonzero(near <= far)
+                    core = rolled.stretch(a[at] - low, a[at] - high + window)
+                    cut.append((a[at] - far[at], (far - near)[at] + 1, a[at], mix(core + U(k))))
+                found.append(tuple(np.concatenate(c) for c in zip(*cut)))
+            yield _flat(b, found, {"doc_id": (-1, np.int64), "th": (-1, np.int64), "start": (0, np.int32), "n": (1, np.int32),
+                                   "anchor": (2, np.int32), "core": (3, np.int64)})
+    return run
+
+
+def _single_windows(window: int):
+    """Every window of the parts with its core and the hash of its bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for t, paths in zip(texts(b), b.column("paths").to_pylist()):
+                start, n, core = (np.array([p[c] for p in paths], np.int64) for c in ("start", "n", "core"))
+                at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append((np.repeat(core, n), Rolled(byte_values(t)).stretch(at, at + window), at))
+            yield _flat(b, found, {"core": (0, np.int64), "bytes": (1, np.int64), "doc_id": (-1, np.int64), "th": (-1, np.int64),
+                                   "start": (2, np.int32)})
+    return run
+
+
+def _with_paths(base: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """Documents of `rows` with their text and all their rows; at most a document's own rows come together."""
+    by_doc = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*cols)).alias("paths"))
+    return base.join(by_doc, same_document(base, by_doc)).select(base["doc_id"], base["th"], "text", "paths")
+
+
 def _suffix_runs(window: int, buckets: int):
     def flush(held: dict[int, list]) -> pd.DataFrame:
         for v in held.values():
@@ -173,7 +226,7 @@ def _suffix_runs(window: int, buckets: int):
             for doc, th, t, paths in zip(ids, ths, texts(b), b.column("paths").to_pylist()):
                 for p in paths:
                     a, start = p["anchor"], p["start"]
-                    key = p["mkey"] & 0xFFFFFFFFFFFFFFFF
+                    key = p["core"] & 0xFFFFFFFFFFFFFFFF
                     s = key.to_bytes(8, "big") + t[a:start + p["n"] - 1 + window]
                     before = t[start:a][::-1]
                     held.setdefault(key % buckets, []).append((s, before, doc or 0, th, start, doc is None))
@@ -232,7 +285,7 @@ def _merged(window: int):
     return run
 
 
-def repeated_byte_spans(base: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_byte_spans(base: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, th, start, n): n windows from byte `start` that also start elsewhere."""
     spark = base.sparkSession
     runs = repeated_runs(base, byte_values, ANCHOR, window, "byte-runs")
@@ -244,14 +297,20 @@ def repeated_byte_spans(base: DataFrame, window: int = WINDOW) -> DataFrame:
     crossed = kinds.groupBy("mkey").agg(F.count("*").alias("c"), F.min("places").alias("least"))
     crossed = crossed.where("c > 1 and least = 1").select("mkey")  # else all of the anchor's runs are copies
     crossed = stored(crossed, "byte-crossed")
-    open_runs = kinds.join(crossed, "mkey", "left_semi").select("first.*", "mkey", "n", "off")
-    by_doc = open_runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct(
-        "start", "n", "mkey", (F.col("start") + F.col("off")).alias("anchor"))).alias("paths"))
-    d = base.join(by_doc, same_document(base, by_doc)).select(base["doc_id"], base["th"], "text", "paths")
+    open_runs = kinds.join(crossed, "mkey", "left_semi").select("first.*", "n", (F.col("first.start") + F.col("off")).alias("anchor"))
+    parts = stored(_with_paths(base, open_runs, "start", "n", "anchor").mapInArrow(_parts(window), PART_SCHEMA), "byte-parts")
+    groups = stored(parts.groupBy("core").agg(F.count("*").alias("size")).where("size > 1"), "byte-groups")
+    parts = stored(parts.join(groups, "core"), "byte-alike")
+    small = _with_paths(base, parts.where(F.col("size") <= group_rows), "start", "n", "anchor", "core")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_runs = d.mapInArrow(_suffix_runs(window, buckets), "bucket long, run binary")
-    part = sorted_runs.repartition(buckets, "bucket").mapInArrow(_merged(window), SPANS)
-    return whole.select("doc_id", "th", "start", "n").unionByName(part)
+    sorted_runs = small.mapInArrow(_suffix_runs(window, buckets), "bucket long, run binary")
+    merged = sorted_runs.repartition(buckets, "bucket").mapInArrow(_merged(window), SPANS)
+    large = _with_paths(base, parts.where(F.col("size") > group_rows), "start", "n", "core")
+    single = stored(large.mapInArrow(_single_windows(window), "core long, bytes long, doc_id long, th long, start int"), "byte-windows")
+    again = single.groupBy("core", "bytes").agg(F.count("*").alias("c")).where("c > 1").select("core", "bytes")
+    single = single.join(stored(again, "byte-again"), ["core", "bytes"], "left_semi").withColumn("n", F.lit(1))
+    cols = ("doc_id", "th", "start", "n")
+    return whole.select(*cols).unionByName(merged).unionByName(single.select(*cols))
 
 
 def _rebuild(window: int, digest: bool):
@@ -284,10 +343,10 @@ def _rebuild(window: int, digest: bool):
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
-                 digest: bool = False) -> DataFrame:
+                 digest: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes; with `digest` kept_sha256)."""
     base = keyed(docs, text, doc_id)
-    spans = stored(repeated_byte_spans(base, window), "byte-spans")
+    spans = stored(repeated_byte_spans(base, window, group_rows), "byte-spans")
     spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     d = base.join(spans, same_document(base, spans), "left").select(base["doc_id"], "text", "spans")
     last = "kept_sha256 string" if digest else "kept binary"

@@ -110,7 +110,8 @@ def test_substring_dedup(docs, data):
     assert {k: v for k, v in have.items() if k[0] not in twice} == {k: v for k, v in want.items() if k[0] not in twice}
 
 
-def test_suffix_dedup(docs, data):
+@pytest.mark.parametrize("group_rows", [suffix.GROUP_ROWS, 3, 1])
+def test_suffix_dedup(docs, data, group_rows):
     w, want = 400, Counter()
     raw = [(i, (t or "").encode()) for i, t in data]
     count = Counter(b[j:j + w] for _, b in raw for j in range(len(b) - w + 1))
@@ -121,7 +122,7 @@ def test_suffix_dedup(docs, data):
                 m[j:j + w] = b"\1" * w
         spans = sum(1 for j in range(len(m)) if m[j] and (j == 0 or not m[j - 1]))
         want[i, len(b), sum(m), spans, hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest()] += 1
-    assert got(suffix.suffix_dedup(docs, digest=True), ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == want
+    assert got(suffix.suffix_dedup(docs, digest=True, group_rows=group_rows), ["n_bytes", "n_removed", "n_spans", "kept_sha256"]) == want
 
 
 def test_merge_keeps_order_and_prefixes():
