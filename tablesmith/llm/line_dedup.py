@@ -11,6 +11,14 @@ grouping proves that a 128-bit key names one text, and only then are places join
 by key. A key of two texts removes nothing. Hot chunks meet in a join of rows without
 text, which Spark can split, and nowhere else.
 
+`passage_dedup` loses nothing between chunk edges: every window of `min_lines` consecutive
+lines that holds a word and stands earlier (same order of places) goes with all its lines,
+so of each repeated passage of at least `min_lines` lines nothing but the first place stays.
+Windows are counted by a 128-bit key in rows without text; only windows of a repeated key
+are then grouped by their bytes, and a key of two texts removes nothing. The first place
+of every single line stays; where windows of one first place overlap (a line repeated in
+a row), lines of it can go as part of a later window.
+
 All steps are DataFrame expressions. Defined results: a NULL text counts as empty; rows
 that repeat doc_id and text are one document and get the same result; a NULL doc_id comes
 first; chunks without a word stay; an empty table gives an empty result. Columns other
@@ -22,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import WORD, keyed
+from tablesmith.llm.common import WORD, keyed, stored
 
 SPREAD = 3
 MIN_LINES = 2
@@ -51,19 +59,8 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD,
-               min_lines: int = MIN_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept_text, and `keep`."""
-    base = keyed(docs, text, doc_id)
-    chunks = _chunks(base, spread, min_lines)
-    place = F.struct("doc_id", "th", "start")
-    by_bytes = chunks.groupBy("k1", "k2", "t").agg(F.count("*").alias("c"), F.min(place).alias("first"))
-    repeated = by_bytes.groupBy("k1", "k2").agg(
-        F.count("*").alias("texts"), F.sum("c").alias("c"), F.min("first").alias("first"))
-    repeated = repeated.where((F.col("texts") == 1) & (F.col("c") > 1)).select("k1", "k2", "first")
-    gone = chunks.select("k1", "k2", "doc_id", "th", "start", "n").join(repeated, ["k1", "k2"])
-    gone = gone.where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(
-        F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("gone"))
+def _without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """The result rows; gone: doc_id, th, and the stretches (start, n) to remove, none of which overlap."""
     t = F.coalesce(F.col(text), F.lit(""))
     whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("_t"), *keep)
     d = whole.join(gone, _same(whole, gone), "left").select(whole["doc_id"], "_t", "gone", *keep)
@@ -78,3 +75,57 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spre
     d = d.withColumn("kept_text", F.when(F.col("gone").isNull(), F.col("_t")).otherwise(F.array_join(left, "\n")))
     return d.select("doc_id", F.size("ls").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
                     "kept_text", *keep)
+
+
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD,
+               min_lines: int = MIN_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, kept_text, and `keep`."""
+    base = keyed(docs, text, doc_id)
+    chunks = _chunks(base, spread, min_lines)
+    place = F.struct("doc_id", "th", "start")
+    by_bytes = chunks.groupBy("k1", "k2", "t").agg(F.count("*").alias("c"), F.min(place).alias("first"))
+    repeated = by_bytes.groupBy("k1", "k2").agg(
+        F.count("*").alias("texts"), F.sum("c").alias("c"), F.min("first").alias("first"))
+    repeated = repeated.where((F.col("texts") == 1) & (F.col("c") > 1)).select("k1", "k2", "first")
+    gone = chunks.select("k1", "k2", "doc_id", "th", "start", "n").join(repeated, ["k1", "k2"])
+    gone = gone.where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(
+        F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("gone"))
+    return _without(docs, gone, doc_id, text, keep)
+
+
+def _windows(base: DataFrame, min_lines: int) -> DataFrame:
+    """(doc_id, th, start, k1, k2): every window of min_lines lines that holds a word."""
+    d = base.withColumn("ls", F.split("text", "\n", -1)).drop("text")
+    d = d.withColumn("a", F.transform("ls", lambda x: F.xxhash64(x))).withColumn(
+        "b", F.transform("ls", lambda x: F.xxhash64(F.lit(FACTOR), x)))
+    d = d.withColumn("w", F.transform("ls", lambda x: x.rlike(WORD))).drop("ls")
+    starts = F.when(F.size("a") >= min_lines, F.sequence(F.lit(0), F.size("a") - min_lines)).otherwise(
+        F.array().cast("array<int>"))
+    starts = F.filter(starts, lambda i: F.array_contains(F.slice("w", i + 1, min_lines), True))
+    keys = F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice("a", i + 1, min_lines)).alias("k1"),
+                                                  F.xxhash64(F.slice("b", i + 1, min_lines)).alias("k2")))
+    return d.select("doc_id", "th", F.explode(keys).alias("c")).select("doc_id", "th", "c.*")
+
+
+def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """As line_dedup, without every passage of at least min_lines lines that stands earlier."""
+    base = keyed(docs, text, doc_id)
+    windows = _windows(base, min_lines)
+    place = F.struct("doc_id", "th", "start")
+    repeated = windows.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(place).alias("first"))
+    repeated = repeated.where("c > 1").drop("c")
+    found = windows.join(repeated, ["k1", "k2"])
+    found = stored(found.select("doc_id", "th", "start", "k1", "k2", (~place.eqNullSafe(F.col("first"))).alias("later")), "line-windows")
+    at = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "k1", "k2")).alias("at"))
+    at = base.join(at.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "h"),
+                   base["doc_id"].eqNullSafe(F.col("d")) & (base["th"] == F.col("h")))
+    at = at.withColumn("ls", F.split("text", "\n", -1))
+    at = at.select(F.explode(F.transform("at", lambda w: F.struct(
+        w["k1"].alias("k1"), w["k2"].alias("k2"), F.array_join(F.slice("ls", w["start"] + 1, min_lines), "\n").alias("t")))).alias("w"))
+    texts = at.select("w.*").groupBy("k1", "k2", "t").agg(F.lit(1).alias("one"))
+    mixed = texts.groupBy("k1", "k2").agg(F.count("*").alias("texts")).where("texts > 1")
+    gone = found.where("later").join(mixed, ["k1", "k2"], "left_anti").groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
+    lines = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+    gone = gone.select("doc_id", "th", F.transform(lines, lambda i: F.struct(i.alias("start"), F.lit(1).alias("n"))).alias("gone"))
+    return _without(docs, gone, doc_id, text, keep)

@@ -94,6 +94,48 @@ def test_line_dedup_is_whole_and_first_places_stay(docs, data):
     assert sum(r.n_removed for r in res) > 0
 
 
+def passages():
+    """Documents of lines of their own around shared passages of 2 to 40 lines, each twice in other surroundings."""
+    rng = random.Random(11)
+    own = lambda n: ["own line %d" % rng.randrange(10**9) for _ in range(n)]
+    out = [(0, None), (1, ""), (2, "\n\n\n"), (3, "\n \n\n"), (4, "a\na\na\na"), (5, "only line"), (6, "only line")]
+    for n in range(2, 41):
+        p = ["passage %d line %d" % (n, k) for k in range(n)]
+        for k in range(2):
+            out.append((100 * n + k, "\n".join(own(rng.randint(0, 4)) + p + own(rng.randint(0, 4)))))
+    return [*out, (None, out[20][1]), (9000, "\n".join(["", "alone", "", *own(2)]))]
+
+
+@pytest.mark.parametrize("min_lines", [2, 3])
+def test_passage_dedup(spark, docs, data, min_lines):
+    shared = passages()
+    for table_, rows_ in ((table(spark, shared), shared), (docs, data)):
+        seen, want = {}, Counter()
+        for i, t in sorted(rows_, key=lambda x: (x[0] is not None, x[0] or 0)):
+            ls, gone = (t or "").split("\n"), set()
+            for j in range(len(ls) - min_lines + 1):
+                w = tuple(ls[j:j + min_lines])
+                if any(WORD.search(x) for x in w) and seen.setdefault(w, (i, j)) != (i, j):
+                    gone |= set(range(j, j + min_lines))
+            want[i, len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone)] += 1
+        have = got(line_dedup.passage_dedup(table_, min_lines=min_lines), ["n_lines", "n_removed", "kept_text"])
+        twice = {i for i, c in Counter(i for i, _ in rows_).items() if c > 1}  # ordered by text hash
+        assert {k: v for k, v in have.items() if k[0] not in twice} == {k: v for k, v in want.items() if k[0] not in twice}
+
+
+def test_passage_dedup_of_an_empty_table(spark):
+    assert line_dedup.passage_dedup(table(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_pipeline_removes_passages_of_every_length(spark):
+    import corpus_pipeline
+
+    shared = passages()
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, table(spark, shared), "").collect()}
+    for n in range(2, 41):
+        assert sum("passage %d line" % n in (left[i] or "") for i in (100 * n, 100 * n + 1, None)) <= 1
+
+
 def test_substring_dedup(docs, data):
     seen, want = {}, Counter()
     order = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0))
