@@ -8,13 +8,16 @@ sketches are candidates. Verification aligns the shingle sequences inside the ba
 shifts that the threshold allows; similarity is aligned shingles / (all - aligned), 0.8 or
 more links two texts, and linked texts form classes.
 
-Equal word sequences are one class member (combined before any shuffle). A bucket's
-members are paired with its smallest member only, by an aggregation and a join of rows
-without text; buckets of two and of three neighbouring sketches split each bucket again,
-each with a smallest member of its own, so members that do not resemble a large bucket's
-first still meet their like. First each text is verified against the candidate with which
-it shares most buckets, then all other candidates that are still in another class. No
-group is collected and no pairs within a group are listed.
+Equal word sequences are one class member (combined before any shuffle). At first a
+bucket's members are paired with its smallest member only, by an aggregation and a join of
+rows without text; buckets of two and of three neighbouring sketches split each bucket
+again, each with a smallest member of its own. Each text is verified against the candidate
+with which it shares most buckets, then all other candidates that are still in another
+class. That leaves most buckets with one class. In the others the classes are ranked, and
+the members of the first, of the next two, four, eight, ... are paired with those of all
+later classes, unless they are in one class by then or their lengths exclude a link. So all
+texts that share a sketch are verified or in one class in the end; the work grows with
+the pairs of texts that share a sketch without being linked. No group is collected.
 
 Defined results: a text of one to four words is one shingle; texts without words (NULL,
 empty) are equal to each other; the smallest doc_id (NULL first) of a class stays, of rows
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.llm.common import keyed, stored
@@ -131,8 +134,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "c2": pa.array(np.array(c2, U).view(np.int64)), "n": pa.array(n, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """(x, p, c): texts and the smallest of a bucket they share, c buckets, lengths that can be linked."""
+def _linkable() -> Column:
+    return F.least("n", "pn") >= F.greatest("n", "pn") * THRESHOLD
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(x, n, depth, bucket): the buckets of texts that share a sketch, by a sketch (depth 0) or several."""
     # a text alone with a sketch is alone in that sketch's narrower buckets too
     tops = F.transform("keys", lambda k, i: F.xxhash64(i, k))
     has = members.where(F.size("keys") > 0).select("x", "n", "keys", F.posexplode(tops).alias("i", "top"))
@@ -140,13 +147,38 @@ def candidates(members: DataFrame) -> DataFrame:
     narrow = F.transform(F.sequence(F.lit(1), F.lit(DEPTH)),
                          lambda depth: F.xxhash64(depth, "i", F.slice(F.concat("keys", "keys"), F.col("i") + 1, depth)))
     rows = has.select("x", "n", "top", narrow.alias("buckets")).join(stored(shared, "near-shared"), "top", "left_semi")
-    rows = stored(rows.select("x", "n", F.explode("buckets").alias("bucket")), "near-buckets")
+    return stored(rows.select("x", "n", F.posexplode("buckets").alias("depth", "bucket")), "near-buckets")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(x, p, c): texts and the smallest of a bucket they share, c buckets, lengths that can be linked."""
     first = rows.groupBy("bucket").agg(F.min(F.struct("x", "n")).alias("f"), F.count("*").alias("size")).where("size > 1")
     pairs = rows.join(first.select("bucket", F.col("f.x").alias("p"), F.col("f.n").alias("pn")), "bucket")
-    pairs = pairs.where((F.col("x") != F.col("p")) & (F.least("n", "pn") >= F.greatest("n", "pn") * THRESHOLD))
+    pairs = pairs.where((F.col("x") != F.col("p")) & _linkable())
     return pairs.groupBy("x", "p").agg(F.count("*").alias("c"))
 
 
+def ranked(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, x, n, rank): members of the buckets with several classes, and the rank of their class there."""
+    rows = rows.where("depth = 0").join(roots, "x", "left").select("bucket", "x", "n", F.coalesce("root", "x").alias("root"))
+    several = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
+    rows = stored(rows.join(several, "bucket", "left_semi"), "near-open")
+    order = Window.partitionBy("bucket").orderBy("root")
+    ranks = rows.select("bucket", "root").distinct().withColumn("rank", F.row_number().over(order))
+    return stored(rows.join(ranks, ["bucket", "root"]).select("bucket", "x", "n", "rank"), "near-ranks")
+
+
+def remaining(open_rows: DataFrame, roots: DataFrame, done: DataFrame, low: int) -> DataFrame:
+    """(x, p): unverified pairs of texts that share a sketch, p's class there ranked from low to below 2 * low, x's behind it."""
+    now = open_rows.join(roots, "x", "left").withColumn("root", F.coalesce("root", "x"))
+    p = now.where((F.col("rank") >= low) & (F.col("rank") < 2 * low)).select(
+        "bucket", F.col("x").alias("p"), F.col("n").alias("pn"), F.col("rank").alias("p_rank"), F.col("root").alias("p_root"))
+    pairs = now.where(F.col("rank") > low).join(p, "bucket").where(
+        (F.col("rank") > F.col("p_rank")) & (F.col("root") != F.col("p_root")) & _linkable())
+    pairs = pairs.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p")).distinct()
+    return pairs.join(done, ["x", "p"], "left_anti")
+
+
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_p = None, None
@@ -196,8 +228,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
     members = stored(base.mapInArrow(_sketch, "doc_id long, th long, c1 long, c2 long, n int, keys array<long>"), "near-sketches")
     x = F.struct("doc_id", "th")
     reps = members.groupBy("c1", "c2").agg(F.min(x).alias("x"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    pairs = stored(candidates(reps), "near-pairs")
-    nodes = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
+    rows = shared_buckets(reps)
+    pairs = stored(candidates(rows), "near-pairs")
+    nodes = rows.select("x").distinct()
     nodes = nodes.select(F.col("x.doc_id").alias("d"), F.col("x.th").alias("h"))
     nodes = nodes.hint("merge")  # grows with the input: never broadcast
     involved = base.join(nodes, base["doc_id"].eqNullSafe(F.col("d")) & (base["th"] == F.col("h")), "left_semi")
@@ -211,6 +244,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thre
         F.coalesce("rx", "x") != F.coalesce("rp", "p")).select("x", "p")
     more = stored(verified(rest, involved, threshold), "near-links")
     roots = classes(roots.select("x", F.col("root").alias("p")).unionByName(more))
+    open_rows = ranked(rows, roots)
+    last, done, low = open_rows.agg(F.max("rank")).first()[0] or 0, pairs.select("x", "p"), 1
+    while low < last:
+        rest = stored(remaining(open_rows, roots, done, low), "near-pairs")
+        more = stored(verified(rest, involved, threshold), "near-links")
+        if more.count():
+            roots = classes(roots.select("x", F.col("root").alias("p")).unionByName(more))
+        done, low = done.unionByName(rest), 2 * low
     reps = reps.select("c1", "c2", "x").join(roots, "x", "left").select("c1", "c2", F.coalesce("root", "x").alias("root"))
     out = members.groupBy("doc_id", "th", "c1", "c2").agg(F.count("*").alias("m")).join(reps, ["c1", "c2"])
     out = stored(out.select("doc_id", "th", "m", "root"), "near-classes")

@@ -190,6 +190,27 @@ def test_near_dedup(docs, data):
     assert sum(r.kept for r in res) == len({(r.class_id) for r in res})
 
 
+def family(n=160):
+    """Texts that share a template and stay below 0.8; each of the first half has one partner in the second above it."""
+    rng = random.Random(9)
+    own = lambda k: ["o%d" % rng.randrange(10**9) for _ in range(k)]
+    template = own(91)
+    pairs = [own(4) for _ in range(n // 2)]
+    order = rng.sample(range(n // 2), n // 2)
+    return [(k, " ".join(template + pairs[p] + own(9))) for k, p in enumerate([*range(n // 2), *order])]
+
+
+def test_near_dedup_links_inside_a_family_below_the_threshold(spark):
+    rows_ = family()
+    sh = [near_dedup.shingles(near_dedup.word_values(t.encode())) for _, t in rows_]
+    keys = [set(enumerate(near_dedup.sketches(x).tolist())) for x in sh]
+    cls = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, rows_)).collect()}
+    linked = [(a, b) for a in range(len(sh)) for b in range(a) if near_dedup.similarity(sh[a], sh[b]) >= 0.8 and keys[a] & keys[b]]
+    assert len(linked) == len(rows_) // 2
+    assert all(cls[a] == cls[b] for a, b in linked)
+    assert len(set(cls.values())) == len(rows_) // 2
+
+
 def test_aligned_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
