@@ -241,6 +241,19 @@ def test_quality_counts(docs, data):
     assert res.where("kept and base_failed").count() == 0
 
 
+def test_quality_rejects_wrong_language_and_random_words(spark):
+    rng = random.Random(4)
+    common = {"en": "the of and to in is it was for on as at by he".split(), "de": "der die und das ist ein zu von mit auf im den es so".split()}
+    rare = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 9)))
+    text = lambda lang, share: " ".join(rng.choice(common[lang]) if rng.random() < share else rare() for _ in range(300))
+    rows_ = [(k, text(lang, 0.4), lang) for lang, ids in (("en", range(60)), ("de", range(60, 120))) for k in ids]
+    rows_ += [(1000, text("de", 0.4), "en"), (1001, text("en", 0.4), "de"), (1002, text("en", 0), "en"), (1003, text("de", 0), "de")]
+    res = quality.judge(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()
+    assert not any(r.base_failed for r in res)
+    assert {r.doc_id for r in res if not r.kept} == {1000, 1001, 1002, 1003}
+    assert all(r.class_distance <= quality.MAX_CLASS_DISTANCE for r in res)
+
+
 def test_bpe_equals_the_library(docs, data):
     tokenizers = pytest.importorskip("tokenizers")
     path = str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
