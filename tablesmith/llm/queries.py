@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tablesmith.llm.bpe import encode_documents
 from tablesmith.llm.common import documents
 from tablesmith.llm.exact_dedup import exact_dedup
+from tablesmith.llm.filter_audit import audit
 from tablesmith.llm.language import held_out, predict_language, train_profiles
 from tablesmith.llm.line_dedup import line_dedup
 from tablesmith.llm.mixing import mix
 from tablesmith.llm.near_dedup import near_dedup
+from tablesmith.llm.packing import pack
+from tablesmith.llm.prefix_trie import conversation_trie
 from tablesmith.llm.quality import judge
 from tablesmith.llm.substring import substring_dedup
 from tablesmith.llm.suffix import suffix_dedup
@@ -70,9 +73,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")).drop("key")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(documents(spark, sf_dir), vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_exact_dedup, op3_language, op4_near_dedup, op5_warc_audit, op6_substring_dedup, op7_bpe,
-    op8_mixing, op9_suffix_dedup, op10_quality)}
+    op8_mixing, op9_suffix_dedup, op10_quality, op11_prefix_trie, op12_packing, op13_filter_audit)}
 
 ORACLE = {
     "op1_line_dedup": r"""
@@ -118,4 +134,52 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op11_prefix_trie": r"""
+        WITH t AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                          ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+                   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, own, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''),
+                         lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+                         lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 4 AS h FROM t),
+        s AS (SELECT h.c, list_concat(coalesce(b.own, [])[1:h], h.own[h + 1:]) AS seq
+              FROM h LEFT JOIN t b ON b.c = h.c - h.c % 20),
+        m AS (SELECT c, len(seq) AS n, unnest(range(len(seq) + 1)) AS d, seq FROM s),
+        k AS (SELECT c, n, d, seq[1:d] AS p, CASE WHEN d > 0 THEN len(regexp_extract_all(seq[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM m),
+        nodes AS (SELECT p, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(w) AS w,
+                         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = n), '')) AS ends_sha256 FROM k GROUP BY p),
+        kids AS (SELECT p[1:len(p) - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        up AS (SELECT p[1:a] AS p, leaf, own FROM (
+                 SELECT nodes.p, (kids.p IS NULL)::INT AS leaf, (n_convs - 1) * w AS own, unnest(range(len(nodes.p) + 1)) AS a
+                 FROM nodes LEFT JOIN kids ON kids.p = nodes.p)),
+        sums AS (SELECT p, sum(leaf)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM up GROUP BY p)
+        SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, nodes.n_convs,
+               coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, nodes.ends_sha256
+        FROM nodes JOIN sums ON sums.p = nodes.p LEFT JOIN kids ON kids.p = nodes.p
+        LEFT JOIN nodes o ON nodes.depth > 0 AND o.p = nodes.p[1:len(nodes.p) - 1]""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+        f AS (SELECT d.*, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+                     100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) AS c, regexp_matches(t, '[#$%&*|]') AS e1,
+                     doc_id > min(doc_id) OVER (PARTITION BY t) AS e2, coalesce(l.good, 0) AS good, coalesce(l.bad, 0) AS bad
+              FROM d LEFT JOIN l USING (doc_id)),
+        x AS (SELECT part, good, bad, a::INT + 2 * b::INT + 4 * c::INT + 8 * e1::INT + 16 * coalesce(e2, false)::INT AS mask, count(*) AS n
+              FROM f GROUP BY ALL),
+        v AS (SELECT part, s, sum(n) FILTER (mask & s > 0) AS gone, sum(n) AS n, sum(n) FILTER (mask & s > 0 AND good = 1) AS good,
+                     sum(n) FILTER (mask & s > 0 AND bad = 1) AS bad FROM x, range(32) r(s) GROUP BY part, s),
+        g AS (SELECT part, s, coalesce(gone, 0) AS gone, n, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM v),
+        i AS (SELECT unnest(range(5)) AS i),
+        o AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS o FROM i p, i q, i r, i s, i t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+        st AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+        sb AS (SELECT list_aggregate(list_transform(o, lambda y: substr('ABCDE', y::INT + 1, 1)), 'string_agg', '') AS filter_order, step, o[step] AS i,
+                      coalesce(list_sum(list_transform(o[1:step - 1], lambda y: (1 << y))), 0)::BIGINT AS before FROM st),
+        r AS (SELECT z.part, filter_order, step, i, z.n - z.gone AS kept, z.gone - y.gone AS removed, one.gone - z.gone + y.gone AS redundant,
+                     everyone.gone - rest.gone AS unique_fails, z.good - y.good AS good_lost, z.bad - y.bad AS toxic_lost
+              FROM sb JOIN g y ON y.s = before JOIN g z ON z.part = y.part AND z.s = before + (1 << i)
+              JOIN g one ON one.part = y.part AND one.s = (1 << i) JOIN g everyone ON everyone.part = y.part AND everyone.s = 31
+              JOIN g rest ON rest.part = y.part AND rest.s = 31 - (1 << i))
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM r""",
 }
