@@ -39,11 +39,24 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """`df` written below spark.checkpoint.dir and read again: cuts the lineage, survives lost executors.
+
+    The table's path is added to `made`, for `discard`.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of jobs that are over
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete stored tables that no later step reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while made:
+        path = jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(conf).delete(path, True)
