@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import text_of, words_of
+from tablesmith.llm.common import stored, text_of, words_of
 
 FILTERS = "ABCDE"
 MARKS = "[#$%&*|]"
@@ -59,7 +59,8 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(len(FILTERS)), t).alias("k2"), F.length(t).alias("k3"),
                     text_failures(t).alias("mask"))
     copies = d.groupBy("k1", "k2", "k3").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    d = d.join(copies.drop("c"), ["k1", "k2", "k3"], "left")
+    copies = stored(copies.drop("c"), "audit-copies")  # stored, so that the join can split a hot text
+    d = d.join(copies, ["k1", "k2", "k3"], "left")
     later = F.col("first").isNotNull() & F.col("doc_id").isNotNull() & (
         F.col("first.doc_id").isNull() | (F.col("doc_id") > F.col("first.doc_id")))
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
