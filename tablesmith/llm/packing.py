@@ -6,16 +6,17 @@ first; the rest of each document, its unit, is packed with the units most like i
 - Terms are token ids. How many units hold each one is counted over all units, so the table
   has at most as many rows as the vocabulary has ids; it goes to every task with the mean
   length.
-- Units are dealt to shards of about `shard_tokens` ids by their term of highest BM25
-  weight. Terms are laid side by side until a shard is full; a term that fills more than one
-  shard is spread over several by row number, so no term and no group of copies is hot.
+- Units are dealt to shards of about `shard_tokens` ids by their leading term, the one with
+  the highest id: BPE learned it last, so it is rare, and copies share it. Terms are laid
+  side by side until a shard is full; a term that fills more than one shard is spread over
+  several by row number, so no term and no group of copies is hot.
 - Each shard is one group: an inverted index (terms, then postings with weights) answers a
   query for each seed, the first unused unit. The seed's window takes unused neighbours by
   falling score, all that fit whole; the best one left is cut to fill the window, and its
   rest is the next seed. So all windows are full but a shard's last, which is cut into
   lengths that are powers of two.
 
-Every id is in exactly one piece. Whole windows are spread over the shards by row number.
+Every id is in exactly one piece. Whole windows go to shards like units, but are not in the index.
 
 Defined results: a NULL or empty text is its end id alone; equal rows are separate
 documents; neighbours of equal score (rounded to 9 places) follow in row order; an empty
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.bpe import load
+from tablesmith.llm.batch_bpe import batch_encoder
 from tablesmith.llm.common import stored, text_of
 
 WIDTH = 2048
@@ -39,7 +40,7 @@ SHARD_TOKENS = 1 << 18
 END_ID = 1
 K1, B = 1.5, 0.75
 BATCH_TOKENS = 1 << 20
-UNITS = "doc_id long, start long, doc_tokens long, ids binary"
+UNITS = "doc_id long, start long, doc_tokens long, lead int, ids binary, counts array<int>"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,33 +48,41 @@ def _encode(vocabulary: str, width: int, end_id: int) -> Callable:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+        encoder = batch_encoder(vocabulary)
         rows: list[tuple] = []
-        waiting = 0
+        waiting, counts = 0, np.zeros(1, np.int64)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
 
         def batch() -> pa.RecordBatch:
-            doc_id, start, doc_tokens, ids = zip(*rows)
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(doc_tokens, pa.int64()),
-                                               pa.array(ids, pa.binary())], names=["doc_id", "start", "doc_tokens", "ids"])
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in UNITS.split(", ")])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = bpe.encode(text) + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, width):
-                    rows.append((doc_id, at, n, ids[4 * at:4 * (at + width)]))
+                    part = ids[4 * at:4 * (at + width)]
+                    terms = np.frombuffer(part, "<u4")
+                    lead = int(terms.max())
+                    rows.append((doc_id, at, n, lead, part, None))
+                    if len(terms) < width:
+                        if lead >= len(counts):
+                            counts = np.concatenate([counts, np.zeros(lead + 1, np.int64)])
+                        counts[np.unique(terms)] += 1
                 waiting += n
                 if waiting >= BATCH_TOKENS:
                     yield batch()
                     waiting = 0
-        if rows:
-            yield batch()
+        # the last row of a task counts its units that hold each term
+        rows.append((None, -1, 0, None, None, counts.tolist()))
+        yield batch()
     return run
 
 
 def units(docs: DataFrame, vocabulary: str, width: int = WIDTH, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(unit, doc_id, start, doc_tokens, ids): whole windows and the rest of each document; stored."""
+    """(unit, doc_id, start, doc_tokens, lead, ids) of whole windows and of the rest of each document, and rows of term counts; stored."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(_encode(vocabulary, width, end_id), UNITS)
     return stored(rows.withColumn("unit", F.monotonically_increasing_id()), "pack-units")
 
@@ -95,69 +104,29 @@ class Scorer:
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))
 
 
-def statistics(rest: DataFrame) -> Scorer:
+def statistics(all_units: DataFrame, width: int = WIDTH) -> Scorer:
     """Counts of all units' terms; one row for each id of the vocabulary comes to the driver, at most."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1, np.int64)
-        for b in batches:
-            found = [bag(x)[0] for x in b.column("ids").to_pylist()]
-            c = np.bincount(np.concatenate(found)) if found else df[:0]
-            if len(c) > len(df):
-                df, c = c, df
-            df[:len(c)] += c
-        term = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "n": pa.array(df[term], pa.int64())})
-
-    counts = rest.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    counts = all_units.where("counts is not null").select(F.posexplode("counts").alias("term", "n")).where("n > 0")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rest = all_units.where(F.octet_length("ids") < 4 * width)
     n, length = rest.agg(F.count("*"), F.sum(F.octet_length("ids") / 4)).first()
     df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1, np.int64)
     df[counts["term"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     return Scorer(df, n, (length or 0) / max(n, 1))
 
 
-def leading_term(ids: bytes, scorer: Scorer) -> int:
-    terms, counts = bag(ids)
-    return int(terms[np.argmax(scorer.weights(terms, counts, len(ids) // 4))])
-
-
-class Shards:
-    """Which shards hold the units of each leading term."""
-
-    def __init__(self, tokens: dict[int, int], n_terms: int, shard_tokens: int):
-        self.first, self.parts = np.zeros(n_terms, np.int64), np.ones(n_terms, np.int64)
-        shard, filled = 0, 0
-        for term in sorted(tokens):
-            if filled and filled + tokens[term] > shard_tokens:
-                shard, filled = shard + 1, 0
-            self.first[term] = shard
-            self.parts[term] = max(1, -(-tokens[term] // shard_tokens))
-            filled += tokens[term]
-            if self.parts[term] > 1:
-                shard, filled = shard + int(self.parts[term]), 0
-        self.count = shard + (filled > 0)
-
-    def of(self, term: int, salt: int) -> int:
-        return int(self.first[term] + salt % self.parts[term])
-
-
-def _leading(scorer: Scorer):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: dict[int, int] = {}
-        for b in batches:
-            for ids in b.column("ids").to_pylist():
-                t = leading_term(ids, scorer)
-                tokens[t] = tokens.get(t, 0) + len(ids) // 4
-        yield pa.RecordBatch.from_pydict({"term": pa.array(tokens.keys(), pa.int64()), "tokens": pa.array(tokens.values(), pa.int64())})
-    return run
-
-
-def _deal(scorer: Scorer, shards: Shards, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [salt % shards.count if len(ids) == 4 * width else shards.of(leading_term(ids, scorer), salt)
-                   for ids, salt in zip(b.column("ids").to_pylist(), b.column("salt").to_pylist())]
-            yield b.drop_columns(["salt"]).append_column("shard", pa.array(out, pa.int64()))
-    return run
+def shards(tokens: dict[int, int], shard_tokens: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(term, first shard, number of shards) for each leading term, and the number of shards in all."""
+    out, shard, filled = [], 0, 0
+    for term in sorted(tokens):
+        parts = max(1, -(-tokens[term] // shard_tokens))
+        if filled and filled + tokens[term] > shard_tokens:
+            shard, filled = shard + 1, 0
+        out.append((term, shard, parts))
+        filled += tokens[term]
+        if parts > 1:
+            shard, filled = shard + parts, 0
+    return out, max(1, shard + (filled > 0))
 
 
 class Index:
@@ -265,13 +234,11 @@ def pack(docs: DataFrame, vocabulary: str, width: int = WIDTH, end_id: int = END
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     all_units = units(docs, vocabulary, width, end_id, doc_id, text)
-    rest = all_units.where(F.octet_length("ids") < 4 * width)
-    scorer = statistics(rest)
-    leading = rest.select("ids").mapInArrow(_leading(scorer), "term long, tokens long").groupBy("term").agg(F.sum("tokens").alias("tokens")).collect()
-    shards = Shards({r.term: r.tokens for r in leading}, len(scorer.idf), shard_tokens)
-    if not shards.count:  # whole windows only
-        whole = all_units.agg(F.count("*")).first()[0]
-        shards.count = max(1, whole * width // shard_tokens)
-    salted = all_units.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(1 << 40)))
-    dealt = salted.mapInArrow(_deal(scorer, shards, width), "doc_id long, start long, doc_tokens long, ids binary, unit long, shard long")
-    return dealt.groupBy("shard").applyInArrow(_pack(scorer, width), PIECES)
+    scorer = statistics(all_units, width)
+    leads = all_units.where("ids is not null").groupBy("lead").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("tokens")).collect()
+    dealt, _ = shards({r.lead: r.tokens for r in leads}, shard_tokens)
+    dealt = spark.createDataFrame(dealt, "lead int, first long, parts long")  # at most one row for each id of the vocabulary
+    rows = all_units.where("ids is not null").drop("counts").join(F.broadcast(dealt), "lead")
+    shard = F.col("first") + F.pmod(F.xxhash64("unit"), F.col("parts"))
+    rows = rows.select(shard.alias("shard"), "unit", "doc_id", "start", "doc_tokens", "ids")
+    return rows.groupBy("shard").applyInArrow(_pack(scorer, width), PIECES)

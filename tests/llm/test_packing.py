@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tablesmith.llm import packing
+from tablesmith.llm import batch_bpe, bpe, packing
 
 SCHEMA = "doc_id long, text string, ids string, unit int, shard int, start int, salt long"
 
@@ -130,16 +130,32 @@ def test_statistics_count_all_units(spark, vocabulary):
     rest = [x[len(x) // 2048 * 2048:] for _, x in encoded(data, vocabulary)]
     rest = [x for x in rest if x]
     all_units = packing.units(d, vocabulary)
-    scorer = packing.statistics(all_units.where("octet_length(ids) < 8192"))
+    scorer = packing.statistics(all_units)
     want = packing.Scorer(np.bincount([t for x in rest for t in set(x)]), len(rest), sum(map(len, rest)) / len(rest))
     assert np.array_equal(scorer.idf, want.idf) and scorer.mean == want.mean
 
 
 def test_shards_hold_their_share():
-    shards = packing.Shards({3: 10, 4: 95, 9: 1000, 10: 5, 11: 40}, 20, 100)
-    assert shards.count == 13 and shards.parts[9] == 10
-    assert {shards.of(9, s) for s in range(40)} == set(range(2, 12))
-    assert shards.of(10, 7) == shards.of(11, 9) == 12
+    dealt, count = packing.shards({3: 10, 4: 95, 9: 1000, 10: 5, 11: 40}, 100)
+    assert dealt == [(3, 0, 1), (4, 1, 1), (9, 2, 10), (10, 12, 1), (11, 12, 1)] and count == 13
+    assert packing.shards({}, 100) == ([], 1)
+
+
+def test_batches_equal_the_library(vocabulary, monkeypatch):
+    import tokenizers
+    t = tokenizers.Tokenizer.from_file(vocabulary)
+    parts = ["a", "The", "ing", " ", "\n", "  ", "'s", "İ", "Σ", "é", "e\u0301", "\u0301", "²", "中文", "<|endoftext|>", "<|", "\x1c", "\x85", "\xa0", "\u2000",
+             "_", "#$%", "12", "can't,", "'", "ll", "'re", "'ve", "r", "''s", "ÿ", "Ž", "×", "÷", "ß", "ẞ", "ª", "Ⅷ", "\u0131", "\u01c5", "x" * 40, "Ⱥ"]
+    plain = [p for p in parts if not batch_bpe.OTHER(p)]
+    rng = random.Random(1)
+    for slots, size in ((1 << 21, 1 << 21), (1 << 4, 40), (1 << 4, 1)):
+        monkeypatch.setattr(batch_bpe, "SLOTS", slots)
+        monkeypatch.setattr(batch_bpe, "BATCH_BYTES", size)
+        monkeypatch.setattr(batch_bpe, "KEPT_IDS", 5000 if size < 100 else 1 << 23)
+        own = batch_bpe.BatchBpe(bpe.load(vocabulary))
+        texts = ["".join(rng.choices(parts if k % 4 == 0 else plain, k=rng.randint(0, 14))) for k in range(4000)]
+        for text, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 def test_halved_lengths():
