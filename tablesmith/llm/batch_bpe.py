@@ -19,8 +19,8 @@ import numpy as np
 from tablesmith.llm.bpe import WordBpe, load
 from tablesmith.llm.repeats import BYTE_VALUE, SPACE, Rolled
 
-BATCH_BYTES = 1 << 21
-SLOTS = 1 << 22
+BATCH_BYTES = 1 << 20
+SLOTS = 1 << 21
 KEPT_IDS = 1 << 23
 LONGEST = 32
 LETTER, DIGIT, MARK, BLANK = 0, 1, 2, 3

@@ -39,7 +39,8 @@ WIDTH = 2048
 SHARD_TOKENS = 1 << 18
 END_ID = 1
 K1, B = 1.5, 0.75
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 19
+BATCH_ROWS = 256
 UNITS = "doc_id long, start long, doc_tokens long, lead int, ids binary, counts array<int>"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -58,7 +59,8 @@ def _encode(vocabulary: str, width: int, end_id: int) -> Callable:
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in UNITS.split(", ")])
 
-        for b in batches:
+        parts = (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS))
+        for b in parts:
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
                 ids += end
                 n = len(ids) // 4
