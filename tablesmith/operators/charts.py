@@ -8,7 +8,9 @@ only aggregated rows reach the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol, require_columns
@@ -120,14 +122,14 @@ def boxplot(df: DataFrame, x: str, y: str, nulls: str = "zero", method: str = "d
             accuracy: int = 10000) -> DataFrame:
     """(key, min, q1, median, q3, max) per category; quantiles interpolate linearly.
 
-    method="distributed": exact, by rank selection over range partitions (a hot category
-    is spread over many tasks); "map": Spark's exact `percentile`; "approx": a sketch with
+    method="distributed": exact, in two scans (operators/quantiles.py; rows are not shuffled
+    by category, so a hot one is spread over all tasks); "map": Spark's exact `percentile`; "approx": a sketch with
     rank error 1/accuracy.
     """
     v = value_of(df, y, nulls)
     base = df.select(category_key(df, x).alias("key"), v.alias("v")).filter(F.col("v").isNotNull())
-    if method == "distributed":  # one input pass: min/max come from the distinct-value table
-        out = grouped_quantiles(base, ["key"], "v", [0.25, 0.5, 0.75], moments=True)
+    if method == "distributed":
+        out = grouped_quantiles(base, ["key"], "v", [0.25, 0.5, 0.75], accuracy)
     else:
         out = base.groupBy("key").agg(F.min("v").alias("min"),
                                       quantile_agg(F.col("v"), (0.25, 0.5, 0.75), method, accuracy).alias("q"),
@@ -147,26 +149,115 @@ def scatter_points(df: DataFrame, x: str, y: str, nulls: str = "zero",
 def line_series(df: DataFrame, x: str, y: str, nulls: str = "zero") -> DataFrame:
     """(pos, x, y) sorted by x, then y; pos = 0, 1, 2, ... in that order.
 
-    The sort is a range-partitioned sort; the sorted table is checkpointed so its
-    partitions are stable, each row's place inside its partition comes from
-    monotonically_increasing_id (partition id in the upper bits, row index below), and
-    per-partition counts (one row per partition) give the offsets. No step puts all rows
-    in one partition.
+    Rows are numbered inside data-sized ranges of x (operators/ranks.py), and each range
+    starts at the number of rows before it: one shuffle, nothing is stored, and no step puts
+    all rows in one partition.
     """
-    from tablesmith.session import ensure_checkpoint_dir
+    from tablesmith.operators.ranks import numbered
     require_columns(df, [x])
-    ensure_checkpoint_dir(df.sparkSession)
-    pts = df.select(qcol(x).alias("x"), value_of(df, y, nulls).alias("y")) \
-            .orderBy(F.col("x").asc_nulls_first(), F.col("y").asc_nulls_first()) \
-            .select("x", "y", F.spark_partition_id().alias("pid"),
-                    F.monotonically_increasing_id().alias("mid")) \
-            .checkpoint(eager=True)
-    counts = pts.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("pid", F.coalesce(F.sum("n").over(
-        Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    local = F.col("mid") - F.shiftleft(F.col("pid").cast("bigint"), 33)
-    # offsets has one row per partition of the sorted table
-    return pts.join(F.broadcast(offsets), "pid").select((F.col("off") + local).alias("pos"), "x", "y")
+    pts = df.select(qcol(x).alias("x"), value_of(df, y, nulls).alias("y"))
+    return numbered(pts, "x", "y", "pos").select("pos", "x", "y")
+
+
+def line_pixels(df: DataFrame, x: str, y: str, width: int, nulls: str = "zero") -> DataFrame:
+    """(pixel, x, y): the points that draw the same line on `width` pixel columns.
+
+    For each column of pixels the first, last, lowest and highest point (M4): at most four
+    rows a column, fewer where one point is two of them. Ties: the lowest x, then the lowest
+    y, for the first; the highest for the last; the lowest x among equally low or high ones.
+    x is a number, date or time; rows without x or y are left out; when all x are equal,
+    everything is in column 0. Two scans: the ends of x, then one aggregation.
+    """
+    from tablesmith.operators.ranks import order_code
+    if width < 1:
+        raise ValueError("width must be >= 1")
+    require_columns(df, [x])
+    code = order_code(qcol(x), df.schema[x].dataType)
+    if code is None or df.schema[x].dataType.typeName() == "string":
+        raise ValueError(f"column {x!r} has no numeric scale")
+    pts = df.select(qcol(x).alias("x"), code.alias("o"), value_of(df, y, nulls).alias("y")).where("o is not null and y is not null and not isnan(o)")
+    lo, hi = pts.agg(F.min("o"), F.max("o")).first()
+    if lo is None:
+        return pts.select(F.lit(0).cast("bigint").alias("pixel"), "x", "y")
+    span = float(hi) - float(lo)
+    pixel = F.lit(0) if span == 0 else F.least(F.floor((F.col("o") - F.lit(float(lo))) / F.lit(span) * F.lit(width)), F.lit(width - 1))
+    by_x, by_y = F.struct("x", "y"), F.struct("y", "x")
+    high = F.struct((-F.col("y")).alias("ny"), "x")  # lowest x of the highest points
+    four = pts.groupBy(pixel.cast("bigint").alias("pixel")).agg(
+        F.min(by_x).alias("a"), F.max(by_x).alias("b"), F.min(by_y).alias("c"), F.min(high).alias("d"), F.max("y").alias("top"))
+    corners = F.array(F.col("a"), F.col("b"), F.struct(F.col("c.x").alias("x"), F.col("c.y").alias("y")),
+                      F.struct(F.col("d.x").alias("x"), F.col("top").alias("y")))
+    return four.select("pixel", F.inline(F.array_distinct(corners)))
+
+
+def scatter_tiles(df: DataFrame, x: str, y: str, levels: int = 6, nulls: str = "zero",
+                  value_range: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(level, ix, iy, n): points in the cells of a quad-tree over the points' rectangle.
+
+    Level k cuts both axes into 2**k equal parts; empty cells are absent; the last cell of an
+    axis is closed. Points are counted once, in the cells of the finest level; coarser levels
+    add those counts up, so every level's total is the number of points. `value_range`
+    (xmin, xmax, ymin, ymax) saves the scan for the ends; points outside it are left out.
+    """
+    if levels < 0 or levels > 30:
+        raise ValueError("levels must be between 0 and 30")
+    pts = scatter_points(df, x, y, nulls).where("not isnan(x) and not isnan(y)")
+    if value_range is None:
+        value_range = pts.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        if value_range[0] is None:
+            value_range = (0.0, 0.0, 0.0, 0.0)
+    x0, x1, y0, y1 = map(float, value_range)
+    pts = pts.where((F.col("x") >= x0) & (F.col("x") <= x1) & (F.col("y") >= y0) & (F.col("y") <= y1))
+    cells = 1 << levels
+
+    def cell(c: str, lo: float, hi: float) -> Column:
+        if hi <= lo:
+            return F.lit(0).cast("bigint")
+        return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * F.lit(cells)), F.lit(cells - 1)).cast("bigint")
+
+    finest = pts.groupBy(cell("x", x0, x1).alias("ix"), cell("y", y0, y1).alias("iy")).agg(F.count("*").alias("n"))
+    up = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("ix", levels - k).alias("ix"), F.shiftright("iy", levels - k).alias("iy"))
+                   for k in range(levels + 1)])
+    return finest.select(F.inline(up), "n").groupBy("level", "ix", "iy").agg(F.sum("n").alias("n"))
+
+
+def histogram_width_bins(df: DataFrame, x: str, nulls: str = "zero", max_bins: int | None = None) -> DataFrame:
+    """The histogram whose bin width follows the data (Freedman-Diaconis): (bin, lo, hi, n).
+
+    Width 2 IQR / n^(1/3) from the exact quartiles; ceil((max - min) / width) equal bins, one
+    when the quartiles or the ends coincide. `max_bins` is a limit only the caller sets.
+    """
+    from tablesmith.operators.quantiles import column_quantiles
+    vals = df.select(value_of(df, x, nulls).alias("v")).where("v is not null and not isnan(v)")
+    r = column_quantiles(vals, ["v"], [0.25, 0.75]).first()
+    if not r.n:
+        return histogram(vals, "v", 1, nulls="skip")
+    width = 2 * (r.q[1] - r.q[0]) / r.n ** (1 / 3)
+    bins = max(1, math.ceil((r["max"] - r["min"]) / width)) if width > 0 else 1
+    return histogram(vals, "v", min(bins, max_bins) if max_bins else bins, nulls="skip", value_range=(r["min"], r["max"]))
+
+
+def histogram_equal_depth(df: DataFrame, x: str, bins: int = 10, nulls: str = "zero") -> DataFrame:
+    """(bin, lo, hi, n): bins between the exact bins-quantiles; equal edges are one edge.
+
+    A bin holds lo <= v < hi, the last one also its end.
+    """
+    from tablesmith.operators.quantiles import column_quantiles
+    if bins < 1:
+        raise ValueError("bins must be >= 1")
+    vals = df.select(value_of(df, x, nulls).alias("v")).where("v is not null and not isnan(v)")
+    r = column_quantiles(vals, ["v"], [i / bins for i in range(bins + 1)]).first()
+    spark = df.sparkSession
+    if not r.n:
+        return spark.createDataFrame([], "bin bigint, lo double, hi double, n bigint")
+    edges = sorted(set(r.q))
+    if len(edges) == 1:
+        edges = edges * 2
+    inner = F.array(*[F.lit(e) for e in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<double>")
+    place = F.size(F.filter(inner, lambda e: e <= F.col("v"))).cast("bigint")
+    counts = vals.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin bigint, lo double, hi double")
+    return table.join(F.broadcast(counts), "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 def column_summary(df: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -1,14 +1,17 @@
-"""Pairwise co-moments in one pass: per-partition numpy statistics, merged in Spark.
+"""Pairwise co-moments in one pass: per-partition numpy statistics in column tiles, merged as a tree.
 
 For a left column set X and a right set Y, each partition reduces its rows (Arrow
 batches) to, for every pair (x, y) over the rows where both values are present: count n,
 mean of x, mean of y, second central moments of x and y, and the co-moment C. Values are
 centred on the batch median before the matrix products (exact zero for a constant column,
-robust to outliers), and batches are merged with the parallel (Chan et al.) update. The
-partitions' statistics (one row of |X|*|Y| arrays each) are then merged pair by pair
-about their common mean, so no step holds more than one partition's rows or one pair's
-partials. A full matrix uses X = Y; a target correlation uses Y = [target],
-so its cost is linear in the number of features.
+robust to outliers), and batches are merged with the parallel (Chan et al.) update.
+
+A partition hands on one row for each tile of `TILE` by `TILE` columns, so no row is larger
+than one tile (6 arrays of 8 kB) however wide the table is. A tile's rows are merged by the
+same update, `FAN_IN` partitions at a time, then what is left of them: two levels hold
+FAN_IN squared partitions, and each level's groups at most FAN_IN rows below that. Only a
+tile's last row is taken apart into pairs. With X = Y tiles below the diagonal are not made;
+a target correlation uses Y = [target], so its cost is linear in the number of features.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol
@@ -28,8 +32,10 @@ try:  # ship these functions by value: executors need numpy/pandas, not this pac
 except Exception:  # pragma: no cover
     pass
 
-STATS_SCHEMA = ("n array<double>, mx array<double>, my array<double>, "
-                "m2x array<double>, m2y array<double>, c array<double>")
+TILE = 32
+FAN_IN = 512
+ARRAYS = ("n", "mx", "my", "m2x", "m2y", "c")
+TILE_SCHEMA = "ti int, tj int, part int, " + ", ".join(f"{k} array<double>" for k in ARRAYS)
 
 
 def _centred(x: np.ndarray):
@@ -66,7 +72,8 @@ def _merge(a, b):
     return n, mx, my, m2xa + m2xb + dx * dx * f, m2ya + m2yb + dy * dy * f, ca + cb + dx * dy * f
 
 
-def _partition_stats(xcols: list[str], ycols: list[str], zero: bool):
+def _partition_tiles(kx: int, ky: int, zero: bool, upper: bool):
+    """Arrow batches of one partition -> one row for each tile; with `upper` only those on and above the diagonal."""
     def run(batches):
         acc = None
         for pdf in batches:
@@ -75,45 +82,52 @@ def _partition_stats(xcols: list[str], ycols: list[str], zero: bool):
             arr = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
             if zero:  # a missing value counts as 0
                 arr = np.where(np.isnan(arr), 0.0, arr)
-            s = _batch_stats(arr[:, :len(xcols)], arr[:, len(xcols):])
+            s = _batch_stats(arr[:, :kx], arr if upper else arr[:, kx:])
             acc = s if acc is None else _merge(acc, s)
-        if acc is not None:
-            yield pd.DataFrame({k: [v.ravel()] for k, v in zip(("n", "mx", "my", "m2x", "m2y", "c"), acc)})
+        if acc is None:
+            return
+        part = TaskContext.get().partitionId()
+        for i in range(0, kx, TILE):
+            for j in range(i if upper else 0, ky, TILE):
+                tile = {k: [a[i:i + TILE, j:j + TILE].ravel()] for k, a in zip(ARRAYS, acc)}
+                yield pd.DataFrame({"ti": [i // TILE], "tj": [j // TILE], "part": [part], **tile})
     return run
 
 
+def _merge_tiles(rows: pd.DataFrame) -> pd.DataFrame:
+    """One tile's rows, in order of their partitions -> one."""
+    rows = rows.sort_values("part")
+    acc = None
+    for r in rows.itertuples():
+        s = tuple(np.asarray(getattr(r, k), dtype=np.float64) for k in ARRAYS)
+        acc = s if acc is None else _merge(acc, s)
+    first = rows.iloc[0]
+    return pd.DataFrame({"ti": [first["ti"]], "tj": [first["tj"]], "part": [first["part"] // FAN_IN],
+                         **{k: [a] for k, a in zip(ARRAYS, acc)}})
+
+
 def pair_moments(df: DataFrame, xcols: list[str], ycols: list[str] | None = None,
                  nulls: str = "zero") -> DataFrame:
-    """(i, j, n, m2x, m2y, c) for every pair (xcols[i], ycols[j]); ycols defaults to xcols."""
+    """(i, j, n, m2x, m2y, c) for every pair (xcols[i], ycols[j]) with a row where both are present.
+
+    Without ycols the pairs are those of xcols with i <= j.
+    """
     if nulls not in ("zero", "pairwise"):
         raise ValueError(f"nulls must be 'zero' or 'pairwise', not {nulls!r}")
-    ycols = xcols if ycols is None else ycols
-    kx, ky = len(xcols), len(ycols)
-    xn, yn = [f"x{i}" for i in range(kx)], [f"y{j}" for j in range(ky)]
-    src = df.select(*[qcol(c).cast("double").alias(a) for c, a in zip(xcols, xn)],
-                    *[qcol(c).cast("double").alias(a) for c, a in zip(ycols, yn)])
-    parts = src.mapInPandas(_partition_stats(xn, yn, nulls == "zero"), STATS_SCHEMA)
-    long = parts.select(F.posexplode(F.arrays_zip("n", "mx", "my", "m2x", "m2y", "c")).alias("idx", "s")) \
-                .select("idx", "s.*").filter(F.col("n") > 0)
-
-    # merged means; identical partition means are kept as they are, so a constant column
-    # has exactly zero spread. The window and the aggregation share one exchange, so the
-    # input is read once; a pair has one row per input partition
-    pair = Window.partitionBy("idx")
-
-    def merged_mean(m):
-        least = F.min(m).over(pair)
-        return F.when(least == F.max(m).over(pair), least).otherwise(
-            F.sum(F.col("n") * F.col(m)).over(pair) / F.sum("n").over(pair))
-    j = long.select("*", merged_mean("mx").alias("mean_x"), merged_mean("my").alias("mean_y"))
-    dx, dy = F.col("mx") - F.col("mean_x"), F.col("my") - F.col("mean_y")
-    st = j.groupBy("idx").agg(
-        F.sum("n").alias("n_pairs"),
-        F.sum(F.col("m2x") + F.col("n") * dx * dx).alias("m2x"),
-        F.sum(F.col("m2y") + F.col("n") * dy * dy).alias("m2y"),
-        F.sum(F.col("c") + F.col("n") * dx * dy).alias("c"))
-    return st.select((F.col("idx") / ky).cast("int").alias("i"), (F.col("idx") % ky).cast("int").alias("j"),
-                     F.col("n_pairs").alias("n"), "m2x", "m2y", "c")
+    upper = ycols is None
+    kx, ky = len(xcols), len(xcols if upper else ycols)
+    src = df.select(*[qcol(c).cast("double").alias(f"x{i}") for i, c in enumerate(xcols)],
+                    *[qcol(c).cast("double").alias(f"y{j}") for j, c in enumerate(ycols or [])])
+    tiles = src.mapInPandas(_partition_tiles(kx, ky, nulls == "zero", upper), TILE_SCHEMA)
+    for _ in range(2):
+        tiles = tiles.groupBy("ti", "tj", (F.col("part") / FAN_IN).cast("int")).applyInPandas(_merge_tiles, TILE_SCHEMA)
+    # beyond FAN_IN squared partitions a tile still has several rows
+    tiles = tiles.groupBy("ti", "tj").applyInPandas(_merge_tiles, TILE_SCHEMA)
+    width = F.least(F.lit(TILE), F.lit(ky) - F.col("tj") * TILE)
+    cells = tiles.select("ti", "tj", width.alias("w"), F.posexplode(F.arrays_zip("n", "m2x", "m2y", "c")).alias("k", "s"))
+    out = cells.select((F.col("ti") * TILE + (F.col("k") / F.col("w")).cast("int")).alias("i"),
+                       (F.col("tj") * TILE + F.col("k") % F.col("w")).cast("int").alias("j"), "s.*")
+    return out.where("n > 0 and i <= j" if upper else "n > 0")
 
 
 def pearson_from_moments(m: DataFrame) -> DataFrame:

@@ -27,11 +27,12 @@ def _pairs_agg(df: DataFrame, pairs: list[tuple[str, str]], nulls: str,
     if len(rights) == 1:
         xcols, ycols = list(dict.fromkeys(a for a, _ in pairs)), rights
     else:
-        xcols = ycols = list(dict.fromkeys([c for p in pairs for c in p]))
+        xcols, ycols = list(dict.fromkeys([c for p in pairs for c in p])), None
     m = pearson_from_moments(pair_moments(df, xcols, ycols, nulls)).select("i", "j", "n", "r")
-    px, py = {c: i for i, c in enumerate(xcols)}, {c: j for j, c in enumerate(ycols)}
+    px, py = {c: i for i, c in enumerate(xcols)}, {c: j for j, c in enumerate(ycols or xcols)}
+    place = lambda a, b: (px[a], py[b]) if ycols else sorted((px[a], py[b]))
     wanted = df.sparkSession.createDataFrame(
-        [(px[a], py[b], a, b) for a, b in pairs], "i int, j int, a string, b string")
+        [(*place(a, b), a, b) for a, b in pairs], "i int, j int, a string, b string")
     out = F.broadcast(wanted).join(m, ["i", "j"], "left")  # at most |X|*|Y| pairs
     r = F.col("r")
     if min_count is not None:  # too few complete pairs (or none at all) -> 0.0

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol
 
-# Score buckets for the exact AUC: each bucket's distinct scores are ranked in one task.
-AUC_BUCKETS = 1024
-
-
 def _metric_rows(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     structs = [F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value"))
                for k, v in metrics.items()]
@@ -58,34 +54,28 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 
 
 def area_under_roc(df: DataFrame, label: str = "label", score: str = "score",
-                   buckets: int = AUC_BUCKETS) -> DataFrame:
+                   rows_per_range: int | None = None) -> DataFrame:
     """(metric='auc', value): exact area under the ROC curve, ties counted half.
 
     Rows collapse to distinct scores with positive/negative counts (partial aggregation).
-    Scores are cut into `buckets` ranges at approximate quantiles (a bounded list of cut
-    points); positives above each bucket come from a prefix sum over the bucket totals
-    (at most `buckets` rows), positives above each score inside its bucket from a window
-    per bucket. No step ranks all rows in one task. Labels above 0.5 are positive.
+    Scores are parted into ranges sized by the data (operators/ranks.py, literal cut points);
+    positives above each range come from a prefix sum over the ranges' totals, positives above
+    each score inside its range from a window per range. Both read the same exchange, nothing
+    is stored, and no step ranks all rows in one task. Labels above 0.5 are positive; a NaN
+    score is above all others; scores of NULL are left out.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    from tablesmith.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+    from tablesmith.operators.ranks import ROWS_PER_RANGE, cut_points, range_of
     s = df.select(qcol(score).cast("double").alias("s"),
                   (qcol(label).cast("double") > 0.5).cast("long").alias("pos")) \
           .filter(F.col("s").isNotNull())
-    # distinct scores are read twice (cut points, then ranks): materialise them once in
-    # the shared checkpoint folder, which also cuts the lineage
-    g = s.groupBy("s").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n")).checkpoint(eager=True)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = g.agg(F.percentile_approx("s", probs, 10000).alias("c")).first()["c"] or []
-    splits = [float("-inf")] + sorted({float(c) for c in cuts}) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="s", outputCol="bucket").transform(g)
+    cuts = cut_points(s, "s", rows_per_range or ROWS_PER_RANGE)
+    g = s.groupBy("s").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n"))
+    b = range_of(g, "s", cuts, "bucket")
     tot = b.groupBy("bucket").agg(F.sum("p").alias("bp"))
     above = tot.select("bucket", F.coalesce(F.sum("bp").over(
         Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("p_above"))
-    j = b.join(F.broadcast(above), "bucket")
+    j = b.join(F.broadcast(above), "bucket")  # one row a range, a few thousand at most
     w = Window.partitionBy("bucket").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, -1)
     j = j.withColumn("p_gt", F.col("p_above") + F.coalesce(F.sum("p").over(w), F.lit(0)))
     num = F.sum(F.col("n").cast("double") * (F.col("p_gt") + F.col("p") * 0.5))

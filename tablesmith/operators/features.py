@@ -74,6 +74,7 @@ def select_custom(df: DataFrame, target: str, names: str | list[str], categorica
     """Mode C: the named columns. No numeric named -> all numeric candidates; categorical
     asked but no string named -> all string columns. Returns (numeric, string, notes)."""
     req = split_names(names) if isinstance(names, str) else [n.strip() for n in names if n.strip()]
+    req = list(dict.fromkeys(req))  # a column named twice is one feature
     nums, strs = numeric_candidates(df, target, match), string_candidates(df, target)
     chosen_n = [r for r in req if r in nums]
     chosen_s = [r for r in req if r in strs]

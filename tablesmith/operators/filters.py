@@ -48,15 +48,18 @@ def target_candidates(df: DataFrame, match: str = "substring") -> list[str]:
 
 
 def suggest_targets(df: DataFrame, match: str = "substring", exact: bool = True) -> DataFrame:
-    """(column, nonnull, distinct) for each numeric non-identifier column, one pass."""
+    """(column, nonnull, distinct) for each numeric non-identifier column."""
     cands = target_candidates(df, match)
     if not cands:
         return df.sparkSession.createDataFrame([], "column string, nonnull bigint, distinct bigint")
-    structs = []
-    for c in cands:
-        d = F.count_distinct(qcol(c)) if exact else F.approx_count_distinct(qcol(c))
-        structs.append(F.struct(F.lit(c).alias("column"), F.count(qcol(c)).alias("nonnull"),
-                                d.cast("bigint").alias("distinct")))
+    if exact:
+        from tablesmith.operators.distinct import counts, distinct_state
+        chosen = df.select(*[qcol(c) for c in cands])
+        found = counts(distinct_state(chosen), chosen.schema).select("column", F.col("values").alias("distinct"))
+        from tablesmith.operators.profile import nonnull_counts
+        return nonnull_counts(chosen).join(F.broadcast(found), "column").select("column", "nonnull", "distinct")
+    structs = [F.struct(F.lit(c).alias("column"), F.count(qcol(c)).alias("nonnull"),
+                        F.approx_count_distinct(qcol(c)).cast("bigint").alias("distinct")) for c in cands]
     return df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
 
 

@@ -76,32 +76,45 @@ def row_count(df: DataFrame) -> DataFrame:
         "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"))
 
 
+def _counts(df: DataFrame) -> DataFrame:
+    """(position, column, rows, nonnull): counts only, one aggregation."""
+    fields = list(enumerate(df.schema.fields))
+    parts = []
+    for chunk in chunks(fields, AGG_CHUNK):
+        structs = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.count(qcol(f.name)).alias("nonnull")) for i, f in chunk]
+        parts.append(df.agg(F.count(F.lit(1)).alias("rows"), F.array(*structs).alias("c")).select("rows", F.inline("c")))
+    return _union(parts)
+
+
 def missing_counts(df: DataFrame, nonzero_only: bool = False) -> DataFrame:
     """(column, missing); optionally only the columns with at least one null."""
-    out = column_stats(df).select("column", "missing")
+    out = _counts(df).select("column", (F.col("rows") - F.col("nonnull")).alias("missing"))
     return out.filter(F.col("missing") > 0) if nonzero_only else out
 
 
 def nonnull_counts(df: DataFrame) -> DataFrame:
-    return column_stats(df).select("column", "nonnull")
+    return _counts(df).select("column", "nonnull")
 
 
 def distinct_counts(df: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """(column, distinct) with null counted as one more value when present.
 
-    exact=True uses count(DISTINCT) (Spark expands rows once per column and shuffles on
-    the value); exact=False uses HyperLogLog++ sketches: no shuffle, fixed memory.
+    exact=True counts the values' mergeable state (operators/distinct.py: bitmaps of whole
+    numbers, values of other types); exact=False uses HyperLogLog++ sketches: no shuffle,
+    fixed memory.
     """
-    fields = list(df.schema.fields)
+    if exact:
+        from tablesmith.operators.distinct import counts, distinct_state
+        out = counts(distinct_state(df), df.schema)
+        return out.select("column", (F.col("values") + F.col("has_null").cast("int")).alias("distinct"))
     parts = []
-    for chunk in chunks(fields, AGG_CHUNK):
+    for chunk in chunks(list(df.schema.fields), AGG_CHUNK):
         structs = []
         for f in chunk:
             c = qcol(f.name)
-            d = F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)
             has_null = F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))
             structs.append(F.struct(F.lit(f.name).alias("column"),
-                                    (d + has_null).cast("bigint").alias("distinct")))
+                                    (F.approx_count_distinct(c, rsd) + has_null).cast("bigint").alias("distinct")))
         parts.append(df.agg(F.array(*structs).alias("c")).select(F.inline("c")))
     return _union(parts)
 
@@ -125,37 +138,32 @@ def describe(df: DataFrame, cols: list[str] | None = None, method: str = "distri
              accuracy: int = 10000) -> DataFrame:
     """(column, count, mean, std, min, q1, median, q3, max) for numeric columns.
 
-    method="distributed" (default): one pass over the input builds the distinct
-    (column, value, count) table; exact quartiles (distributed rank selection) and the
-    moments both come from it. method="map" / "approx": one aggregation with Spark's
+    method="distributed" (default): exact quartiles in two scans (operators/quantiles.py);
+    the first also gives the moments. method="map" / "approx": one aggregation with Spark's
     `percentile` / `percentile_approx` next to the moments.
     """
-    from tablesmith.operators.quantiles import grouped_quantiles, long_values, quantile_agg
+    from tablesmith.operators.quantiles import column_quantiles, quantile_agg
     if cols is None:
         cols = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if not cols:
         raise ValueError("no numeric columns to describe")
-    if method == "distributed":
-        # one pass over the input: the distinct (column, value, count) table that the
-        # exact quartiles need also gives count, mean, std, min and max
-        qs = grouped_quantiles(long_values(df, cols), ["__col"], "__val", list(QUARTILES),
-                               few_groups=True, moments=True)
-        names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "column string, __pos int")
-        out = names.join(F.broadcast(qs.withColumnRenamed("__col", "column")), "column", "left") \
-                   .select("column", F.coalesce(F.col("n"), F.lit(0)).alias("count"), "mean", "std", "min",
-                           "q", "max", "__pos")
-    else:
-        parts = []
-        for chunk in chunks(cols, AGG_CHUNK // 4):
-            structs = []
-            for name in chunk:
-                c = qcol(name).cast("double")
-                structs.append(F.struct(
-                    F.lit(name).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-                    F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-                    quantile_agg(c, QUARTILES, method, accuracy).alias("q")))
-            parts.append(df.agg(F.array(*structs).alias("s")).select(F.inline("s")))
-        out = _union(parts)
+    parts = []
+    for chunk in chunks(cols, AGG_CHUNK // 4):
+        if method == "distributed":
+            names = F.element_at(F.array(*[F.lit(c) for c in chunk]), F.col("position") + 1)
+            parts.append(column_quantiles(df, chunk, list(QUARTILES), accuracy).select(
+                names.alias("column"), F.col("n").alias("count"), "mean", "std", "min", "q", "max"))
+            continue
+        structs = []
+        for name in chunk:
+            c = qcol(name).cast("double")
+            structs.append(F.struct(
+                F.lit(name).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
+                F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+                quantile_agg(c, QUARTILES, method, accuracy).alias("q")))
+        parts.append(df.agg(F.array(*structs).alias("s")).select(F.inline("s")).select(
+            "column", "count", "mean", "std", "min", "q", "max"))
+    out = _union(parts)
     return out.select("column", "count", "mean", "std", "min",
                       F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                       F.col("q")[2].alias("q3"), "max")

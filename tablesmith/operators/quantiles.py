@@ -1,15 +1,20 @@
-"""Exact quantiles (linear interpolation) with no group held whole by one task.
+"""Exact quantiles (linear interpolation) in two scans, with no group held whole by one task.
 
-Spark's `percentile` merges a value->count map per group in one task, so a continuous
-column of a hot group (or a whole table in `describe`) lands in one executor's memory.
-Here the work is a distributed rank selection:
+1. One aggregation gives each group's count, moments, ends and, from Spark's mergeable
+   quantile sketch, a bracket around each wanted rank: the values a little below and above
+   it, wider than the sketch's error. Groups of fewer than `4 * accuracy` values take the
+   whole range as bracket.
+2. A second scan counts, for each group, the values between the brackets (one number each)
+   and the different values inside them. Their running counts give every value its rank,
+   and the wanted ranks are read off and interpolated.
 
-1. collapse rows to distinct (group, value) pairs with counts (partial aggregation);
-2. range-partition those pairs on (group, value) -- a hot group spans many partitions --
-   and checkpoint them so partition ids are stable (this also cuts the lineage);
-3. per (partition, group) totals -> prefix offsets per group (at most #groups + P rows);
-4. a running count inside each (partition, group) gives every value its rank interval;
-   only the values holding the needed ranks are kept, then interpolated.
+What is shuffled is one row for each different value inside a bracket: 8 / accuracy of a
+large group's values for each quantile, and running counts restart in each bracket. With up
+to `GROUPS_IN_MEMORY` groups the brackets are a checked, broadcast table, so rows are never
+shuffled by group; beyond that they are joined by a shuffle, which Spark splits where a
+group is hot.
+
+NaN counts as the largest value; NULL values are ignored; a NULL key is a group.
 
 method="map" uses Spark's `percentile` (exact; fine for low-cardinality values) and
 method="approx" `percentile_approx` (bounded sketch, rank error 1/accuracy).
@@ -17,102 +22,144 @@ method="approx" `percentile_approx` (bounded sketch, rank error 1/accuracy).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.session import ensure_checkpoint_dir
+from tablesmith.functions.columns import qcol
 
-# Offset tables up to this many rows are broadcast to the rank step.
-BROADCAST_OFFSETS = 200_000
+ACCURACY = 10_000
+# Brackets of up to this many groups are collected, counted and broadcast.
+GROUPS_IN_MEMORY = 50_000
 
 
-def _range_partitions(spark, df: DataFrame) -> int:
-    """Range partitions for the rank step: grows with the input (one per input split),
-    never fewer than the shuffle partitions."""
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        return max(base, df.rdd.getNumPartitions())
-    except Exception:  # no RDD access (e.g. a remote session)
-        return base
+def _ascending(probs) -> None:
+    if not probs or list(probs) != sorted(set(probs)) or probs[0] < 0 or probs[-1] > 1:
+        raise ValueError("probabilities must ascend from 0 to 1")
 
 
-def _keys(keys):
-    return [F.col(k) for k in keys]
+def bracket_probabilities(probs, accuracy: int = ACCURACY) -> list[float]:
+    """Two probabilities for each wanted one, 4 / accuracy below and above it."""
+    return [min(max(p + s * 4.0 / accuracy, 0.0), 1.0) for p in probs for s in (-1, 1)]
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                      partitions: int | None = None, few_groups: bool = False,
-                      moments: bool = False) -> DataFrame:
-    """(keys..., q) where q[i] is the interpolated quantile probs[i] of `value` per group;
-    NULL values are ignored, groups without values are absent.
+def summary(v: Column, probs, accuracy: int = ACCURACY) -> list[Column]:
+    """n, mean, std, min, max and the bracket ends b of the values v, as aggregates."""
+    return [F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+            F.max(v).alias("max"), F.percentile_approx(v, bracket_probabilities(probs, accuracy), accuracy).alias("b")]
 
-    few_groups=True states that the group count is bounded (e.g. one per column), so the
-    offset table (at most #groups + partitions rows) is broadcast without counting it.
-    moments=True (needs keys) adds n, mean, std (sample), min and max per group, computed
-    from the checkpointed distinct-value table instead of another pass over the input.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    vals = df.select(*_keys(keys), F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    distinct = vals.groupBy(*_keys(keys), "__v").agg(F.count(F.lit(1)).alias("__c"))
-    p = partitions or _range_partitions(spark, df)
-    ranged = (distinct.repartitionByRange(p, *_keys(keys), F.col("__v"))
-              .withColumn("__pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    per_part = ranged.groupBy("__pid", *_keys(keys)).agg(F.sum("__c").alias("__pc"))
-    wk = Window.partitionBy(*_keys(keys)) if keys else Window.partitionBy(F.lit(0))
-    offsets = per_part.select(
-        "__pid", *_keys(keys),
-        F.coalesce(F.sum("__pc").over(wk.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"),
-        F.sum("__pc").over(wk).alias("__n"))
-    small = few_groups or offsets.limit(BROADCAST_OFFSETS + 1).count() <= BROADCAST_OFFSETS
-    j = ranged.join(F.broadcast(offsets) if small else offsets, ["__pid", *keys])
-    w = Window.partitionBy("__pid", *_keys(keys)).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("__end", F.col("__off") + F.sum("__c").over(w))
-    start, end = F.col("__end") - F.col("__c"), F.col("__end")
+
+def brackets(n, low, high, b, k: int, accuracy: int = ACCURACY) -> list[tuple[Column, Column]]:
+    """(start, stop) of the k brackets; those that overlap are one, named several times."""
+    whole = n < 4 * accuracy
+    lo = [F.when(whole, low).otherwise(F.get(b, F.lit(2 * i))) for i in range(k)]
+    hi = [F.when(whole, high).otherwise(F.get(b, F.lit(2 * i + 1))) for i in range(k)]
+    start, stop = [lo[0]], [hi[-1]]
+    for i in range(1, k):
+        start.append(F.when(hi[i - 1] >= lo[i], start[i - 1]).otherwise(lo[i]))
+        stop.insert(0, F.when(hi[k - 1 - i] >= lo[k - i], stop[0]).otherwise(hi[k - 1 - i]))
+    return list(zip(start, stop))
+
+
+def zone(v: Column, parts: list[tuple[Column, Column]]) -> Column:
+    """2 i for values below the i-th bracket and above the one before, 2 i + 1 inside it, NULL above the last."""
+    z = F.lit(None).cast("int")
+    for i, (start, stop) in reversed(list(enumerate(parts))):
+        z = F.when(v < start, 2 * i).when(v <= stop, 2 * i + 1).otherwise(z)
+    return z
+
+
+def joined(a: DataFrame, b: DataFrame, keys: list[str], hint: bool = False) -> DataFrame:
+    """Inner join on keys, NULL equal to NULL."""
+    named = b.select(*[qcol(k).alias(f"__{k}") for k in keys], *[qcol(c) for c in b.columns if c not in keys])
+    named = F.broadcast(named) if hint else named
+    same = [qcol(k).eqNullSafe(qcol(f"__{k}")) for k in keys]
+    return a.join(named, reduce(lambda x, y: x & y, same)).drop(*[f"__{k}" for k in keys])
+
+
+def ranked(rows: DataFrame, counts: DataFrame, keys: list[str], probs) -> DataFrame:
+    """(keys..., q) from rows (keys..., zone, v) and counts (keys..., n)."""
+    names = [qcol(k) for k in keys]
+    kept = rows.where("zone is not null").select(*names, "zone", F.when(F.col("zone") % 2 == 1, F.col("v")).alias("v"))
+    kept = kept.groupBy(*names, "zone", "v").agg(F.count("*").alias("c"))
+    by_zone = kept.groupBy(*names, "zone").agg(F.sum("c").alias("c"))
+    order = Window.partitionBy(*names).orderBy("zone")
+    before = by_zone.select(*names, "zone", F.coalesce(
+        F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    inside = joined(joined(kept.where("zone % 2 = 1"), before, [*keys, "zone"]), counts, keys)
+    run = Window.partitionBy(*names, "zone").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("end", F.col("off") + F.sum("c").over(run))
+    start, end = F.col("end") - F.col("c"), F.col("end")
     hits = []
-    for i, pr in enumerate(probs):
-        pos = (F.col("__n") - 1).cast("double") * F.lit(float(pr))
+    for i, p in enumerate(probs):
+        pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
         hits.append(F.struct(F.lit(i).alias("i"), pos.alias("pos"), lo.alias("lo"), hi.alias("hi"),
-                             ((start <= lo) & (lo < end)).alias("lo_hit"),
-                             ((start <= hi) & (hi < end)).alias("hi_hit")))
-    e = j.select(*_keys(keys), "__v", F.inline(F.array(*hits))).filter(F.col("lo_hit") | F.col("hi_hit"))
-    per_q = e.groupBy(*_keys(keys), "i", "pos", "lo", "hi").agg(
-        F.max(F.when(F.col("lo_hit"), F.col("__v"))).alias("vlo"),
-        F.max(F.when(F.col("hi_hit"), F.col("__v"))).alias("vhi"))
-    q = F.when(F.col("hi") == F.col("lo"), F.col("vlo")).otherwise(
-        (F.col("hi") - F.col("pos")) * F.col("vlo") + (F.col("pos") - F.col("lo")) * F.col("vhi"))
-    per_q = per_q.select(*_keys(keys), "i", q.alias("q"))
-    out = per_q.groupBy(*_keys(keys)).agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("__qs"))
-    out = out.select(*_keys(keys), F.transform("__qs", lambda s: s["q"]).alias("q"))
-    if moments:
-        if not keys:
-            raise ValueError("moments=True needs group keys")
-        first = ranged.groupBy(*_keys(keys)).agg(
-            F.sum("__c").alias("n"), (F.sum(F.col("__c") * F.col("__v")) / F.sum("__c")).alias("mean"),
-            F.min("__v").alias("min"), F.max("__v").alias("max"))
-        means = first.select(*_keys(keys), F.col("mean").alias("__m"))
-        spread = ranged.join(F.broadcast(means) if small else means, keys).groupBy(*_keys(keys)).agg(
-            F.sum(F.col("__c") * (F.col("__v") - F.col("__m")) * (F.col("__v") - F.col("__m"))).alias("__ss"))
-        std = F.when(F.col("n") > 1, F.sqrt(F.col("__ss") / (F.col("n") - 1)))
-        out = out.join(first, keys).join(spread, keys).select(
-            *_keys(keys), "q", "n", "mean", std.alias("std"), "min", "max")
-    return out
-
-
-def quantile_agg(c: Column, probs, method: str, accuracy: int = 10000) -> Column:
-    """Aggregate-expression form for the non-distributed methods."""
+                             ((start <= lo) & (lo < end)).alias("at_lo"), ((start <= hi) & (hi < end)).alias("at_hi")))
+    found = inside.select(*names, "v", F.inline(F.array(*hits))).where("at_lo or at_hi")
+    per_q = found.groupBy(*names, "i", "pos", "lo", "hi").agg(
+        F.max(F.when(F.col("at_lo"), F.col("v"))).alias("a"), F.max(F.when(F.col("at_hi"), F.col("v"))).alias("b"))
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket; use a larger accuracy"))
+    q = F.when(F.col("a").isNull() | F.col("b").isNull(), missed.cast("double")).when(F.col("hi") == F.col("lo"), F.col("a")).otherwise(
+        (F.col("hi") - F.col("pos")) * F.col("a") + (F.col("pos") - F.col("lo")) * F.col("b"))
+    out = per_q.select(*names, "i", q.alias("q")).groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("i", "q"))).alias("qs"))
+    out = out.withColumn("qs", F.when(F.size("qs") < len(probs), F.array(F.struct(F.lit(0).alias("i"), missed.cast("double").alias("q")))).otherwise(F.col("qs")))
+    return out.select(*names, F.transform("qs", lambda s: s["q"]).alias("q"))
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = ACCURACY,
+                      groups_in_memory: int = GROUPS_IN_MEMORY) -> DataFrame:
+    """(keys..., q, n, mean, std, min, max): q[i] is the interpolated quantile probs[i] of `value` per group.
+
+    Groups without values are absent. The first scan runs when the result is built.
+    """
+    if not keys:
+        return grouped_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, accuracy).drop("__all")
+    names = [qcol(k) for k in keys]
+    _ascending(probs)
+    vals = df.select(*names, qcol(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    stats = vals.groupBy(*names).agg(*summary(F.col("v"), probs, accuracy)).where("n > 0")
+    rows = stats.limit(groups_in_memory + 1).collect()
+    small = len(rows) <= groups_in_memory
+    if small:
+        stats = df.sparkSession.createDataFrame(rows, stats.schema)
+    ends = brackets(F.col("n"), F.col("min"), F.col("max"), F.col("b"), len(probs), accuracy)
+    edges = stats.select(*names, *[c.alias(f"__{s}{i}") for i, e in enumerate(ends) for s, c in zip("ab", e)])
+    placed = joined(vals, edges, keys, hint=small)
+    parts = [(F.col(f"__a{i}"), F.col(f"__b{i}")) for i in range(len(probs))]
+    found = ranked(placed.select(*names, zone(F.col("v"), parts).alias("zone"), "v"), stats.select(*names, "n"), keys, probs)
+    return joined(found, stats.drop("b"), keys, hint=small).select(*names, "q", "n", "mean", "std", "min", "max")
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(position, n, mean, std, min, max, q) for columns read as doubles; q is NULL without values.
+
+    One row for each column comes to the driver after the first scan and is a literal in the second.
+    """
+    _ascending(probs)
+    spark = df.sparkSession
+    values = [qcol(c).cast("double") for c in cols]
+    stats = df.agg(F.array(*[F.struct(F.lit(i).alias("position"), *summary(v, probs, accuracy)) for i, v in enumerate(values)]).alias("s"))
+    stats = stats.select(F.inline("s"))
+    rows = stats.collect()
+    stats = spark.createDataFrame(rows, stats.schema)
+    cells = []
+    for v, r in zip(values, rows):
+        if r.n:
+            lit = [F.lit(x) for x in r.b]
+            ends = brackets(F.lit(r.n), F.lit(r["min"]), F.lit(r["max"]), F.array(*lit), len(probs), accuracy)
+            cells.append(F.struct(F.lit(r.position).alias("position"), F.when(v.isNotNull(), zone(v, ends)).alias("zone"), v.alias("v")))
+    if not cells:
+        return stats.drop("b").withColumn("q", F.lit(None).cast("array<double>"))
+    found = ranked(df.select(F.inline(F.array(*cells))), stats.select("position", "n"), ["position"], probs)
+    return F.broadcast(stats.drop("b")).join(found, "position", "left")
+
+
+def quantile_agg(c: Column, probs, method: str, accuracy: int = ACCURACY) -> Column:
+    """Aggregate-expression form for the one-scan methods."""
     if method == "map":
         return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
     if method == "approx":
         return F.percentile_approx(c, [float(p) for p in probs], accuracy)
     raise ValueError("method must be 'distributed', 'map' or 'approx'")
-
-
-def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(__col, __val) with one row per (row, column): the columns stacked as doubles."""
-    from tablesmith.functions.columns import qcol
-    pairs = F.array(*[F.struct(F.lit(c).alias("__col"), qcol(c).cast("double").alias("__val")) for c in cols])
-    return df.select(F.inline(pairs))

@@ -11,6 +11,7 @@ training part, the fit itself, and the metric aggregations over the persisted
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.feature import (Imputer, IndexToString, OneHotEncoder, SQLTransformer,
                                 StringIndexer, VectorAssembler)
+from pyspark.ml.functions import vector_to_array
 
 from tablesmith.functions.columns import is_numeric, orderable, qcol
 from tablesmith.operators import evaluate as ev
@@ -38,6 +40,7 @@ class TrainResult:
     metrics: DataFrame
     importances: DataFrame
     predictions: DataFrame
+    prediction: str = "prediction"  # name of the prediction column; another one where the table has such a column
     selection: DataFrame | None = None
     labels: list[str] | None = None
     notes: list[str] = field(default_factory=list)
@@ -48,30 +51,71 @@ def _sql_name(c: str) -> str:
     return "`" + c.replace("`", "``") + "`"
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, or the first of name_2, name_3, ... that no column has."""
+    out, k = name, 1
+    low = {t.lower() for t in taken}
+    while out.lower() in low:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
+@dataclass
+class Names:
+    """Output columns of a model; internal ones are numbered, so no source name can meet them."""
+    prediction: str
+    raw: str
+    probability: str
+    predicted: str
+
+    @classmethod
+    def beside(cls, columns: list[str], target: str) -> "Names":
+        clash = [c for c in columns if c.lower() == fx.LABEL or re.fullmatch(r"__(features|[nmciv]\d+)", c.lower())]
+        if clash:
+            raise ValueError(f"column names reserved for the pipeline: {clash}")
+        return cls(*[free_name(n, columns) for n in ("prediction", "rawPrediction", "probability", f"predicted_{target}")])
+
+
 def build_stages(numeric: list[str], categorical: list[str], algo: str,
-                 labels: list[str] | None, target: str) -> tuple[list, list[str]]:
-    """Stages from raw columns to a prediction; returns (stages, assembler inputs)."""
+                 labels: list[str] | None, names: Names) -> list:
+    """Stages from raw columns to a prediction. The k-th numeric column becomes __n{k}, imputed
+    __m{k}; the k-th text column __c{k}, its index __i{k}, its vector __v{k}."""
+    n = [f"{k}" for k in range(len(numeric))]
+    c = [f"{k}" for k in range(len(categorical))]
     sel = ["*"]
-    sel += [f"try_cast(nullif(trim(cast({_sql_name(c)} as string)), '') as double) AS {_sql_name(c + '__num')}"
-            for c in numeric]
-    sel += [f"cast({_sql_name(c)} as string) AS {_sql_name(c + '__str')}" for c in categorical]
+    sel += [f"try_cast(nullif(trim(cast({_sql_name(x)} as string)), '') as double) AS __n{k}" for k, x in zip(n, numeric)]
+    sel += [f"cast({_sql_name(x)} as string) AS __c{k}" for k, x in zip(c, categorical)]
     stages = [SQLTransformer(statement=f"SELECT {', '.join(sel)} FROM __THIS__")]
     inputs = []
     if numeric:
-        stages.append(Imputer(inputCols=[c + "__num" for c in numeric], outputCols=numeric_out(numeric),
-                              strategy="mean"))
-        inputs += numeric_out(numeric)
+        stages.append(Imputer(inputCols=[f"__n{k}" for k in n], outputCols=[f"__m{k}" for k in n], strategy="mean"))
+        inputs += [f"__m{k}" for k in n]
     if categorical:
-        stages.append(StringIndexer(inputCols=[c + "__str" for c in categorical],
-                                    outputCols=[c + "__idx" for c in categorical], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[c + "__idx" for c in categorical],
-                                    outputCols=[c + "_vec" for c in categorical]))
-        inputs += [c + "_vec" for c in categorical]
+        stages.append(StringIndexer(inputCols=[f"__c{k}" for k in c], outputCols=[f"__i{k}" for k in c], handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"__i{k}" for k in c], outputCols=[f"__v{k}" for k in c]))
+        inputs += [f"__v{k}" for k in c]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=fx.FEATURES, handleInvalid="keep"))
-    stages.append(make_estimator(algo))
+    model = make_estimator(algo)
+    model.setPredictionCol(names.prediction)
+    if labels is not None:
+        if model.hasParam("rawPredictionCol"):
+            model.setRawPredictionCol(names.raw)
+        if model.hasParam("probabilityCol"):
+            model.setProbabilityCol(names.probability)
+    stages.append(model)
     if labels is not None:
-        stages.append(IndexToString(inputCol="prediction", outputCol=f"predicted_{target}", labels=labels))
-    return stages, inputs
+        stages.append(IndexToString(inputCol=names.prediction, outputCol=names.predicted, labels=labels))
+    return stages
+
+
+def source_slots(slots: list[str], numeric: list[str], categorical: list[str]) -> list[str]:
+    """Vector slots by the names of the source columns: the column, or column_vec_level."""
+    out = []
+    for s in slots:
+        m = re.fullmatch(r"__(m|v)(\d+)(?:_(.*))?", s, re.S)
+        out.append(s if m is None else numeric[int(m[2])] if m[1] == "m" else f"{categorical[int(m[2])]}_vec_{m[3]}")
+    return out
 
 
 def _profile_pass(df: DataFrame, approx_cols: list[str]) -> tuple[dict, dict]:
@@ -95,14 +139,6 @@ def _profile_pass(df: DataFrame, approx_cols: list[str]) -> tuple[dict, dict]:
     return reasons, levels
 
 
-def numeric_out(numeric: list[str]) -> list[str]:
-    return [c + "__imp" for c in numeric]
-
-
-def _clean_slot(name: str) -> str:
-    return name.replace("__imp", "")
-
-
 def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
           algorithm: str | None = None, categorical: bool = True, features: str | list[str] = "",
           threshold: float = fx.CORR_THRESHOLD, split_keys: list[str] | None = None,
@@ -183,39 +219,42 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
         raise ValueError("the training part is empty")
     if not test_df.take(1):
         notes.append("the test part is empty: the metrics are NULL")
-    if num:  # Imputer cannot fit a column with no value in the training part
-        present = train_df.agg(*[F.count(fx.to_double(qcol(c))).alias(c) for c in num]).first().asDict()
-        empty = [c for c in num if present[c] == 0]
+    if num:  # Imputer cannot fit a column with no number (NULL and NaN are none) in the training part
+        values = [fx.to_double(qcol(c)) for c in num]
+        present = train_df.agg(*[F.count(F.when(~F.isnan(v), v)) for v in values]).first()
+        empty = [c for c, n in zip(num, present) if n == 0]
         if empty:
             notes.append(f"dropped features with no value in the training part: {empty}")
             num = [c for c in num if c not in empty]
     if not num and not cat:
         raise ValueError("no feature has a value in the training part")
 
-    stages, _ = build_stages(num, cat, algo, labels, target)
+    out = Names.beside(df.columns, target)
+    stages = build_stages(num, cat, algo, labels, out)
     from pyspark.ml import Pipeline
     model = Pipeline(stages=stages).fit(train_df)
 
     preds = model.transform(test_df)
-    names = [_clean_slot(n) for n in ev.slot_names(preds, fx.FEATURES)]
+    names = source_slots(ev.slot_names(preds, fx.FEATURES), num, cat)
     # the test part is scored once: the metric passes read the persisted (label,
     # prediction, raw score) columns and the few metric rows are materialised before the
     # cache is released
-    keep = [fx.LABEL, "prediction"] + (["rawPrediction"] if "rawPrediction" in preds.columns else [])
+    keep = [qcol(fx.LABEL).alias("label"), qcol(out.prediction).alias("prediction")]
+    has_score = task == "classification" and out.raw in preds.columns
+    if has_score:
+        keep.append(F.get(vector_to_array(qcol(out.raw)), F.lit(1)).alias("score"))
     scored = preds.select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-    if task == "regression":
-        rows = ev.regression_metrics(scored, fx.LABEL, "prediction").collect()
-    else:
-        conf = ev.confusion_counts(scored, fx.LABEL, "prediction").collect()
-        rows = ev.classification_metrics(scored, fx.LABEL, "prediction").collect()
-        n_test_labels = len({r["label"] for r in conf})
-        if n_test_labels == 2 and "rawPrediction" in keep:
-            from pyspark.ml.functions import vector_to_array
-            sc_df = scored.select(fx.LABEL, vector_to_array("rawPrediction")[1].alias("score"))
-            rows += ev.area_under_roc(sc_df, fx.LABEL, "score").collect()
+    try:
+        if task == "regression":
+            rows = ev.regression_metrics(scored).collect()
         else:
-            notes.append("auc left out: the test part does not have exactly two labels")
-    scored.unpersist()
+            rows = ev.classification_metrics(scored).collect()
+            if has_score and scored.select("label").distinct().limit(3).count() == 2:
+                rows += ev.area_under_roc(scored).collect()
+            else:
+                notes.append("auc left out: the test part does not have exactly two labels")
+    finally:
+        scored.unpersist()
     metrics = spark.createDataFrame([(r["metric"], r["value"]) for r in rows], "metric string, value double")
     last = model.stages[-2] if labels is not None else model.stages[-1]
     if hasattr(last, "featureImportances"):
@@ -225,7 +264,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
     path = save_model(model, save_path) if save_path else None
     return TrainResult(model=model, task=task, algorithm=algo, numeric=num, categorical=cat,
                        slot_names=names, metrics=metrics, importances=importances,
-                       predictions=preds, selection=selection, labels=labels, notes=notes, path=path)
+                       predictions=preds, prediction=out.prediction, selection=selection, labels=labels, notes=notes, path=path)
 
 
 def report(result: TrainResult, name: str = "") -> DataFrame:

@@ -108,6 +108,53 @@ def line_series(spark, sf):
     return ch.line_series(T(spark, sf, "orders"), "o_orderdate", "o_totalprice")
 
 
+PIXELS = 200
+
+
+@q("line_pixels", f"""WITH p AS (SELECT o_orderdate AS x, epoch_us(o_orderdate)::DOUBLE AS o, coalesce(o_totalprice, 0.0) AS y FROM orders WHERE o_orderdate IS NOT NULL),
+e AS (SELECT min(o) AS lo, max(o) AS hi FROM p),
+c AS (SELECT p.x, p.y, CASE WHEN hi = lo THEN 0 ELSE least(floor((o - lo) / (hi - lo) * {PIXELS}), {PIXELS - 1}) END::BIGINT AS pixel FROM p, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY x, y) AS a, row_number() OVER (PARTITION BY pixel ORDER BY x DESC, y DESC) AS b,
+             row_number() OVER (PARTITION BY pixel ORDER BY y, x) AS c, row_number() OVER (PARTITION BY pixel ORDER BY y DESC, x) AS d FROM c)
+SELECT DISTINCT pixel, x, y FROM r WHERE 1 IN (a, b, c, d)""")
+def line_pixels(spark, sf):
+    return ch.line_pixels(T(spark, sf, "orders"), "o_orderdate", "o_totalprice", PIXELS)
+
+
+TILE_LEVELS = 5
+
+
+@q("scatter_tiles", f"""WITH p AS (SELECT coalesce(l_quantity, 0.0) AS x, coalesce(l_extendedprice, 0.0) AS y FROM {LI_NULLS_SQL}),
+e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
+c AS (SELECT least(floor((x - x0) / (x1 - x0) * {1 << TILE_LEVELS}), {(1 << TILE_LEVELS) - 1})::BIGINT AS ix,
+             least(floor((y - y0) / (y1 - y0) * {1 << TILE_LEVELS}), {(1 << TILE_LEVELS) - 1})::BIGINT AS iy FROM p, e)
+SELECT l::INTEGER AS level, ix >> ({TILE_LEVELS} - l) AS ix, iy >> ({TILE_LEVELS} - l) AS iy, count(*) AS n
+FROM c, range({TILE_LEVELS + 1}) AS t(l) GROUP BY ALL""")
+def scatter_tiles(spark, sf):
+    return ch.scatter_tiles(lineitem_nulls(spark, sf), "l_quantity", "l_extendedprice", TILE_LEVELS)
+
+
+@q("histogram_width_bins", f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_NULLS_SQL}),
+q AS (SELECT min(v) AS lo, max(v) AS hi, 2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / pow(count(*), 1 / 3.0) AS w FROM v),
+k AS (SELECT *, greatest(1, ceil((hi - lo) / w))::BIGINT AS k FROM q),
+c AS (SELECT least(floor((v - lo) / (hi - lo) * k)::BIGINT, k - 1) AS bin, count(*) AS n FROM v, k GROUP BY 1)
+SELECT b.bin, round(lo + b.bin * (hi - lo) / k, 6) AS lo, round(lo + (b.bin + 1) * (hi - lo) / k, 6) AS hi, coalesce(c.n, 0) AS n
+FROM (SELECT lo, hi, k, unnest(range(k)) AS bin FROM k) b LEFT JOIN c ON c.bin = b.bin""")
+def histogram_width_bins(spark, sf):
+    h = ch.histogram_width_bins(lineitem_nulls(spark, sf), "l_extendedprice")
+    return h.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
+
+
+@q("histogram_equal_depth", f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_NULLS_SQL}),
+e AS (SELECT list_sort(list_distinct(quantile_cont(v, [i / 12.0 FOR i IN range(13)]))) AS e FROM v),
+b AS (SELECT unnest(range(len(e) - 1)) AS bin, e FROM e),
+c AS (SELECT len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS bin, count(*) AS n FROM v, e GROUP BY 1)
+SELECT b.bin::BIGINT AS bin, round(e[b.bin + 1], 6) AS lo, round(e[b.bin + 2], 6) AS hi, coalesce(c.n, 0) AS n FROM b LEFT JOIN c ON c.bin = b.bin""")
+def histogram_equal_depth(spark, sf):
+    h = ch.histogram_equal_depth(lineitem_nulls(spark, sf), "l_extendedprice", 12)
+    return h.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
+
+
 @q("column_summary", _vote_sql(EV_GAPS_SQL, EV_COLS, True))
 def column_summary(spark, sf):
     s = ch.column_summary(events_gaps(spark, sf))

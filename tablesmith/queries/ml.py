@@ -3,6 +3,7 @@ model sink and scoring (2.A)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablesmith.operators import evaluate as ev
@@ -190,11 +191,23 @@ def fit_rf_regressor(spark, sf):
     return res.predictions.select("p_partkey", fx.LABEL, r6(F.col("prediction")).alias("prediction"))
 
 
-@q("fit_gbt_regressor", f"""WITH {_parts_sql('part', 'p_partkey', 'p_size % 4 AS size_class, p_retailprice')},
-m AS (SELECT size_class, avg(p_retailprice) AS mean FROM s WHERE in_train GROUP BY 1)
-SELECT p_partkey, p_retailprice AS __label, round(mean, 4) AS prediction FROM s JOIN m USING (size_class) WHERE NOT in_train""")
+# A planted table: the price depends on a small number and a two-level text; a third column does not matter.
+CELLS = ("p_size % 4 AS size_class, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS shape, p_partkey % 97 AS noise, "
+         "p_retailprice + 400.0 * (p_size % 4) + CASE WHEN p_size > 25 THEN 300.0 ELSE 0.0 END AS price")
+CELLS_SQL = f"""WITH {_parts_sql('part', 'p_partkey', CELLS)},
+m AS (SELECT size_class, shape, avg(price) AS mean FROM s WHERE in_train GROUP BY ALL),
+p AS (SELECT p_partkey, price, mean FROM s JOIN m USING (size_class, shape) WHERE NOT in_train)"""
+
+
+def _cells_model(spark, sf):
+    """Mode B on the planted table: correlation keeps size_class and drops noise, the text is indexed and encoded."""
+    d = T(spark, sf, "part").selectExpr("p_partkey", *CELLS.split(", "))
+    return train(d, "price", mode="B", algorithm="GBTRegressor", split_keys=["p_partkey"])
+
+
+@q("fit_gbt_regressor", CELLS_SQL + "\nSELECT p_partkey, price AS __label, round(mean, 4) AS prediction FROM p")
 def fit_gbt_regressor(spark, sf):
-    res = _size_model(spark, sf, "p_retailprice", "GBTRegressor")
+    res = _cells_model(spark, sf)
     return res.predictions.select("p_partkey", fx.LABEL, F.round("prediction", 4).alias("prediction"))
 
 
@@ -251,17 +264,29 @@ def predict(spark, sf):
     return _line(spark, sf).predictions.select("p_partkey", fx.LABEL, F.round("prediction", 4).alias("prediction"))
 
 
-@q("feature_importance", "SELECT 'size_class' AS feature, CAST(1 AS DOUBLE) AS value FROM part HAVING count(*) > 0")
+# How much of the label each feature explains on its own decides the order of the importances.
+@q("feature_importance", f"""WITH {_parts_sql('part', 'p_partkey', "p_size % 4 AS x1, p_partkey % 5 AS x2, p_partkey % 3 AS x3, 9.0 * (p_size % 4) + 3.0 * (p_partkey % 5) + 1.0 * (p_partkey % 3) AS y")},
+r AS (SELECT 'x1' AS feature, corr(x1, y) AS r FROM s WHERE in_train UNION ALL SELECT 'x2', corr(x2, y) FROM s WHERE in_train
+      UNION ALL SELECT 'x3', corr(x3, y) FROM s WHERE in_train)
+SELECT feature, row_number() OVER (ORDER BY abs(r) DESC) AS place, true AS positive FROM r""")
 def feature_importance(spark, sf):
-    return _size_model(spark, sf, "grade", "RandomForestRegressor").importances
-
-
-@q("train_report", """SELECT * FROM (VALUES ('model', 'algorithm', 'RandomForestClassifier'),
-  ('model', 'task', 'classification'), ('model', 'name', 'bands'), ('metric', 'accuracy', '1.0'),
-  ('metric', 'weightedPrecision', '1.0'), ('metric', 'weightedRecall', '1.0'),
-  ('importance', 'zone', '1.0')) AS r(section, name, value)""")
+    d = T(spark, sf, "part").selectExpr("p_partkey", "p_size % 4 AS x1", "p_partkey % 5 AS x2", "p_partkey % 3 AS x3",
+                                        "9.0 * (p_size % 4) + 3.0 * (p_partkey % 5) + 1.0 * (p_partkey % 3) AS y")
+    res = train(d, "y", mode="C", features="x1,x2,x3", algorithm="RandomForestRegressor", categorical=False, split_keys=["p_partkey"])
+    place = F.row_number().over(Window.orderBy(F.desc("value"))).cast("bigint")  # one row a feature
+    return res.importances.select("feature", place.alias("place"), (F.col("value") > 0).alias("positive"))
+
+
+@q("train_report", CELLS_SQL + """
+SELECT * FROM (VALUES ('model', 'algorithm', 'GBTRegressor'), ('model', 'task', 'regression'), ('model', 'name', 'prices')) AS v(section, name, value)
+UNION ALL SELECT 'metric', 'rmse', printf('%.4f', sqrt(avg((price - mean) * (price - mean)))) FROM p
+UNION ALL SELECT 'metric', 'r2', printf('%.4f', 1 - sum((price - mean) * (price - mean)) / (var_pop(price) * count(*))) FROM p
+UNION ALL SELECT 'importance', n, 'listed' FROM (VALUES ('size_class'), ('shape_vec_big'), ('shape_vec_small')) AS f(n)""")
 def train_report(spark, sf):
-    return report(_bands(spark, sf, "customer", "c_custkey", "c_nationkey", "RandomForestClassifier"), "bands")
+    rows = report(_cells_model(spark, sf), "prices")
+    number = F.format_string("%.4f", F.expr("try_cast(value AS double)"))
+    return rows.select("section", "name", F.when(F.col("section") == "metric", number).when(
+        F.col("section") == "importance", "listed").otherwise(F.col("value")).alias("value"))
 
 
 @q("sink_model", LINE_TERMS_SQL)

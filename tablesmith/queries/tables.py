@@ -13,6 +13,7 @@ from tablesmith.queries.common import (EV_GAPS_SQL, LI_COLS, LI_NULLS_SQL, LI_NU
                                        PART_DROPS_COLS, PART_DROPS_SQL, T, corr_sql,
                                        lineitem_nulls, part_drops, profile_sql, r6, union_all)
 from tablesmith.session import scratch_path
+from tablesmith.sources import activity_log as al
 from tablesmith.sources import files as fs
 from tablesmith.sources import sinks as sk
 
@@ -71,12 +72,23 @@ def sink_json_records(spark, sf):
 def sink_activity_log(spark, sf):
     path = scratch_path(spark, "activity")
     ev = T(spark, sf, "events")
-    # two daily loads; together they are the whole table, rows without a time included
+    # two loads, the first sent twice; together they are the whole table, rows without a time included
     first_half = F.coalesce(F.dayofmonth("ts") <= 15, F.lit(False))
-    sk.append_activity_log(ev.filter(first_half), path)
-    sk.append_activity_log(ev.filter(~first_half), path)
-    return spark.read.parquet(path).select("event_id", "ts", "user_id", "event_type", "value",
-                                           "props", "day")
+    for batch, rows in (("first", first_half), ("first", first_half), ("second", ~first_half)):
+        al.append_batch(ev.filter(rows), path, batch)
+    return al.read_log(spark, path).select("event_id", "ts", "user_id", "event_type", "value", "props", "day")
+
+
+@q("compact_activity_log",
+   "SELECT event_id, ts, user_id, event_type, value, props, CAST(ts AS DATE) AS day FROM events")
+def compact_activity_log(spark, sf):
+    path = scratch_path(spark, "activity")
+    ev = T(spark, sf, "events")
+    for k in range(3):
+        al.append_batch(ev.filter(F.pmod("event_id", F.lit(3)) == k), path, f"load-{k}", files_per_day=2)
+    al.compact_log(spark, path)
+    al.append_batch(ev.filter(F.pmod("event_id", F.lit(3)) == 0), path, "load-0")  # covered: not written again
+    return al.read_log(spark, path).select("event_id", "ts", "user_id", "event_type", "value", "props", "day")
 
 
 # ---------------------------------------------------------------- 2.B schema
@@ -277,6 +289,19 @@ def distinct_counts(spark, sf):
     return pr.distinct_counts(lineitem_nulls(spark, sf))
 
 
+@q("distinct_added", ORACLE["distinct_counts"])
+def distinct_added(spark, sf):
+    """The counts of two loads, the second added to the first one's stored state."""
+    from tablesmith.operators import distinct as di
+    li = lineitem_nulls(spark, sf)
+    path = scratch_path(spark, "distinct")
+    first = F.pmod("l_orderkey", F.lit(10)) < 9
+    di.distinct_state(li.where(first)).write.parquet(path)
+    state = di.added(spark.read.schema(di.STATE).parquet(path), li.where(~first))
+    out = di.counts(state, li.schema)
+    return out.select("column", (F.col("values") + F.col("has_null").cast("int")).alias("distinct"))
+
+
 @q("drop_empty_constant", f'SELECT "column", reason FROM ({profile_sql(PART_DROPS_SQL, PART_DROPS_COLS)}) '
    "WHERE reason IS NOT NULL")
 def drop_empty_constant(spark, sf):

@@ -22,14 +22,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def append_activity_log(df: DataFrame, path: str, ts: str = "ts", files_per_day: int | None = None) -> None:
+def append_activity_log(df: DataFrame, path: str, ts: str = "ts", files_per_day: int | None = 1) -> None:
     """Append a batch of activity records, partitioned by day (partition pruning on
     later date filters). Appends are file-level atomic per task, so a lost executor
-    only re-runs its task.
+    only re-runs its task; a batch appended twice is there twice (`activity_log.append_batch`
+    is the append that counts a batch once).
 
-    Without `files_per_day` every task writes one file per day it holds (no shuffle).
-    With it, rows are first clustered by (day, hash bucket): each day gets at most that
-    many files and a busy day is still spread over `files_per_day` tasks.
+    Rows are first clustered by (day, hash bucket): each day gets at most `files_per_day`
+    files and a busy day is still spread over that many tasks. With None every task writes
+    one file per day it holds (no shuffle).
     """
     out = df.withColumn("day", F.to_date(qcol(ts)))
     if files_per_day:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablesmith.functions.columns import qcol
 from tablesmith.session import scratch_path
+from tablesmith.sources.activity_log import append_batch
 
 
 def stream_activity_log(spark: SparkSession, source: str, sink: str, checkpoint: str | None = None,
@@ -32,3 +33,27 @@ def stream_activity_log(spark: SparkSession, source: str, sink: str, checkpoint:
          .option("checkpointLocation", checkpoint or scratch_path(spark, "activity-stream-ckpt")))
     w = w.trigger(availableNow=True) if trigger == "availableNow" else w.trigger(processingTime=trigger)
     return w.start()
+
+
+def stream_activity_batches(spark: SparkSession, source: str, log: str, checkpoint: str | None = None,
+                            schema: T.StructType | None = None, ts: str = "ts", fmt: str = "parquet",
+                            name: str = "stream", files_per_day: int = 1, trigger: str = "availableNow",
+                            max_files: int = 1000) -> StreamingQuery:
+    """Each micro-batch becomes one batch of the log (`sources.activity_log`), named by its number.
+
+    A micro-batch that runs again after a restart is found committed and skipped, and each one
+    leaves `files_per_day` files a day instead of one for each task and day. `name` tells
+    several streams into one log apart.
+    """
+    if schema is None:
+        schema = spark.read.format(fmt).load(source).schema
+    stream = (spark.readStream.schema(schema).format(fmt)
+              .option("maxFilesPerTrigger", max_files).load(source))
+
+    def write(batch, number: int) -> None:
+        append_batch(batch, log, f"{name}-{number}", ts, files_per_day)
+
+    w = stream.writeStream.foreachBatch(write).option(
+        "checkpointLocation", checkpoint or scratch_path(spark, "activity-batches-ckpt"))
+    w = w.trigger(availableNow=True) if trigger == "availableNow" else w.trigger(processingTime=trigger)
+    return w.start()

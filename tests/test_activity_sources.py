@@ -49,7 +49,7 @@ def test_csv_round_trip_and_extension_filter(spark):
 def test_activity_log_append_partitions_by_day(spark):
     path = scratch_path(spark, "logtest")
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    sk.append_activity_log(ev.limit(10), path)
+    sk.append_activity_log(ev.limit(10), path, files_per_day=None)
     sk.append_activity_log(ev.limit(10), path)
     back = spark.read.parquet(path)
     assert back.count() == 20 and "day" in back.columns
@@ -98,3 +98,69 @@ def test_purge_list_filter_reaches_scan(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     plan = _plan(ac.purge_owner({"e": (ev, "user_id")}, [3, 5])["e"])
     assert "PushedFilters: [Or(IsNull(user_id),Not(In(user_id, [3,5])))]" in plan
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_batches_count_once(spark):
+    """A batch sent twice, and one whose first write died half-way, are read back once."""
+    import glob
+    from tablesmith.sources import activity_log as al
+    path = scratch_path(spark, "batchlog")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("ts", F.when(F.col("event_id") % 9 != 0, F.col("ts")))
+    a, b = ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")
+    assert al.append_batch(a, path, "a", files_per_day=2) and not al.append_batch(a, path, "a")
+    # a write of b that died before its commit
+    b.limit(5).withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(f"{path}/data/load=b-dead")
+    assert _rows(al.read_log(spark, path).drop("day")) == _rows(a)
+    assert al.append_batch(b, path, "b")
+    assert _rows(al.read_log(spark, path).drop("day")) == _rows(ev)
+    for day in glob.glob(f"{path.removeprefix('file:')}/data/load=a-*/day=*"):
+        assert len(glob.glob(f"{day}/*.parquet")) <= 2
+    one = al.read_log(spark, path).where("day = date'1995-01-01'")
+    assert "PartitionFilters" in _plan(one)
+    assert al.append_batch(ev.limit(0), path, "nothing") and al.read_log(spark, path).count() == ev.count()
+
+
+def test_compaction_keeps_the_rows_and_covers_batches(spark):
+    import glob
+    from tablesmith.sources import activity_log as al
+    path = scratch_path(spark, "compactlog")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    for k in range(4):
+        al.append_batch(ev.where(F.col("event_id") % 4 == k), path, f"b{k}")
+    assert al.compact_log(spark, path) and al.compact_log(spark, path) is None
+    assert len(al.commits(spark, path)) == 1 and not al.append_batch(ev, path, "b2")
+    assert _rows(al.read_log(spark, path).drop("day")) == _rows(ev)
+    assert al.vacuum_log(spark, path) == 8  # four loads, four commits
+    assert not al.append_batch(ev, path, "b1") and _rows(al.read_log(spark, path).drop("day")) == _rows(ev)
+    root = path.removeprefix("file:")
+    assert len(glob.glob(f"{root}/data/*")) == 1
+    assert all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in glob.glob(f"{root}/data/*/day=*"))
+
+
+def test_a_log_needs_a_committed_batch_and_a_plain_id(spark):
+    import pytest
+    from tablesmith.sources import activity_log as al
+    path = scratch_path(spark, "nolog")
+    with pytest.raises(ValueError):
+        al.read_log(spark, path)
+    for bad in ("", "../x", ".hidden", "a/b"):
+        with pytest.raises((ValueError, IndexError)):
+            al.append_batch(spark.range(1).select(F.current_timestamp().alias("ts")), path, bad)
+
+
+def test_stream_batches_are_idempotent(spark):
+    from tablesmith.sources import activity_log as al
+    from tablesmith.streaming.activity import stream_activity_batches
+    land, log, ckpt = (scratch_path(spark, n) for n in ("land", "log", "ckpt"))
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.filter(F.col("event_id") % 2 == 0).write.parquet(f"{land}/b1")
+    stream_activity_batches(spark, land + "/*", log, ckpt, schema=ev.schema).awaitTermination(120)
+    ev.filter(F.col("event_id") % 2 == 1).write.parquet(f"{land}/b2")
+    stream_activity_batches(spark, land + "/*", log, ckpt, schema=ev.schema).awaitTermination(120)
+    # a restart that has lost its own checkpoint sends the first batch's number again
+    stream_activity_batches(spark, land + "/b1", log, scratch_path(spark, "ckpt"), schema=ev.schema).awaitTermination(120)
+    assert _rows(al.read_log(spark, log).drop("day")) == _rows(ev)

@@ -148,7 +148,7 @@ def test_metrics_match_spark_evaluators(spark):
         ref = RegressionEvaluator(labelCol="y", predictionCol="p", metricName=name).evaluate(df)
         assert r[name] == pytest.approx(ref, abs=1e-9)
     b = df.withColumn("label", (F.col("label") > 0).cast("double"))
-    auc = ev.area_under_roc(b, "label", "s", buckets=8).first()["value"]
+    auc = ev.area_under_roc(b, "label", "s", rows_per_range=60).first()["value"]
     ref = BinaryClassificationEvaluator(rawPredictionCol="s", numBins=0).evaluate(b)
     assert auc == pytest.approx(ref, abs=1e-12)
 
@@ -190,3 +190,43 @@ def test_split_without_keys_keeps_all_rows(spark):
     df = spark.range(1000).select((F.col("id") % 4).alias("v"))
     a, b = fx.train_test_split(df)
     assert a.count() + b.count() == 1000 and 100 < b.count() < 300
+
+
+def test_awkward_column_names(spark):
+    """Names with dots, a source column `prediction`, x beside x__impact, r beside r_vec, a name given twice."""
+    rnd = random.Random(3)
+    rows = [(i, rnd.random(), rnd.random(), ["u", "v"][i % 2], float(i % 3), ["p", "q", "w"][i % 3], 1.0 * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id int, `a.b` double, x__impact double, r string, prediction double, r_vec string, `raw``x` double")
+    df = df.withColumn("y", 2 * F.col("`a.b`") + F.when(F.col("r") == "u", 5.0).otherwise(1.0) + F.col("prediction"))
+    res = train(df, "y", mode="A", algorithm="GBTRegressor", split_keys=["row_id"])
+    assert res.numeric == ["a.b", "x__impact", "prediction", "raw`x"] and res.categorical == ["r", "r_vec"]
+    assert res.prediction == "prediction_2" and {"prediction", "prediction_2"} <= set(res.predictions.columns)
+    assert {"a.b", "x__impact", "prediction", "raw`x", "r_vec_u", "r_vec_v", "r_vec_vec_p"} <= set(res.slot_names)
+    assert res.importances.first()["feature"] in ("r_vec_u", "r_vec_v")
+    res = train(df, "r", mode="C", features="x__impact, x__impact, a.b", categorical=False, split_keys=["row_id"],
+                algorithm="LogisticRegression")
+    assert res.numeric == ["x__impact", "a.b"] and "predicted_r" in res.predictions.columns
+    path = scratch_path(spark, "awkward")
+    res = train(df.withColumnRenamed("y", "t.y"), "t.y", mode="C", features="a.b", categorical=False, algorithm="LinearRegression",
+                split_keys=["row_id"], save_path=path)
+    assert load_model(path).transform(df).where("prediction_2 is null").count() == 0
+
+
+def test_feature_of_nulls_and_nans_is_dropped(spark):
+    df = spark.range(200).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"),
+                                 F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).alias("w"))
+    res = train(df, "y", mode="C", features="x,w", categorical=False, algorithm="LinearRegression", split_keys=["row_id"])
+    assert res.numeric == ["x"] and any("no value" in n for n in res.notes)
+
+
+def test_auc_over_many_ranges(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(float(rnd.random() < 0.3), rnd.choice([0.25, 0.5, rnd.random(), rnd.gauss(0, 1)])) for _ in range(4000)],
+                               "label double, s double").repartition(5)
+    ref = BinaryClassificationEvaluator(rawPredictionCol="s", numBins=0).evaluate(df)
+    for rows in (10, 300, 10**6):
+        out = ev.area_under_roc(df, "label", "s", rows_per_range=rows)
+        assert out.first()["value"] == pytest.approx(ref, abs=1e-12)
+    nan = spark.createDataFrame([(1.0, float("nan")), (0.0, 5.0), (0.0, None), (1.0, float("inf")), (0.0, float("-inf"))], "label double, s double")
+    assert ev.area_under_roc(nan, "label", "s", rows_per_range=1).first()["value"] == 1.0
