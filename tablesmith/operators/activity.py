@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.functions.columns import qcol, require_columns
+from tablesmith.session import scratch_path
 
 # How many actions the listings show.
 RECENT_PER_USER = 30
@@ -83,8 +84,10 @@ def purge_owner(tables: dict[str, tuple[DataFrame, str]], ids) -> dict[str, Data
     out = {}
     if isinstance(ids, DataFrame):
         id_col = ids.columns[0]
-        small = ids.select(qcol(id_col).alias("__id")).distinct()
-        n = small.limit(BROADCAST_ID_LIMIT + 1).count()
+        path = scratch_path(ids.sparkSession, "purge-ids")  # written once, read by the count and by every table
+        ids.select(qcol(id_col).alias("__id")).distinct().write.parquet(path)
+        small = ids.sparkSession.read.parquet(path)
+        n = small.count()
         side = F.broadcast(small) if n <= BROADCAST_ID_LIMIT else small
         for name, (df, owner) in tables.items():
             require_columns(df, [owner])

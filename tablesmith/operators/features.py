@@ -140,6 +140,25 @@ def index_categorical(df: DataFrame, cols: list[str], suffix: str = "_idx",
     return model, model.transform(src).drop(*tmp)
 
 
+def hash_bucket(col: str, buckets: int) -> Column:
+    """0..buckets-1 from the column's name and the value's text; NULL has a bucket like any value."""
+    text = F.coalesce(qcol(col).cast("string"), F.lit("\u0000NULL"))
+    return F.pmod(F.xxhash64(F.lit(col), text), F.lit(buckets).cast("bigint"))
+
+
+def hash_collisions(df: DataFrame, cols: list[str], buckets: int) -> DataFrame:
+    """(column, levels, used, shared): values, buckets they fall into, and values that share theirs with another.
+
+    One row for each different value of a column is shuffled; nothing is kept on the driver.
+    """
+    require_columns(df, cols)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value"), hash_bucket(c, buckets).alias("bucket")) for c in cols])
+    levels = df.select(F.inline(cells)).groupBy("column", "bucket", "value").agg(F.lit(1).alias("one"))
+    filled = levels.groupBy("column", "bucket").agg(F.count("*").alias("n"))
+    return filled.groupBy("column").agg(F.sum("n").alias("levels"), F.count("*").alias("used"),
+                                        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared"))
+
+
 def one_hot(df: DataFrame, index_cols: list[str], suffix: str = "_vec"):
     """Indices -> one-hot vectors, last category dropped (so the extra 'unseen' bucket of
     a keep-indexer is all zeros). Returns (fitted OneHotEncoderModel, table)."""

@@ -78,22 +78,31 @@ class Names:
 
 
 def build_stages(numeric: list[str], categorical: list[str], algo: str,
-                 labels: list[str] | None, names: Names) -> list:
+                 labels: list[str] | None, names: Names, hash_buckets: int | None = None) -> list:
     """Stages from raw columns to a prediction. The k-th numeric column becomes __n{k}, imputed
-    __m{k}; the k-th text column __c{k}, its index __i{k}, its vector __v{k}."""
+    __m{k}; the k-th text column __c{k}, its index __i{k}, its vector __v{k}. With hash_buckets the index is the
+    hash bucket, computed in SQL, and no list of levels is kept."""
     n = [f"{k}" for k in range(len(numeric))]
     c = [f"{k}" for k in range(len(categorical))]
     sel = ["*"]
     sel += [f"try_cast(nullif(trim(cast({_sql_name(x)} as string)), '') as double) AS __n{k}" for k, x in zip(n, numeric)]
-    sel += [f"cast({_sql_name(x)} as string) AS __c{k}" for k, x in zip(c, categorical)]
+    if hash_buckets is None:
+        sel += [f"cast({_sql_name(x)} as string) AS __c{k}" for k, x in zip(c, categorical)]
+    else:  # the same rule as features.hash_bucket
+        lit = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        sel += [f"cast(pmod(xxhash64({lit(x)}, coalesce(cast({_sql_name(x)} as string), concat(char(0), 'NULL'))), {int(hash_buckets)}L) as double) AS __i{k}"
+                for k, x in zip(c, categorical)]
     stages = [SQLTransformer(statement=f"SELECT {', '.join(sel)} FROM __THIS__")]
     inputs = []
     if numeric:
         stages.append(Imputer(inputCols=[f"__n{k}" for k in n], outputCols=[f"__m{k}" for k in n], strategy="mean"))
         inputs += [f"__m{k}" for k in n]
     if categorical:
-        stages.append(StringIndexer(inputCols=[f"__c{k}" for k in c], outputCols=[f"__i{k}" for k in c], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"__i{k}" for k in c], outputCols=[f"__v{k}" for k in c]))
+        if hash_buckets is None:
+            stages.append(StringIndexer(inputCols=[f"__c{k}" for k in c], outputCols=[f"__i{k}" for k in c], handleInvalid="keep"))
+        # buckets beyond those of the training part are all zeros, as unseen levels are
+        stages.append(OneHotEncoder(inputCols=[f"__i{k}" for k in c], outputCols=[f"__v{k}" for k in c],
+                                    handleInvalid="error" if hash_buckets is None else "keep"))
         inputs += [f"__v{k}" for k in c]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=fx.FEATURES, handleInvalid="keep"))
     model = make_estimator(algo)
@@ -144,13 +153,16 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
           threshold: float = fx.CORR_THRESHOLD, split_keys: list[str] | None = None,
           fraction: float = fx.TRAIN_FRACTION, split: str = "hash", nulls: str = "zero",
           max_categories: int | None = None, max_classes: int | None = None,
-          match: str = "substring",
+          hash_buckets: int | None = None, match: str = "substring",
           save_path: str | None = None, drop_rules: bool = True) -> TrainResult:
     """Fit and evaluate one model; see the module doc for the steps.
 
     Every text column is one-hot encoded with all its levels, which the fitted indexer
     keeps on the driver and in the saved model: name the features, or set `categorical`
-    to False, where a table has identifier-like text. A caller may set limits on
+    to False, where a table has identifier-like text.
+    With `hash_buckets` text columns are encoded by the hash bucket of their value instead:
+    driver and model then hold the buckets, not the levels (`features.hash_collisions` tells
+    how many values share one); only the caller chooses this. A caller may set limits on
     (approximate) level counts: columns above `max_categories` are left out and listed in
     `notes`, a target above `max_classes` raises.
     """
@@ -230,7 +242,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
         raise ValueError("no feature has a value in the training part")
 
     out = Names.beside(df.columns, target)
-    stages = build_stages(num, cat, algo, labels, out)
+    stages = build_stages(num, cat, algo, labels, out, hash_buckets)
     from pyspark.ml import Pipeline
     model = Pipeline(stages=stages).fit(train_df)
 

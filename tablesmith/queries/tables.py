@@ -14,6 +14,7 @@ from tablesmith.queries.common import (EV_GAPS_SQL, LI_COLS, LI_NULLS_SQL, LI_NU
                                        lineitem_nulls, part_drops, profile_sql, r6, union_all)
 from tablesmith.session import scratch_path
 from tablesmith.sources import activity_log as al
+from tablesmith.sources import csv_checked as cc
 from tablesmith.sources import files as fs
 from tablesmith.sources import sinks as sk
 
@@ -54,6 +55,29 @@ def scan_csv_filter_ext(spark, sf):
     return fs.scan_csv_dir(spark, base)
 
 
+def _broken_csv(spark, sf):
+    """The customers as CSV, and beside them a file of lines without all fields."""
+    path = scratch_path(spark, "csvbroken")
+    cust = T(spark, sf, "customer")
+    sk.write_csv(cust, path)
+    lines = cust.where("c_custkey % 20 = 0").select(F.concat_ws(",", "c_custkey", "c_name").alias("value"))
+    header = spark.createDataFrame([(",".join(cust.columns),)], "value string")
+    for k in range(2):  # each file starts with the header
+        part = lines.where(F.pmod(F.xxhash64("value"), F.lit(2)) == k)
+        header.unionByName(part).coalesce(1).write.mode("append").text(path)
+    return cc.scan_csv_checked(spark, path)
+
+
+@q("scan_csv_checked", CUSTOMER_CSV_SQL)
+def scan_csv_checked(spark, sf):
+    return _broken_csv(spark, sf).rows
+
+
+@q("scan_csv_broken", "SELECT c_custkey || ',' || c_name AS line FROM customer WHERE c_custkey % 20 = 0")
+def scan_csv_broken(spark, sf):
+    return _broken_csv(spark, sf).broken
+
+
 @q("scan_sample", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 2000")
 def scan_sample(spark, sf):
     return fs.scan_sample(T(spark, sf, "orders"), 2000, ["o_orderkey"])

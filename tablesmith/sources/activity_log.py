@@ -9,6 +9,11 @@ read. A batch whose commit file exists is not written again. Compaction writes t
 all live batches anew, clustered by day and hash bucket, as one more load, whose commit
 file names the batches it covers; readers take it in their place.
 
+Rows of some owners are removed by writing anew only the files that hold them: an index of
+each load (smallest and largest owner and a bitmap of hashed owners for each file) rules most
+files out, a read of the owner column alone finds the files that do hold one, and one commit
+adds the rows they keep and names them as removed. All other files stay as they are.
+
 Any file system that Spark writes to will do; commit files appear by rename. One commit
 row for each live batch comes to the driver, which `compact_log` keeps few.
 """
@@ -18,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +32,7 @@ from pyspark.sql import types as T
 from tablesmith.functions.columns import qcol
 
 LOAD = "load"
+BITS = 32_768
 
 
 class _Folder:
@@ -71,13 +78,13 @@ def commits(spark: SparkSession, path: str) -> list[dict]:
     folder = _Folder(spark, path)
     if not any(n.endswith(".json") for n in folder.names("commits")):
         return []
-    rows = spark.read.schema("batch string, load string, covers array<string>, schema string, made long").option(
+    rows = spark.read.schema("batch string, load string, covers array<string>, removes array<string>, schema string, made long").option(
         "pathGlobFilter", "*.json").json(f"{folder.path}/commits").where("load is not null").collect()
     covered = {b for r in rows for b in r.covers or []}
     return sorted((r.asDict() for r in rows if r.batch not in covered), key=lambda r: (r["made"], r["batch"]))
 
 
-def _write(df: DataFrame, path: str, batch_id: str, files_per_day: int, covers: list[str]) -> None:
+def _write(df: DataFrame, path: str, batch_id: str, files_per_day: int, covers: list[str], removes: list[str] | None = None) -> None:
     spark = df.sparkSession
     folder = _Folder(spark, path)
     load = f"{batch_id}-{uuid.uuid4().hex[:12]}"
@@ -86,7 +93,7 @@ def _write(df: DataFrame, path: str, batch_id: str, files_per_day: int, covers:
     out = df.repartition(F.col("day"), bucket)
     out.write.partitionBy("day").parquet(f"{folder.path}/data/{LOAD}={load}")
     made = max([c["made"] for c in commits(spark, path)], default=0) + 1
-    folder.write(_file(batch_id), json.dumps({"batch": batch_id, "load": load, "covers": covers, "schema": df.schema.json(), "made": made}))
+    folder.write(_file(batch_id), json.dumps({"batch": batch_id, "load": load, "covers": covers, "removes": removes or [], "schema": df.schema.json(), "made": made}))
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str, ts: str = "ts", files_per_day: int = 1) -> bool:
@@ -105,16 +112,77 @@ def append_batch(df: DataFrame, path: str, batch_id: str, ts: str = "ts", files_
     return True
 
 
+def _read(spark: SparkSession, path: str, live: list[dict], files: list[str] | None = None) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(live[-1]["schema"]))
+    base = f"{path.rstrip('/')}/data"
+    with_load = T.StructType([*schema.fields, T.StructField(LOAD, T.StringType())])
+    reader = spark.read.schema(with_load).option("basePath", base)
+    df = reader.parquet(*[f"{base}/{LOAD}={c['load']}" for c in live])
+    removed = {f for c in live for f in c["removes"] or []}
+    if files is None and removed:
+        files = [f for f in map(_relative, df.inputFiles()) if f not in removed]
+    if files is not None:
+        df = reader.parquet(*[f"{base}/{f}" for f in files]) if files else df.limit(0)
+    return df.select(*[qcol(c) for c in schema.names])
+
+
+def _relative(file: str) -> str:
+    """The file's place below data/, as the file system has it."""
+    return unquote(file[file.index(f"/data/{LOAD}=") + len("/data/"):])
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the committed batches, once each; filters on `day` skip the other days' folders."""
     live = commits(spark, path)
     if not live:
         raise ValueError(f"no committed batch below {path}")
-    schema = T.StructType.fromJson(json.loads(live[-1]["schema"]))
-    base = f"{path.rstrip('/')}/data"
-    with_load = T.StructType([*schema.fields, T.StructField(LOAD, T.StringType())])
-    df = spark.read.schema(with_load).option("basePath", base).parquet(*[f"{base}/{LOAD}={c['load']}" for c in live])
-    return df.select(*[qcol(c) for c in schema.names])
+    return _read(spark, path, live)
+
+
+def _index(spark: SparkSession, path: str, live: list[dict], owner: str) -> DataFrame:
+    """(file, least, most, bits) of the owners in each live file; made once for each load."""
+    folder = _Folder(spark, path)
+    tag = re.sub(r"[^A-Za-z0-9]", "_", owner)
+    for c in live:
+        at = f"index/{tag}/{c['load']}"
+        if not folder.exists(f"{at}/_SUCCESS"):
+            only = [{**c, "removes": []}]
+            key = qcol(owner)
+            place = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+            rows = _read(spark, path, only).where(key.isNotNull()).groupBy(F.input_file_name().alias("file")).agg(
+                F.min(key).alias("least"), F.max(key).alias("most"), F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+            rows.write.mode("overwrite").parquet(f"{folder.path}/{at}")
+    return spark.read.parquet(*[f"{folder.path}/index/{tag}/{c['load']}" for c in live])
+
+
+def purge_log(spark: SparkSession, path: str, owner: str, ids: DataFrame, files_per_day: int = 1) -> list[str]:
+    """Remove every row whose `owner` is in the one-column table `ids`; the files that were written anew, below data/.
+
+    Rows without an owner stay. The removed rows' files are deleted by `vacuum_log`.
+    """
+    live = commits(spark, path)
+    if not live:
+        raise ValueError(f"no committed batch below {path}")
+    wanted = ids.select(qcol(ids.columns[0]).alias("id")).where("id is not null").distinct()
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1
+    one = wanted.agg(F.min("id").alias("least"), F.max("id").alias("most"), F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).first()
+    if one.least is None:
+        return []
+    index = _index(spark, path, live, owner).where((F.col("least") <= F.lit(one.most)) & (F.col("most") >= F.lit(one.least)))
+    both = index.select("file", "bits").unionByName(index.select("file", F.lit(bytes(one.bits)).alias("bits")))
+    removed = {f for c in live for f in c["removes"] or []}
+    maybe = both.groupBy("file").agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("n")).where("n > 0").select("file")
+    maybe = [f for f in (_relative(r.file) for r in maybe.collect()) if f not in removed]
+    if not maybe:
+        return []
+    held = _read(spark, path, live, maybe).select(qcol(owner).alias("id"), F.input_file_name().alias("file"))
+    touched = sorted(_relative(r.file) for r in held.join(wanted, "id", "left_semi").select("file").distinct().collect())
+    if not touched:
+        return []
+    rows = _read(spark, path, live, touched)
+    kept = rows.join(wanted, qcol(owner) == F.col("id"), "left_anti")
+    _write(kept, path, f"purge-{uuid.uuid4().hex[:12]}", files_per_day, [], touched)
+    return touched
 
 
 def compact_log(spark: SparkSession, path: str, files_per_day: int = 1) -> str | None:
@@ -129,12 +197,13 @@ def compact_log(spark: SparkSession, path: str, files_per_day: int = 1) -> str |
 
 
 def vacuum_log(spark: SparkSession, path: str) -> int:
-    """Delete the folders that no live commit names, and commits that a compaction covers; call it while nobody writes or reads."""
+    """Delete folders that no live commit names, commits that a compaction covers and removed files; call it while nobody writes or reads."""
     folder, live = _Folder(spark, path), commits(spark, path)
     keep = {f"{LOAD}={c['load']}" for c in live}
     gone = [f"data/{n}" for n in folder.names("data") if n.startswith(f"{LOAD}=") and n not in keep]
     names = {f"{c['batch']}.json" for c in live}
     gone += [f"commits/{n}" for n in folder.names("commits") if n not in names]
+    gone += [f"data/{f}" for c in live for f in c["removes"] or [] if folder.exists(f"data/{f}")]
     for name in gone:
         folder.delete(name)
     return len(gone)

@@ -164,3 +164,49 @@ def test_stream_batches_are_idempotent(spark):
     # a restart that has lost its own checkpoint sends the first batch's number again
     stream_activity_batches(spark, land + "/b1", log, scratch_path(spark, "ckpt"), schema=ev.schema).awaitTermination(120)
     assert _rows(al.read_log(spark, log).drop("day")) == _rows(ev)
+
+
+def test_purge_writes_only_touched_files(spark):
+    import glob
+    import os
+    from tablesmith.sources import activity_log as al
+    path = scratch_path(spark, "purgelog")
+    root = path.removeprefix("file:")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("user_id", F.when(F.col("event_id") % 50 != 0, F.col("user_id")))
+    # each load holds its own range of owners
+    edges = [r[0] for r in ev.select(F.percentile_approx("user_id", [0.25, 0.5, 0.75]).alias("p")).select(F.explode("p")).collect()]
+    part = sum(((F.coalesce("user_id", F.lit(-1)) > e).cast("int") for e in edges), F.lit(0))
+    for k in range(4):
+        al.append_batch(ev.where(part == k), path, f"b{k}")
+    ids = ev.where(part == 2).select("user_id").distinct().orderBy("user_id").limit(2)
+    gone = [r[0] for r in ids.collect()]
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{root}/data/load=b*/day=*/*.parquet")}
+    before = files()
+    touched = al.purge_log(spark, path, "user_id", ids)
+    assert touched and all(f.startswith("load=b2-") for f in touched)
+    assert files() == before  # nothing is written in place
+    want = ev.where(~F.coalesce(F.col("user_id").isin(gone), F.lit(False)))
+    assert _rows(al.read_log(spark, path).drop("day")) == _rows(want)
+    assert al.purge_log(spark, path, "user_id", ids) == []
+    assert al.purge_log(spark, path, "user_id", spark.createDataFrame([(None,)], "id long")) == []
+    al.vacuum_log(spark, path)
+    left = files()
+    assert {f: before[f] for f in left} == left and len(before) - len(left) == len(touched)
+    assert _rows(al.read_log(spark, path).drop("day")) == _rows(want)
+    al.compact_log(spark, path)
+    assert _rows(al.read_log(spark, path).drop("day")) == _rows(want)
+
+
+def test_streamed_recent_activity_equals_the_batch_query(spark):
+    """Three micro-batches, the third after a restart from the checkpoint."""
+    from tablesmith.streaming.recent import read_recent_activity, stream_recent_activity
+    land, sink, ckpt = (scratch_path(spark, n) for n in ("land", "recent", "ckpt"))
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("user_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 5))
+    ev = ev.withColumn("ts", F.when(F.col("event_id") % 31 != 0, F.col("ts")))
+    for k in range(2):
+        ev.where(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{land}/b{k}")
+    stream_recent_activity(spark, land + "/*", sink, ckpt, schema=ev.schema, k=6, max_files=1).awaitTermination(300)
+    ev.where(F.col("event_id") % 3 == 2).coalesce(1).write.parquet(f"{land}/b2")
+    stream_recent_activity(spark, land + "/*", sink, ckpt, schema=ev.schema, k=6, max_files=1).awaitTermination(300)
+    got = read_recent_activity(spark, sink, ev.schema)
+    assert _rows(got.select(*ev.columns, F.col("rank").cast("int"))) == _rows(ac.recent_activity_per_user(ev, 6))

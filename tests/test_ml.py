@@ -230,3 +230,31 @@ def test_auc_over_many_ranges(spark):
         assert out.first()["value"] == pytest.approx(ref, abs=1e-12)
     nan = spark.createDataFrame([(1.0, float("nan")), (0.0, 5.0), (0.0, None), (1.0, float("inf")), (0.0, float("-inf"))], "label double, s double")
     assert ev.area_under_roc(nan, "label", "s", rows_per_range=1).first()["value"] == 1.0
+
+
+def test_hashed_encoding_of_many_levels(spark):
+    """A million levels: no list of them in the model, scored after a reload, and the planted signal found."""
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("it's "), F.col("id")).alias("word"), (F.col("id") % 10).cast("double").alias("x"),
+                               F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 3)).alias("group"))
+    df = df.withColumn("y", 2 * F.col("x") + F.when(F.col("group") == "g1", 50.0).when(F.col("group").isNull(), -20.0).otherwise(0.0))
+    path = scratch_path(spark, "hashed")
+    res = train(df, "y", mode="A", algorithm="LinearRegression", split_keys=["row_id"], hash_buckets=64, save_path=path)
+    assert res.categorical == ["word", "group"] and len(res.slot_names) <= 1 + 2 * 64
+    assert not any(type(s).__name__ == "StringIndexerModel" for s in res.model.stages)
+    assert {r["metric"]: r["value"] for r in res.metrics.collect()}["r2"] > 0.99
+    new = spark.createDataFrame([(1, "never seen", 3.0, "g1"), (2, None, 3.0, None), (3, "x", 3.0, "other")], "row_id long, word string, x double, `group` string")
+    got = {r["row_id"]: r["prediction"] for r in load_model(path).transform(new).collect()}
+    assert got[1] == pytest.approx(56, abs=2) and got[2] == pytest.approx(-14, abs=2)
+    rep = {r["column"]: r for r in fx.hash_collisions(df, ["word", "group"], 64).collect()}
+    assert (rep["word"]["levels"], rep["word"]["used"], rep["word"]["shared"]) == (n, 64, n)
+    assert rep["group"]["levels"] == 4 and rep["group"]["used"] + rep["group"]["shared"] // 2 >= 4
+
+
+def test_sql_and_column_form_of_the_hash_agree(spark):
+    from tablesmith.plans.training import Names, build_stages
+    df = spark.createDataFrame([("a",), (None,), ("it's",)], "`o'\\\\b` string")
+    c = df.columns[0]
+    stage = build_stages([], [c], "LinearRegression", None, Names.beside(df.columns, "y"), 97)[0]
+    out = stage.transform(df).select("__i0", fx.hash_bucket(c, 97).cast("double").alias("b")).collect()
+    assert all(r["__i0"] == r["b"] for r in out)
