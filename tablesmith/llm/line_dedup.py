@@ -1,28 +1,27 @@
-"""Line dedup: content-defined chunks of lines, repeated ones removed after byte comparison.
-
-A document's lines are hashed; a rolling hash over the last two line hashes ends a chunk
-where it divides by `spread`. A passage that two documents share is therefore cut alike
-in both, whatever stands around it. Chunks of at least `min_lines` lines that hold a word
-and occur more than once are removed everywhere but at their first place (smallest
-doc_id, then text hash, then line).
-
-Chunks are grouped by their bytes once, with copies combined before the shuffle; that
-grouping proves that a 128-bit key names one text, and only then are places joined to it
-by key. A key of two texts removes nothing. Hot chunks meet in a join of rows without
+"""Line dedup: content-defined chunks of lines, then windows around what they leave, removed after byte comparison.
+
+A passage of `min_lines` lines or more that stands earlier (smallest doc_id, then text hash,
+then line) goes, whatever stands around it; nothing but its first place stays. That is found
+in two steps:
+
+1. Chunks. A document's lines are hashed; a rolling hash over the last two line hashes ends
+   a chunk where it divides by `spread`. A passage that two documents share is therefore cut
+   alike in both. Chunks of at least `min_lines` lines that hold a word and occur more than
+   once are removed everywhere but at their first place.
+2. Edges. What a repeated passage has outside whole chunks, and passages that hold none, are
+   found by windows of `min_lines` consecutive lines that hold a word. Windows inside a
+   removed chunk are left out: the chunk's first place has them too, and earlier.
+
+Chunks and windows are told apart by bytes: chunks are grouped by their bytes once, with
+copies combined before the shuffle, and windows whose 128-bit key repeats are grouped by
+their bytes; a key of two texts removes nothing. Hot passages meet in joins of rows without
 text, which Spark can split, and nowhere else.
 
-`passage_dedup` loses nothing between chunk edges: every window of `min_lines` consecutive
-lines that holds a word and stands earlier (same order of places) goes with all its lines,
-so of each repeated passage of at least `min_lines` lines nothing but the first place stays.
-Windows are counted by a 128-bit key in rows without text; only windows of a repeated key
-are then grouped by their bytes, and a key of two texts removes nothing. The first place
-of every single line stays; where windows of one first place overlap (a line repeated in
-a row), lines of it can go as part of a later window.
-
 All steps are DataFrame expressions. Defined results: a NULL text counts as empty; rows
 that repeat doc_id and text are one document and get the same result; a NULL doc_id comes
-first; chunks without a word stay; an empty table gives an empty result. Columns other
-than the two named are not read.
+first; passages without a word stay; where windows of one first place overlap (a line
+repeated in a row), lines of it can go as part of a later window; an empty table gives an
+empty result. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -77,10 +76,8 @@ def _without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str, keep: tup
                     "kept_text", *keep)
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD,
-               min_lines: int = MIN_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept_text, and `keep`."""
-    base = keyed(docs, text, doc_id)
+def repeated_chunks(base: DataFrame, spread: int = SPREAD, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_id, th, chunks): start and n of each chunk that stands earlier."""
     chunks = _chunks(base, spread, min_lines)
     place = F.struct("doc_id", "th", "start")
     by_bytes = chunks.groupBy("k1", "k2", "t").agg(F.count("*").alias("c"), F.min(place).alias("first"))
@@ -88,13 +85,12 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spre
         F.count("*").alias("texts"), F.sum("c").alias("c"), F.min("first").alias("first"))
     repeated = repeated.where((F.col("texts") == 1) & (F.col("c") > 1)).select("k1", "k2", "first")
     gone = chunks.select("k1", "k2", "doc_id", "th", "start", "n").join(repeated, ["k1", "k2"])
-    gone = gone.where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(
-        F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("gone"))
-    return _without(docs, gone, doc_id, text, keep)
+    return gone.where(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(
+        F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"))).alias("chunks"))
 
 
 def _windows(base: DataFrame, min_lines: int) -> DataFrame:
-    """(doc_id, th, start, k1, k2): every window of min_lines lines that holds a word."""
+    """(doc_id, th, windows): start and key of every window of min_lines lines that holds a word."""
     d = base.withColumn("ls", F.split("text", "\n", -1)).drop("text")
     d = d.withColumn("a", F.transform("ls", lambda x: F.xxhash64(x))).withColumn(
         "b", F.transform("ls", lambda x: F.xxhash64(F.lit(FACTOR), x)))
@@ -104,19 +100,29 @@ def _windows(base: DataFrame, min_lines: int) -> DataFrame:
     starts = F.filter(starts, lambda i: F.array_contains(F.slice("w", i + 1, min_lines), True))
     keys = F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice("a", i + 1, min_lines)).alias("k1"),
                                                   F.xxhash64(F.slice("b", i + 1, min_lines)).alias("k2")))
-    return d.select("doc_id", "th", F.explode(keys).alias("c")).select("doc_id", "th", "c.*")
+    return d.select("doc_id", "th", keys.alias("windows")).where(F.size("windows") > 0)
+
+
+def _inside(i: Column, chunks: Column, min_lines: int) -> Column:
+    return F.exists(chunks, lambda c: (c["start"] <= i) & (i + min_lines <= c["start"] + c["n"]))
 
 
-def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """As line_dedup, without every passage of at least min_lines lines that stands earlier."""
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: int = SPREAD,
+               min_lines: int = MIN_LINES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, kept_text, and `keep`."""
     base = keyed(docs, text, doc_id)
-    windows = _windows(base, min_lines)
     place = F.struct("doc_id", "th", "start")
-    repeated = windows.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(place).alias("first"))
-    repeated = repeated.where("c > 1").drop("c")
+    chunks = stored(repeated_chunks(base, spread, min_lines), "line-chunks")
+    mine = chunks.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "chunks")
+    # a row that repeats doc_id and text is the same document
+    rows = _windows(base, min_lines).dropDuplicates(["doc_id", "th"])
+    rows = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+    left = F.when(F.col("chunks").isNull(), F.col("windows")).otherwise(
+        F.filter("windows", lambda w: ~_inside(w["start"], F.col("chunks"), min_lines)))
+    windows = stored(rows.select("doc_id", "th", F.explode(left).alias("w")).select("doc_id", "th", "w.*"), "line-windows")
+    repeated = windows.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
     found = windows.join(repeated, ["k1", "k2"])
-    found = stored(found.select("doc_id", "th", "start", "k1", "k2", (~place.eqNullSafe(F.col("first"))).alias("later")), "line-windows")
+    found = stored(found.select("doc_id", "th", "start", "k1", "k2", (~place.eqNullSafe(F.col("first"))).alias("later")), "line-repeats")
     at = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "k1", "k2")).alias("at"))
     at = base.join(at.withColumnRenamed("doc_id", "d").withColumnRenamed("th", "h"),
                    base["doc_id"].eqNullSafe(F.col("d")) & (base["th"] == F.col("h")))
@@ -125,7 +131,9 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         w["k1"].alias("k1"), w["k2"].alias("k2"), F.array_join(F.slice("ls", w["start"] + 1, min_lines), "\n").alias("t")))).alias("w"))
     texts = at.select("w.*").groupBy("k1", "k2", "t").agg(F.lit(1).alias("one"))
     mixed = texts.groupBy("k1", "k2").agg(F.count("*").alias("texts")).where("texts > 1")
-    gone = found.where("later").join(mixed, ["k1", "k2"], "left_anti").groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
-    lines = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1)))))
+    edges = found.where("later").join(mixed, ["k1", "k2"], "left_anti").select(
+        "doc_id", "th", F.array(F.struct("start", F.lit(min_lines).alias("n"))).alias("chunks"))
+    gone = chunks.unionByName(edges).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("chunks")).alias("parts"))
+    lines = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.sequence(p["start"], p["start"] + p["n"] - 1))))
     gone = gone.select("doc_id", "th", F.transform(lines, lambda i: F.struct(i.alias("start"), F.lit(1).alias("n"))).alias("gone"))
     return _without(docs, gone, doc_id, text, keep)

@@ -94,14 +94,11 @@ ORACLE = {
     "op1_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-        h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
-        b AS (SELECT *, (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % 3 = 0 AS cut FROM h),
-        g AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM b),
-        t AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS txt, count(*) AS n FROM g GROUP BY doc_id, c),
-        r AS (SELECT doc_id, c, row_number() OVER (PARTITION BY txt ORDER BY doc_id, c) > 1 AS gone FROM t
-              WHERE n >= 2 AND regexp_matches(txt, '[^\x20\x09-\x0D]')),
-        f AS (SELECT g.*, coalesce(gone, false) AS gone FROM g LEFT JOIN r USING (doc_id, c))
+        n AS (SELECT *, lead(i) OVER w AS j, lead(line) OVER w AS below FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, below ORDER BY doc_id, i) > 1 AS later FROM n
+              WHERE j IS NOT NULL AND (regexp_matches(line, '[^\x20\x09-\x0D]') OR regexp_matches(below, '[^\x20\x09-\x0D]'))),
+        g AS (SELECT doc_id, i FROM r WHERE later UNION SELECT doc_id, i + 1 FROM r WHERE later),
+        f AS (SELECT l.*, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM f GROUP BY doc_id""",

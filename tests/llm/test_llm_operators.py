@@ -83,17 +83,6 @@ def test_index_update_with_deletions(spark, docs):
     assert left.count() == live.count() - 1
 
 
-def test_line_dedup_is_whole_and_first_places_stay(docs, data):
-    res = line_dedup.line_dedup(docs).collect()
-    assert len(res) == len(data)
-    for r in res:
-        text = dict((i, t) for i, t in data if i not in (20,)).get(r.doc_id)
-        if text is not None and r.n_removed == 0:
-            assert r.kept_text == text
-        assert r.n_lines >= r.n_removed >= 0
-    assert sum(r.n_removed for r in res) > 0
-
-
 def passages():
     """Documents of lines of their own around shared passages of 2 to 40 lines, each twice in other surroundings."""
     rng = random.Random(11)
@@ -106,8 +95,8 @@ def passages():
     return [*out, (None, out[20][1]), (9000, "\n".join(["", "alone", "", *own(2)]))]
 
 
-@pytest.mark.parametrize("min_lines", [2, 3])
-def test_passage_dedup(spark, docs, data, min_lines):
+@pytest.mark.parametrize("min_lines,spread", [(2, 3), (3, 3), (2, 2), (2, 10**9)])
+def test_line_dedup(spark, docs, data, min_lines, spread):
     shared = passages()
     for table_, rows_ in ((table(spark, shared), shared), (docs, data)):
         seen, want = {}, Counter()
@@ -118,13 +107,18 @@ def test_passage_dedup(spark, docs, data, min_lines):
                 if any(WORD.search(x) for x in w) and seen.setdefault(w, (i, j)) != (i, j):
                     gone |= set(range(j, j + min_lines))
             want[i, len(ls), len(gone), "\n".join(x for k, x in enumerate(ls) if k not in gone)] += 1
-        have = got(line_dedup.passage_dedup(table_, min_lines=min_lines), ["n_lines", "n_removed", "kept_text"])
+        have = got(line_dedup.line_dedup(table_, spread=spread, min_lines=min_lines), ["n_lines", "n_removed", "kept_text"])
         twice = {i for i, c in Counter(i for i, _ in rows_).items() if c > 1}  # ordered by text hash
         assert {k: v for k, v in have.items() if k[0] not in twice} == {k: v for k, v in want.items() if k[0] not in twice}
 
 
-def test_passage_dedup_of_an_empty_table(spark):
-    assert line_dedup.passage_dedup(table(spark, [(1, "a")]).limit(0)).count() == 0
+def test_most_of_a_long_passage_goes_as_whole_chunks(spark):
+    rows_ = [(i, t) for i, t in passages() if i is not None and 2000 <= i < 4100]
+    base = line_dedup.keyed(table(spark, rows_))
+    gone = {r.doc_id: sum(c.n for c in r.chunks) for r in line_dedup.repeated_chunks(base).collect()}
+    later = [i for i, _ in rows_ if i % 100 == 1]
+    assert sum(gone.get(i, 0) for i in later) > 0.5 * sum(i // 100 for i in later)
+    assert not any(gone.get(i) for i, _ in rows_ if i % 100 == 0)
 
 
 def test_pipeline_removes_passages_of_every_length(spark):
