@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.llm.bpe import encode_documents
-from tablesmith.llm.common import documents, stored, text_of, words_of
-from tablesmith.llm.line_dedup import passage_dedup
+from tablesmith.llm.common import documents, stored, text_of
+from tablesmith.llm.line_dedup import line_dedup
 from tablesmith.llm.mixing import mix
 from tablesmith.llm.near_dedup import near_dedup
 from tablesmith.llm.quality import judge
@@ -36,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of two lines or more that stand earlier."""
-    return _columns(passage_dedup(docs, keep=("lang", "source")).withColumnRenamed("kept_text", "text"))
+    return _columns(line_dedup(docs, keep=("lang", "source")).withColumnRenamed("kept_text", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +48,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the last time only the words it takes, one space between."""
+    """Each document, whole and unchanged, as often as the mix takes it; the last share of one rounds to all of it or nothing."""
     d = docs.select(*COLUMNS).withColumn("_t", F.xxhash64(text_of()))
     share = mix(d, keep=("_t",)).groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_h")).agg(
-        F.sum("taken").alias("taken"), F.max("size").alias("size")).where("taken > 0")
+        F.sum("taken").alias("taken"), F.max("size").alias("size")).where("size > 0")
+    share = share.withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5)).where("copies > 0").select("_d", "_h", "copies")
     d = d.dropDuplicates(["doc_id", "_t"]).join(
         share, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")))
-    d = d.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
-    left = (F.col("taken") - (F.col("_n") - 1) * F.col("size")).cast("int")
-    part = F.array_join(F.slice(words_of(F.col("text")), 1, left), " ")
-    return _columns(d.withColumn("text", F.when(left < F.col("size"), part).otherwise(F.col("text"))))
+    return d.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
