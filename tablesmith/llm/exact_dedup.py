@@ -1,8 +1,10 @@
-"""Exact dedup through a cuckoo-filter index over SHA-256 digests of normalised texts.
+"""Exact dedup through a cuckoo-filter index over digests of normalised texts.
 
-The index is a table of live keys, bucketed by digest. Each bucket is served by one
-cuckoo filter in one task: a miss proves a digest new, a hit is verified against the
-keys stored in the bucket, and a filter that overflows is rebuilt twice as large from
+A text's key is what stands for its content: SHA-256, MD5 and length in bytes, so two texts
+are only taken for one where two independent digests and the length agree. The index is a
+table of live keys, bucketed by key. Each bucket is served by one
+cuckoo filter in one task: a miss proves a key new, a hit is verified against the
+whole keys stored in the bucket, and a filter that overflows is rebuilt twice as large from
 those keys. Copies are combined before the shuffle, so a text that a third of all rows
 share reaches its bucket as one row per map batch.
 
@@ -105,9 +107,10 @@ INDEX_SCHEMA = "digest binary, keep_id long, n_keep long, n long"
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with each white-space run replaced by one space."""
+    """(doc_id, digest): the key of the text with each white-space run replaced by one space, its SHA-256 first."""
     norm = F.regexp_replace(text_of(text), WS, " ")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(norm, 256)).alias("digest"))
+    key = F.concat(F.sha2(norm, 256), F.md5(norm), F.lpad(F.hex(F.octet_length(norm)), 16, "0"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(key).alias("digest"))
 
 
 def _smaller(a: int | None, b: int | None) -> bool:
@@ -191,4 +194,4 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     out = own.join(live, "digest").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"),
                       (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-                      F.lower(F.hex("digest")).alias("text_sha256"))
+                      F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256"))

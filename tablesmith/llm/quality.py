@@ -6,8 +6,11 @@ words are compared with the references of its language by the Jensen-Shannon dis
 documents of a language: character classes from whole texts, and as common words the
 `n_common` most frequent words of at most `common_letters` letters, so the table of counts
 stays small; all other words are one more bin of that histogram, so a text without the
-common words is far from its language. A document without a language is compared with the reference of all
-documents that have none. Documents under the length guards are not judged by distance.
+common words is far from its language. The limit of the word distance is a share of the
+distance that such a text has, so languages with rarer common words have a lower one. A document without a language is compared with the reference of all
+documents that have none. Documents under the length guards are not judged by distance;
+for words the guard also asks that a text of that length be expected to hold a few common
+words, so a language without common words of its own judges nobody by them.
 
 Everything is a DataFrame expression; repeated three-word windows are found inside the
 document's own arrays, by sorting 64-bit hashes of the windows, so no row leaves its
@@ -38,7 +41,11 @@ MIN_CHARS = 200
 MIN_DISTANCE_WORDS = 50
 BROADCAST_LANGS = 5_000
 MAX_CLASS_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.33  # a text without common words is at 0.351 to 0.355 in the four languages of sf0.1
+# Share of the distance that a text without any common word has from its own language's reference.
+MAX_WORD_SHARE = 0.94
+# A document is judged by its words if this many of them are common words in an average text of its length.
+MIN_EXPECTED = 5
+DIGITS = 9  # distances are rounded, so that their sums' order does not show
 
 
 def base_counts(docs: DataFrame, doc_id: str, lang: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -86,7 +93,7 @@ def repeated_words(d: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """One row per language: _lang, ref_classes, common (words), ref_words (their counts, then all other words)."""
+    """One row per language: _lang, ref_classes, common (words), ref_words (their counts, then all other words), none_distance, common_share."""
     d = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), text_of(text).alias("_t"))
     total = with_classes(d.withColumn("word_chars", F.length(F.regexp_replace("_t", WS, "")).cast("long")))
     n = len(CLASSES) + 2
@@ -102,9 +109,13 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
     w = w.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("t"))
     n = F.coalesce(F.col("t.n"), F.array().cast("array<bigint>"))
     other = F.col("_words") - F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
-    return classes.join(w, "_lang", "left").select(
+    refs = classes.join(w, "_lang", "left").select(
         "_lang", "ref_classes", F.coalesce(F.col("t.word"), F.array().cast("array<string>")).alias("common"),
         F.concat(n, F.array(other)).alias("ref_words"))
+    # a text without a common word: all its words are other words
+    refs = refs.withColumn("_none", F.transform("ref_words", lambda x, i: (i == F.size("ref_words") - 1).cast("int")))
+    share = F.try_divide(_total("ref_words") - F.element_at("ref_words", -1), _total("ref_words"))
+    return with_distance(refs, "_none", "ref_words", "none_distance").withColumn("common_share", share).drop("_none")
 
 
 def _total(a: str) -> Column:
@@ -124,7 +135,7 @@ def js_distance(a: str, b: str) -> Column:
 
 def with_distance(d: DataFrame, a: str, b: str, out: str) -> DataFrame:
     d = d.withColumn("_na", _total(a)).withColumn("_nb", _total(b))
-    return d.withColumn(out, js_distance(a, b)).drop("_na", "_nb")
+    return d.withColumn(out, F.round(js_distance(a, b), DIGITS)).drop("_na", "_nb")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str = "text",
@@ -145,7 +156,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", lang: str = "lang", text: str
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
     far = ((F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
-        (F.col("n_words") >= MIN_DISTANCE_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+        (F.col("n_words") >= MIN_DISTANCE_WORDS) & (F.col("n_words") * F.coalesce("common_share", F.lit(0.0)) >= MIN_EXPECTED) & (F.col("word_distance") > MAX_WORD_SHARE * F.col("none_distance")))
     out = F.struct("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                    "class_distance", "word_distance", "base_failed", (~failed & ~far).alias("kept"), *keep)
     # a filter on the result must not be pushed below: it would repeat all the expressions above, many times over

@@ -50,7 +50,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
-    return fixity_audit(pages, damaged(pages))
+    return fixity_audit(pages, damaged(pages)).drop("status")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir))
+    d = judge(documents(spark, sf_dir))
+    return d.withColumn("class_distance", F.round("class_distance", 6)).withColumn("word_distance", F.round("word_distance", 6))
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +92,71 @@ QUERIES = {f.__name__: f for f in (
     op8_mixing, op9_suffix_dedup, op10_quality, op11_prefix_trie, op12_packing, op13_filter_audit)}
 
 ORACLE = {
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+        k AS (SELECT doc_id, i, n, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i
+                     ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS key FROM x),
+        l AS (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS later FROM k WHERE i <= n - 19),
+        c AS (SELECT x.doc_id, x.i, x.word, coalesce(max(later::INT) OVER (PARTITION BY x.doc_id ORDER BY x.i
+                     ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+              FROM x LEFT JOIN l ON l.doc_id = x.doc_id AND l.i = x.i),
+        g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                     coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
+    "op9_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        s AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399, 512)) AS block FROM d WHERE len(x) >= 800),
+        c AS (SELECT doc_id, block, least(512, len(x) // 2 - 399 - block) AS k, substr(x, 2 * block + 1, 2 * (512 + 399)) AS part FROM s),
+        w AS (SELECT doc_id, block + j AS i, md5(substr(part, 2 * j + 1, 800)) AS key FROM (SELECT doc_id, block, part, unnest(range(0, k)) AS j FROM c)),
+        r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY key) > 1),
+        o AS (SELECT doc_id, i, i > coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 400, -1) AS fresh FROM r),
+        g AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+        p AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, run),
+        q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+        m AS (SELECT d.doc_id, len(x) // 2 AS n_bytes, coalesce(sum(b - a), 0) AS n_removed, count(a) AS n_spans,
+                     coalesce(string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') ||
+                     substr(any_value(x), 2 * coalesce(max(b), 0) + 1) AS kept
+              FROM d LEFT JOIN q ON q.doc_id = d.doc_id GROUP BY d.doc_id, len(x))
+        SELECT doc_id, n_bytes::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM m""",
+    "op10_quality": r"""
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT *, len(w) AS n, length(list_aggregate(list_prepend('', w), 'string_agg', '')) AS wc,
+                     regexp_replace(t, '[\p{Ll}\x20\x09-\x0D]+', '', 'g') AS o,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+        y AS (SELECT *, length(o) - length(regexp_replace(o, '\p{Lu}+', '', 'g')) AS c1, length(o) - length(regexp_replace(o, '\p{Nd}+', '', 'g')) AS c2,
+                     length(o) - length(regexp_replace(o, '[.,;:!?''()-]+', '', 'g')) AS c3,
+                     length(o) - length(regexp_replace(o, '[#*$%&|<>]+', '', 'g')) AS c4 FROM b),
+        c AS (SELECT *, [c1, c2, c3, c4, wc - length(o), length(o) - c1 - c2 - c3 - c4] AS cls,
+                     list_filter(list_transform(w, lambda x: lower(x)), lambda x: regexp_full_match(x, '\p{L}{1,4}')) AS short FROM y),
+        x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS key FROM (SELECT doc_id, w, unnest(range(1, n - 1)) AS i FROM c WHERE n >= 3)),
+        r AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, key) > 1),
+        rw AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY doc_id),
+        rc AS (SELECT lang, sum(n) AS words, [sum(cls[1]), sum(cls[2]), sum(cls[3]), sum(cls[4]), sum(cls[5]), sum(cls[6])] AS rcls FROM c GROUP BY lang),
+        cw AS (SELECT lang, word, count(*) AS m FROM (SELECT lang, unnest(short) AS word FROM c) GROUP BY lang, word
+               QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= 24),
+        ct AS (SELECT lang, list(word ORDER BY m DESC, word) AS common, list(m ORDER BY m DESC, word) AS ms, sum(m) AS total FROM cw GROUP BY lang),
+        ref AS (SELECT rc.lang, rcls, coalesce(common, []) AS common, list_append(coalesce(ms, []), (words - coalesce(total, 0))::BIGINT) AS rw,
+                       CASE WHEN words > 0 THEN coalesce(total, 0) / words ELSE 0 END AS share
+                FROM rc LEFT JOIN ct ON ct.lang = rc.lang),
+        hits AS (SELECT c.doc_id, c.lang, c.n, cls, rcls, ref.rw AS rw, share, list_transform(common, lambda z: len(list_filter(short, lambda q: q = z))) AS hits
+                 FROM c JOIN ref ON ref.lang = c.lang),
+        kinds AS (SELECT doc_id, 'c' AS kind, cls::DOUBLE[] AS a, rcls::DOUBLE[] AS b FROM hits
+                  UNION ALL SELECT doc_id, 'w', list_append(hits, (n - coalesce(list_sum(hits), 0))::BIGINT)::DOUBLE[], rw::DOUBLE[] FROM hits
+                  UNION ALL SELECT doc_id, 'n', list_append(list_transform(hits, lambda z: 0.0), 1.0)::DOUBLE[], rw::DOUBLE[] FROM hits),
+        bins AS (SELECT doc_id, kind, unnest(a) / list_sum(a) AS x, unnest(b) / list_sum(b) AS y FROM kinds WHERE list_sum(a) > 0 AND list_sum(b) > 0),
+        js AS (SELECT doc_id, kind, round(sqrt(greatest(0, sum((CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END
+                     + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2))), 9) AS dist FROM bins GROUP BY ALL),
+        dist AS (SELECT doc_id, coalesce(max(dist) FILTER (kind = 'c'), 0) AS cd, coalesce(max(dist) FILTER (kind = 'w'), 0) AS wd,
+                        coalesce(max(dist) FILTER (kind = 'n'), 0) AS nd FROM js GROUP BY doc_id),
+        out AS (SELECT c.doc_id, c.n, c.wc, c.c4, len(lines) - len(list_distinct(lines)) AS dup, coalesce(n_repeat, 0) AS rep,
+                       coalesce(cd, 0.0) AS cd, coalesce(wd, 0.0) AS wd, coalesce(nd, 0.0) AS nd, share
+                FROM c JOIN ref ON ref.lang = c.lang LEFT JOIN rw ON rw.doc_id = c.doc_id LEFT JOIN dist ON dist.doc_id = c.doc_id)
+        SELECT doc_id, n::BIGINT AS n_words, wc::BIGINT AS word_chars, c4::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep::BIGINT AS n_repeat_words,
+               round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, n < 50 OR 100 * rep > 50 * n AS base_failed,
+               NOT (n < 50 OR 100 * rep > 50 * n) AND NOT (wc >= 200 AND cd > 0.30) AND NOT (n * share >= 5 AND wd > 0.94 * nd) AS kept FROM out""",
     "op1_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),

@@ -6,8 +6,10 @@ equal content are one path, whose first place is found by an aggregation; where
 different content share an anchor, their edges are compared one by one, and the edges
 that occurred before compact again into unbranched paths: stretches of consecutive edges
 whose first places are consecutive too. Joins on content hashes carry source places
-(document, word) to all other places; anchor, content and edge hashes are independent,
-so a place is only taken for a copy where 128 bits agree with its source.
+(document, word) to all other places. What verifies a place is its two hashes, of the
+anchor and of the content; both come from one 64-bit rolling hash over 64-bit word values,
+and the words at the source are not read again, so two different words of equal value, or
+windows of equal hash at one anchor, would be taken for copies.
 
 A word is removed where a window covers it that starts earlier elsewhere: in a smaller
 doc_id, or at an earlier word of the document; windows are judged on the input.
