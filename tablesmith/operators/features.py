@@ -168,27 +168,37 @@ def one_hot(df: DataFrame, index_cols: list[str], suffix: str = "_vec"):
     return model, model.transform(df)
 
 
-def one_hot_long(df: DataFrame, index_col: str, size: int, key_cols: list[str],
-                 name: str | None = None) -> DataFrame:
-    """Long form of one-hot rows: (keys..., column, slot, value=1.0) for rows with a 1.
-    Derived from the index (no dense vector per row): slot = index when index < size-1."""
-    idx = qcol(index_col)
-    return df.filter(idx < F.lit(size - 1)).select(
-        *[qcol(k) for k in key_cols], F.lit(name or index_col).alias("column"),
-        idx.cast("int").alias("slot"), F.lit(1.0).alias("value"))
-
-
 def assemble_features(df: DataFrame, cols: list[str], out: str = FEATURES) -> DataFrame:
     """Numeric columns and vectors -> one vector; invalid values are kept (as NaN)."""
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def nonzero_slots(vec_col: str) -> Column:
+    """array<struct<slot, value>> of a vector's non-zero slots, of a sparse one without making it dense.
+
+    A Python function: no built-in expression reads the slots of a sparse vector.
+    """
+    from pyspark.sql.functions import udf
+
+    @udf("array<struct<slot:int,value:double>>")
+    def slots(v):
+        if v is None:
+            return None
+        pairs = zip(v.indices, v.values) if hasattr(v, "indices") else enumerate(v.toArray())
+        return [(int(i), float(x)) for i, x in pairs if x != 0]
+
+    return slots(qcol(vec_col))
+
+
 def vector_long(df: DataFrame, vec_col: str, key_cols: list[str], names: list[str]) -> DataFrame:
     """(keys..., slot, feature, value) for the non-zero slots of a vector column."""
-    from pyspark.ml.functions import vector_to_array
-    name_map = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
-    arr = df.select(*[qcol(k) for k in key_cols], vector_to_array(qcol(vec_col)).alias("__a"))
-    ex = arr.select(*[qcol(k) for k in key_cols], F.posexplode("__a").alias("slot", "value"))
-    return ex.filter(F.col("value") != 0).select(
-        *[qcol(k) for k in key_cols], "slot", name_map[F.col("slot")].alias("feature"), "value")
+    keys = [qcol(k) for k in key_cols]
+    ex = df.select(*keys, F.inline(nonzero_slots(vec_col)))
+    return ex.select(*keys, "slot", F.get(F.array(*[F.lit(n) for n in names]), F.col("slot")).alias("feature"), "value")
+
+
+def one_hot_long(df: DataFrame, vec_col: str, key_cols: list[str], name: str | None = None) -> DataFrame:
+    """Long form of an encoder's vectors: (keys..., column, slot, value) for each 1."""
+    keys = [qcol(k) for k in key_cols]
+    return df.select(*keys, F.lit(name or vec_col).alias("column"), F.inline(nonzero_slots(vec_col)))

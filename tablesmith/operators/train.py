@@ -32,7 +32,8 @@ def choose_algorithm(task: str, choice: str | None, n_classes: int | None = None
     return algo, notes
 
 
-def make_estimator(algo: str, features: str = FEATURES, label: str = LABEL, seed: int = SEED):
+def make_estimator(algo: str, features: str = FEATURES, label: str = LABEL, seed: int = SEED,
+                   checkpoint_interval: int = CHECKPOINT_INTERVAL):
     from pyspark.ml import classification as C
     from pyspark.ml import regression as R
     common = dict(featuresCol=features, labelCol=label)
@@ -40,17 +41,17 @@ def make_estimator(algo: str, features: str = FEATURES, label: str = LABEL, seed
         return R.LinearRegression(**common)
     if algo == "RandomForestRegressor":
         return R.RandomForestRegressor(numTrees=RF_TREES, seed=seed, cacheNodeIds=True,
-                                       checkpointInterval=CHECKPOINT_INTERVAL, **common)
+                                       checkpointInterval=checkpoint_interval, **common)
     if algo == "GBTRegressor":
-        return R.GBTRegressor(maxIter=GBT_ITERATIONS, seed=seed, checkpointInterval=CHECKPOINT_INTERVAL,
+        return R.GBTRegressor(maxIter=GBT_ITERATIONS, seed=seed, checkpointInterval=checkpoint_interval,
                               **common)
     if algo == "LogisticRegression":
         return C.LogisticRegression(maxIter=LOGISTIC_ITERATIONS, **common)
     if algo == "RandomForestClassifier":
         return C.RandomForestClassifier(numTrees=RF_TREES, seed=seed, cacheNodeIds=True,
-                                        checkpointInterval=CHECKPOINT_INTERVAL, **common)
+                                        checkpointInterval=checkpoint_interval, **common)
     if algo == "GBTClassifier":
-        return C.GBTClassifier(maxIter=GBT_ITERATIONS, seed=seed, checkpointInterval=CHECKPOINT_INTERVAL,
+        return C.GBTClassifier(maxIter=GBT_ITERATIONS, seed=seed, checkpointInterval=checkpoint_interval,
                                **common)
     raise ValueError(f"unknown algorithm {algo!r}")
 

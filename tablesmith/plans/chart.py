@@ -25,6 +25,9 @@ class ChartSpec:
     n: int = 0
     group: str | None = None
     bins: int = 20
+    rule: str = "count"                 # histogram: "count" (equal bins), "width" (by the data), "depth" (equal counts)
+    width: int | None = None            # line: the points that draw it on so many pixel columns
+    levels: int | None = None           # scatter: counts in a quad-tree of so many levels
     nulls: str = "zero"
     threshold: float = 0.6
     sample_rows: int | None = None      # chart only the first n rows in `order_by` order
@@ -76,9 +79,17 @@ def chart_data(df: DataFrame, spec: ChartSpec) -> DataFrame:
     if t in ("pie", "doughnut"):
         return ch.category_counts(df, spec.x)
     if t == "histogram":
-        return ch.histogram(df, spec.x, spec.bins, spec.nulls)
+        if spec.rule not in ("count", "width", "depth"):
+            raise ValueError(f"histogram rule must be count, width or depth, not {spec.rule!r}")
+        if spec.rule == "width":
+            return ch.histogram_width_bins(df, spec.x, spec.nulls)
+        return (ch.histogram if spec.rule == "count" else ch.histogram_equal_depth)(df, spec.x, spec.bins, spec.nulls)
     if t == "scatter":
+        if spec.levels is not None:
+            return ch.scatter_tiles(df, spec.x, spec.y, spec.levels, spec.nulls)
         return ch.scatter_points(df, spec.x, spec.y, spec.nulls)
     if t == "line":
+        if spec.width is not None:
+            return ch.line_pixels(df, spec.x, spec.y, spec.width, spec.nulls)
         return ch.line_series(df, spec.x, spec.y, spec.nulls)
     return ch.boxplot(df, spec.x, spec.y, spec.nulls)

@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from tablesmith.functions.columns import is_numeric, orderable, qcol
 from tablesmith.operators import evaluate as ev
 from tablesmith.operators import features as fx
-from tablesmith.operators.train import choose_algorithm, make_estimator
+from tablesmith.operators.train import CHECKPOINT_INTERVAL, choose_algorithm, make_estimator
 from tablesmith.session import ensure_checkpoint_dir
 from tablesmith.sources.sinks import save_model
 
@@ -78,7 +78,8 @@ class Names:
 
 
 def build_stages(numeric: list[str], categorical: list[str], algo: str,
-                 labels: list[str] | None, names: Names, hash_buckets: int | None = None) -> list:
+                 labels: list[str] | None, names: Names, hash_buckets: int | None = None,
+                 checkpoint_interval: int = CHECKPOINT_INTERVAL) -> list:
     """Stages from raw columns to a prediction. The k-th numeric column becomes __n{k}, imputed
     __m{k}; the k-th text column __c{k}, its index __i{k}, its vector __v{k}. With hash_buckets the index is the
     hash bucket, computed in SQL, and no list of levels is kept."""
@@ -105,7 +106,7 @@ def build_stages(numeric: list[str], categorical: list[str], algo: str,
                                     handleInvalid="error" if hash_buckets is None else "keep"))
         inputs += [f"__v{k}" for k in c]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=fx.FEATURES, handleInvalid="keep"))
-    model = make_estimator(algo)
+    model = make_estimator(algo, checkpoint_interval=checkpoint_interval)
     model.setPredictionCol(names.prediction)
     if labels is not None:
         if model.hasParam("rawPredictionCol"):
@@ -153,13 +154,14 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
           threshold: float = fx.CORR_THRESHOLD, split_keys: list[str] | None = None,
           fraction: float = fx.TRAIN_FRACTION, split: str = "hash", nulls: str = "zero",
           max_categories: int | None = None, max_classes: int | None = None,
-          hash_buckets: int | None = None, match: str = "substring",
+          hash_buckets: int | None = None, checkpoint_interval: int = CHECKPOINT_INTERVAL, match: str = "substring",
           save_path: str | None = None, drop_rules: bool = True) -> TrainResult:
     """Fit and evaluate one model; see the module doc for the steps.
 
     Every text column is one-hot encoded with all its levels, which the fitted indexer
     keeps on the driver and in the saved model: name the features, or set `categorical`
     to False, where a table has identifier-like text.
+    Tree learners checkpoint every `checkpoint_interval` iterations (-1: never).
     With `hash_buckets` text columns are encoded by the hash bucket of their value instead:
     driver and model then hold the buckets, not the levels (`features.hash_collisions` tells
     how many values share one); only the caller chooses this. A caller may set limits on
@@ -242,7 +244,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
         raise ValueError("no feature has a value in the training part")
 
     out = Names.beside(df.columns, target)
-    stages = build_stages(num, cat, algo, labels, out, hash_buckets)
+    stages = build_stages(num, cat, algo, labels, out, hash_buckets, checkpoint_interval)
     from pyspark.ml import Pipeline
     model = Pipeline(stages=stages).fit(train_df)
 

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tablesmith.operators import activity as ac
 from tablesmith.queries.common import T
+from tablesmith.session import scratch_path
+from tablesmith.sources import activity_log as al
+from tablesmith.streaming.recent import read_recent_activity, stream_recent_activity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -40,6 +43,18 @@ def recent_activity_per_user(spark, sf):
     return ac.recent_activity_per_user(T(spark, sf, "events"))
 
 
+@q("recent_activity_streamed", ORACLE["recent_activity_per_user"])
+def recent_activity_streamed(spark, sf):
+    """The same rows from three micro-batches, with a restart before the last."""
+    ev = T(spark, sf, "events")
+    land, sink, ckpt = (scratch_path(spark, n) for n in ("recent-land", "recent", "recent-ckpt"))
+    for k in range(3):
+        ev.where(F.pmod("event_id", F.lit(3)) == k).write.parquet(f"{land}/part{k}")
+        if k:
+            stream_recent_activity(spark, f"{land}/*", sink, ckpt, schema=ev.schema).awaitTermination()
+    return read_recent_activity(spark, sink, ev.schema)
+
+
 @q("owner_listing", f"SELECT o_orderkey, o_orderdate, o_totalprice, o_orderstatus FROM orders "
    f"WHERE o_custkey = {USER} ORDER BY o_orderdate DESC, o_orderkey DESC")
 def owner_listing(spark, sf):
@@ -77,3 +92,16 @@ def purge_owner(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@q("purge_log", """SELECT event_id, ts, user_id, event_type, value, props, CAST(ts AS DATE) AS day FROM events
+WHERE user_id IS NULL OR user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 40 = 0 AND user_id IS NOT NULL)""")
+def purge_log(spark, sf):
+    """The log without some owners, only the files that hold them written anew; read again after their deletion."""
+    path = scratch_path(spark, "purge-log")
+    ev = T(spark, sf, "events")
+    for k in range(2):
+        al.append_batch(ev.filter(F.pmod("event_id", F.lit(2)) == k), path, f"load-{k}")
+    al.purge_log(spark, path, "user_id", ev.where("event_type = 'error' AND event_id % 40 = 0").select("user_id"))
+    al.vacuum_log(spark, path)
+    return al.read_log(spark, path).select(*ev.columns, "day")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tablesmith.functions.text import file_extension, split_list
 from tablesmith.operators import charts as ch
 from tablesmith.operators import sorting as so
-from tablesmith.queries.common import (EV_GAPS_SQL, LI_NULLS_SQL, T, events_gaps,
-                                       lineitem_nulls, r6)
+from tablesmith.queries.common import (EV_GAPS_SQL, LI_GAPS_SQL, T, events_gaps,
+                                       lineitem_gaps, r6)
 from tablesmith.queries.tables import EV_COLS, _vote_sql
 
 QUERIES: dict = {}
@@ -32,12 +32,12 @@ def _bar_sql(x, y, agg, rnd=6):
     e = {"count": f"CAST(count({v}) AS DOUBLE)", "sum": f"coalesce(sum({v}), 0.0)",
          "mean": f"avg({v})", "min": f"min({v})", "max": f"max({v})"}[agg]
     return (f"SELECT {KEY_SQL.format(c=x)} AS key, round({e}, {rnd}) AS value "
-            f"FROM {LI_NULLS_SQL} GROUP BY 1")
+            f"FROM {LI_GAPS_SQL} GROUP BY 1")
 
 
 def _bar(agg, rnd=6):
     def run(spark, sf):
-        out = ch.bar(lineitem_nulls(spark, sf), "l_returnflag", "l_extendedprice", agg)
+        out = ch.bar(lineitem_gaps(spark, sf), "l_returnflag", "l_extendedprice", agg)
         return out.select("key", F.round("value", rnd).alias("value"))
     return run
 
@@ -49,22 +49,22 @@ for _agg, _rnd in (("count", 6), ("sum", 2), ("mean", 8), ("min", 6), ("max", 6)
 
 def flagship(spark, sf, n=3):
     """sum(l_extendedprice) per l_returnflag, largest first, top n; NULL keys -> __MISSING__."""
-    out = ch.bar(lineitem_nulls(spark, sf), "l_returnflag", "l_extendedprice", "sum", n)
+    out = ch.bar(lineitem_gaps(spark, sf), "l_returnflag", "l_extendedprice", "sum", n)
     return out.select("key", F.round("value", 2).alias("value"))
 
 
 @q("bar_topn", f"""SELECT key, round(value, 2) AS value FROM (
   SELECT {KEY_SQL.format(c='l_suppkey')} AS key, coalesce(sum(coalesce(l_extendedprice, 0.0)), 0.0) AS value
-  FROM {LI_NULLS_SQL} GROUP BY 1 ORDER BY value DESC, key LIMIT 10)""")
+  FROM {LI_GAPS_SQL} GROUP BY 1 ORDER BY value DESC, key LIMIT 10)""")
 def bar_topn(spark, sf):
-    out = ch.bar(lineitem_nulls(spark, sf), "l_suppkey", "l_extendedprice", "sum", n=10)
+    out = ch.bar(lineitem_gaps(spark, sf), "l_suppkey", "l_extendedprice", "sum", n=10)
     return out.select("key", F.round("value", 2).alias("value"))
 
 
 @q("grouped_bar", f"""SELECT {KEY_SQL.format(c='l_returnflag')} AS key, {KEY_SQL.format(c='l_linestatus')} AS "group",
-  round(coalesce(sum(coalesce(l_quantity, 0.0)), 0.0), 6) AS value FROM {LI_NULLS_SQL} GROUP BY 1, 2""")
+  round(coalesce(sum(coalesce(l_quantity, 0.0)), 0.0), 6) AS value FROM {LI_GAPS_SQL} GROUP BY 1, 2""")
 def grouped_bar(spark, sf):
-    out = ch.grouped_bar(lineitem_nulls(spark, sf), "l_returnflag", "l_linestatus", "l_quantity", "sum")
+    out = ch.grouped_bar(lineitem_gaps(spark, sf), "l_returnflag", "l_linestatus", "l_quantity", "sum")
     return out.select("key", "group", F.round("value", 6).alias("value"))
 
 
@@ -73,7 +73,7 @@ def category_counts(spark, sf):
     return ch.category_counts(events_gaps(spark, sf), "event_type")
 
 
-HIST_SQL = f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_NULLS_SQL}),
+HIST_SQL = f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_GAPS_SQL}),
 r AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
 c AS (SELECT CASE WHEN r.hi = r.lo THEN 0 ELSE least(CAST(floor((v.v - r.lo) / (r.hi - r.lo) * 20) AS BIGINT), 19) END AS bin,
              count(*) AS n FROM v, r GROUP BY 1)
@@ -84,22 +84,22 @@ FROM range(20) b CROSS JOIN r LEFT JOIN c ON c.bin = b.range"""
 
 @q("histogram", HIST_SQL)
 def histogram(spark, sf):
-    h = ch.histogram(lineitem_nulls(spark, sf), "l_extendedprice", bins=20)
+    h = ch.histogram(lineitem_gaps(spark, sf), "l_extendedprice", bins=20)
     return h.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
 
 
 @q("boxplot", f"""SELECT {KEY_SQL.format(c='l_returnflag')} AS key, round(min(v), 6) AS min,
   round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median,
   round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS max
-FROM (SELECT l_returnflag, coalesce(l_quantity, 0.0) AS v FROM {LI_NULLS_SQL}) GROUP BY 1""")
+FROM (SELECT l_returnflag, coalesce(l_quantity, 0.0) AS v FROM {LI_GAPS_SQL}) GROUP BY 1""")
 def boxplot(spark, sf):
-    b = ch.boxplot(lineitem_nulls(spark, sf), "l_returnflag", "l_quantity")
+    b = ch.boxplot(lineitem_gaps(spark, sf), "l_returnflag", "l_quantity")
     return b.select("key", *[r6(F.col(c)).alias(c) for c in ("min", "q1", "median", "q3", "max")])
 
 
-@q("scatter_points", f"SELECT coalesce(l_quantity, 0.0) AS x, coalesce(l_extendedprice, 0.0) AS y FROM {LI_NULLS_SQL}")
+@q("scatter_points", f"SELECT coalesce(l_quantity, 0.0) AS x, coalesce(l_extendedprice, 0.0) AS y FROM {LI_GAPS_SQL}")
 def scatter_points(spark, sf):
-    return ch.scatter_points(lineitem_nulls(spark, sf), "l_quantity", "l_extendedprice")
+    return ch.scatter_points(lineitem_gaps(spark, sf), "l_quantity", "l_extendedprice")
 
 
 @q("line_series", """SELECT row_number() OVER (ORDER BY o_orderdate, coalesce(o_totalprice, 0.0)) - 1 AS pos,
@@ -124,34 +124,34 @@ def line_pixels(spark, sf):
 TILE_LEVELS = 5
 
 
-@q("scatter_tiles", f"""WITH p AS (SELECT coalesce(l_quantity, 0.0) AS x, coalesce(l_extendedprice, 0.0) AS y FROM {LI_NULLS_SQL}),
+@q("scatter_tiles", f"""WITH p AS (SELECT coalesce(l_quantity, 0.0) AS x, coalesce(l_extendedprice, 0.0) AS y FROM {LI_GAPS_SQL}),
 e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
 c AS (SELECT least(floor((x - x0) / (x1 - x0) * {1 << TILE_LEVELS}), {(1 << TILE_LEVELS) - 1})::BIGINT AS ix,
              least(floor((y - y0) / (y1 - y0) * {1 << TILE_LEVELS}), {(1 << TILE_LEVELS) - 1})::BIGINT AS iy FROM p, e)
 SELECT l::INTEGER AS level, ix >> ({TILE_LEVELS} - l) AS ix, iy >> ({TILE_LEVELS} - l) AS iy, count(*) AS n
 FROM c, range({TILE_LEVELS + 1}) AS t(l) GROUP BY ALL""")
 def scatter_tiles(spark, sf):
-    return ch.scatter_tiles(lineitem_nulls(spark, sf), "l_quantity", "l_extendedprice", TILE_LEVELS)
+    return ch.scatter_tiles(lineitem_gaps(spark, sf), "l_quantity", "l_extendedprice", TILE_LEVELS)
 
 
-@q("histogram_width_bins", f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_NULLS_SQL}),
+@q("histogram_width_bins", f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_GAPS_SQL}),
 q AS (SELECT min(v) AS lo, max(v) AS hi, 2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / pow(count(*), 1 / 3.0) AS w FROM v),
 k AS (SELECT *, greatest(1, ceil((hi - lo) / w))::BIGINT AS k FROM q),
 c AS (SELECT least(floor((v - lo) / (hi - lo) * k)::BIGINT, k - 1) AS bin, count(*) AS n FROM v, k GROUP BY 1)
 SELECT b.bin, round(lo + b.bin * (hi - lo) / k, 6) AS lo, round(lo + (b.bin + 1) * (hi - lo) / k, 6) AS hi, coalesce(c.n, 0) AS n
 FROM (SELECT lo, hi, k, unnest(range(k)) AS bin FROM k) b LEFT JOIN c ON c.bin = b.bin""")
 def histogram_width_bins(spark, sf):
-    h = ch.histogram_width_bins(lineitem_nulls(spark, sf), "l_extendedprice")
+    h = ch.histogram_width_bins(lineitem_gaps(spark, sf), "l_extendedprice")
     return h.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
 
 
-@q("histogram_equal_depth", f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_NULLS_SQL}),
+@q("histogram_equal_depth", f"""WITH v AS (SELECT coalesce(l_extendedprice, 0.0) AS v FROM {LI_GAPS_SQL}),
 e AS (SELECT list_sort(list_distinct(quantile_cont(v, [i / 12.0 FOR i IN range(13)]))) AS e FROM v),
 b AS (SELECT unnest(range(len(e) - 1)) AS bin, e FROM e),
 c AS (SELECT len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS bin, count(*) AS n FROM v, e GROUP BY 1)
 SELECT b.bin::BIGINT AS bin, round(e[b.bin + 1], 6) AS lo, round(e[b.bin + 2], 6) AS hi, coalesce(c.n, 0) AS n FROM b LEFT JOIN c ON c.bin = b.bin""")
 def histogram_equal_depth(spark, sf):
-    h = ch.histogram_equal_depth(lineitem_nulls(spark, sf), "l_extendedprice", 12)
+    h = ch.histogram_equal_depth(lineitem_gaps(spark, sf), "l_extendedprice", 12)
     return h.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
 
 

@@ -42,6 +42,21 @@ LI_NULLS_SQL = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
   l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem)"""
 
 
+# the same with NaN too, which charts and correlations take for missing: quantity at every
+# 11th order key, extended price at every 13th.
+def lineitem_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    li = lineitem_nulls(spark, sf)
+    k, nan = F.col("l_orderkey"), F.lit(float("nan"))
+    return li.withColumn("l_quantity", F.when(k % 11 == 0, nan).otherwise(F.col("l_quantity"))) \
+             .withColumn("l_extendedprice", F.when(k % 13 == 0, nan).otherwise(F.col("l_extendedprice")))
+
+
+LI_GAPS_SQL = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
+  CASE WHEN l_orderkey % 5 = 0 OR l_orderkey % 13 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice,
+  l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem)"""
+
+
 # events with missing and blank categories for the __MISSING__ bucket.
 def events_gaps(spark: SparkSession, sf: str) -> DataFrame:
     ev = T(spark, sf, "events")

@@ -100,8 +100,8 @@ def index_categorical(spark, sf):
 FROM part JOIN {_rank_sql('part', 'p_type')} t ON p_type = t.v""")
 def one_hot(spark, sf):
     _, idx = fx.index_categorical(T(spark, sf, "part"), ["p_type"])
-    enc, df = fx.one_hot(idx, ["p_type_idx"])
-    return fx.one_hot_long(df, "p_type_idx", enc.categorySizes[0], ["p_partkey"], "p_type")
+    _, df = fx.one_hot(idx, ["p_type_idx"])
+    return fx.one_hot_long(df, "p_type_vec", ["p_partkey"], "p_type")
 
 
 @q("assemble_features", f"""SELECT p_partkey, 0 AS slot, 'p_size' AS feature, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size <> 0
@@ -121,8 +121,8 @@ def assemble_features(spark, sf):
        THEN 'train' ELSE 'test' END AS part FROM orders""")
 def train_test_split(spark, sf):
     o = T(spark, sf, "orders").select("o_orderkey")
-    return o.select("o_orderkey", F.when(fx.split_flag(["o_orderkey"], 0.8), F.lit("train"))
-                    .otherwise(F.lit("test")).alias("part"))
+    fit, test = fx.train_test_split(o, ["o_orderkey"], 0.8)
+    return fit.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
 # ---------------------------------------------------------------- 2.I training

@@ -9,9 +9,9 @@ from tablesmith.operators import filters as fl
 from tablesmith.operators import profile as pr
 from tablesmith.operators import schema as sc
 from tablesmith.operators.corr import corr_matrix, corr_pairs, corr_with_target
-from tablesmith.queries.common import (EV_GAPS_SQL, LI_COLS, LI_NULLS_SQL, LI_NUMERIC,
+from tablesmith.queries.common import (EV_GAPS_SQL, LI_COLS, LI_GAPS_SQL, LI_NULLS_SQL, LI_NUMERIC,
                                        PART_DROPS_COLS, PART_DROPS_SQL, T, corr_sql,
-                                       lineitem_nulls, part_drops, profile_sql, r6, union_all)
+                                       lineitem_gaps, lineitem_nulls, part_drops, profile_sql, r6, union_all)
 from tablesmith.session import scratch_path
 from tablesmith.sources import activity_log as al
 from tablesmith.sources import csv_checked as cc
@@ -261,9 +261,9 @@ def fillna_blank(spark, sf):
 
 
 @q("filter_numeric_pairs", f"SELECT coalesce(l_quantity, 0.0) AS l_quantity, "
-   f"coalesce(l_extendedprice, 0.0) AS l_extendedprice FROM {LI_NULLS_SQL}")
+   f"coalesce(l_extendedprice, 0.0) AS l_extendedprice FROM {LI_GAPS_SQL}")
 def filter_numeric_pairs(spark, sf):
-    return fl.filter_numeric_pairs(lineitem_nulls(spark, sf), "l_quantity", "l_extendedprice")
+    return fl.filter_numeric_pairs(lineitem_gaps(spark, sf), "l_quantity", "l_extendedprice")
 
 
 @q("exclude_id_like", "SELECT ts, event_type, value, props FROM events")
@@ -336,17 +336,17 @@ def drop_empty_constant(spark, sf):
 LI_PAIRS = [(LI_NUMERIC[i], LI_NUMERIC[j]) for i in range(len(LI_NUMERIC)) for j in range(i + 1, len(LI_NUMERIC))]
 
 
-@q("corr_pairs", union_all([f"SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b, LI_NULLS_SQL)} AS r FROM {LI_NULLS_SQL}"
+@q("corr_pairs", union_all([f"SELECT '{a}' AS a, '{b}' AS b, {corr_sql(a, b, LI_GAPS_SQL)} AS r FROM {LI_GAPS_SQL}"
                             for a, b in LI_PAIRS]))
 def q_corr_pairs(spark, sf):
-    return corr_pairs(lineitem_nulls(spark, sf), max_cols=12, nulls="zero").select("a", "b", r6(F.col("r")).alias("r"))
+    return corr_pairs(lineitem_gaps(spark, sf), max_cols=12, nulls="zero").select("a", "b", r6(F.col("r")).alias("r"))
 
 
 @q("corr_with_target", union_all([
-    f"SELECT '{a}' AS feature, {corr_sql(a, 'l_extendedprice', LI_NULLS_SQL)} AS r FROM {LI_NULLS_SQL}"
+    f"SELECT '{a}' AS feature, {corr_sql(a, 'l_extendedprice', LI_GAPS_SQL)} AS r FROM {LI_GAPS_SQL}"
     for a in LI_NUMERIC if a != "l_extendedprice"]))
 def q_corr_with_target(spark, sf):
-    return corr_with_target(lineitem_nulls(spark, sf), "l_extendedprice", nulls="zero").select(
+    return corr_with_target(lineitem_gaps(spark, sf), "l_extendedprice", nulls="zero").select(
         "feature", r6(F.col("r")).alias("r"))
 
 
@@ -359,18 +359,18 @@ def _matrix_sql(nulls):
             else:
                 n = f"count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END)"
             parts.append(f"SELECT '{a}' AS x, '{b}' AS y, CASE WHEN {n} < 2 THEN 0.0 ELSE "
-                         f"{corr_sql(a, b, LI_NULLS_SQL, nulls)} END AS r FROM {LI_NULLS_SQL}")
+                         f"{corr_sql(a, b, LI_GAPS_SQL, nulls)} END AS r FROM {LI_GAPS_SQL}")
     return union_all(parts)
 
 
 @q("corr_matrix", _matrix_sql("zero"))
 def q_corr_matrix(spark, sf):
-    return corr_matrix(lineitem_nulls(spark, sf), LI_NUMERIC, nulls="zero").select("x", "y", r6(F.col("r")).alias("r"))
+    return corr_matrix(lineitem_gaps(spark, sf), LI_NUMERIC, nulls="zero").select("x", "y", r6(F.col("r")).alias("r"))
 
 
 @q("corr_matrix_pairwise", _matrix_sql("pairwise"))
 def q_corr_matrix_pairwise(spark, sf):
-    return corr_matrix(lineitem_nulls(spark, sf), LI_NUMERIC, nulls="pairwise").select(
+    return corr_matrix(lineitem_gaps(spark, sf), LI_NUMERIC, nulls="pairwise").select(
         "x", "y", r6(F.col("r")).alias("r"))
 
 

@@ -82,3 +82,13 @@ def test_histogram_with_known_range(spark):
     a = [tuple(r) for r in ch.histogram(df, "v", bins=5).orderBy("bin").collect()]
     b = [tuple(r) for r in ch.histogram(df, "v", bins=5, value_range=(0.0, 99.0)).orderBy("bin").collect()]
     assert a == b
+
+
+def test_chart_reductions_through_the_spec(spark):
+    df = spark.range(500).select(F.col("id").cast("double").alias("x"), (F.col("id") % 17).cast("double").alias("y"))
+    assert chart_data(df, ChartSpec("line", x="x", y="y", width=10)).count() <= 40
+    assert chart_data(df, ChartSpec("scatter", x="x", y="y", levels=2)).where("level = 0").first()["n"] == 500
+    assert [r["n"] for r in chart_data(df, ChartSpec("histogram", x="x", bins=5, rule="depth")).orderBy("bin").collect()] == [100] * 5
+    assert chart_data(df, ChartSpec("histogram", x="x", rule="width")).agg(F.sum("n")).first()[0] == 500
+    with pytest.raises(ValueError):
+        chart_data(df, ChartSpec("histogram", x="x", rule="other"))

@@ -164,7 +164,7 @@ def test_one_hot_long_agrees_with_vector(spark):
     df = spark.createDataFrame([(i, ["a", "b", "c", "a"][i % 4]) for i in range(40)], "k int, c string")
     _, idx = fx.index_categorical(df, ["c"])
     enc, vec = fx.one_hot(idx, ["c_idx"])
-    long = {(r["k"], r["slot"]) for r in fx.one_hot_long(vec, "c_idx", enc.categorySizes[0], ["k"]).collect()}
+    long = {(r["k"], r["slot"]) for r in fx.one_hot_long(vec, "c_vec", ["k"]).collect()}
     from pyspark.ml.functions import vector_to_array
     dense = {(r["k"], i) for r in vec.select("k", vector_to_array("c_vec").alias("v")).collect()
              for i, x in enumerate(r["v"]) if x == 1.0}
