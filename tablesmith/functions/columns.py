@@ -25,10 +25,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
-def string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
-
-
 def orderable(dt: T.DataType) -> bool:
     """Types with min/max (maps and variants are not ordered)."""
     if isinstance(dt, T.MapType):

@@ -23,7 +23,8 @@ def js_number(c, dtype: T.DataType | None = None, nulls: str = "zero") -> Column
     """Browser `Number(v)` semantics as a double Column.
 
     Blank or whitespace text becomes 0, decimal text is parsed, anything else is NULL
-    (dropped by aggregates). A SQL NULL was shown to the browser as '' and so also becomes
+    (dropped by aggregates). The browser also reads "Infinity" and hexadecimal text such as
+    "0x10" as numbers; here they are text and dropped. A SQL NULL was shown to the browser as '' and so also becomes
     0 with ``nulls="zero"``; ``nulls="skip"`` keeps it NULL. Numeric and boolean columns
     need no parsing; their NaN is a missing value like NULL.
     """

@@ -19,8 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              infer: bool = True, sampling_ratio: float = 1.0) -> DataFrame:
     """CSV with a header row. Inference costs one extra pass over the input (or over a
-    `sampling_ratio` share of it), so pass `schema` when it is known and reuse one
-    inferred schema across reads (`infer_schema_once`)."""
+    `sampling_ratio` share of it), so pass `schema` when it is known.
+    `csv_checked.scan_csv_checked` infers by one aggregation and keeps broken lines."""
     r = spark.read.option("header", True)
     if schema is not None:
         r = r.schema(schema)
@@ -44,12 +44,3 @@ def scan_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | No
 def scan_sample(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     """First n rows in a stated order (a bare limit is not deterministic)."""
     return df.orderBy(*[qcol(c).asc() for c in order_by]).limit(int(n))
-
-
-def infer_schema_once(spark: SparkSession, path: str) -> T.StructType:
-    """Infer a CSV schema once so later reads skip the inference pass."""
-    return scan_csv(spark, path).schema
-
-
-def with_day(df: DataFrame, ts: str = "ts") -> DataFrame:
-    return df.withColumn("day", F.to_date(qcol(ts)))
