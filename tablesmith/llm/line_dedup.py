@@ -100,7 +100,7 @@ def _windows(base: DataFrame, min_lines: int) -> DataFrame:
     starts = F.filter(starts, lambda i: F.array_contains(F.slice("w", i + 1, min_lines), True))
     keys = F.transform(starts, lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice("a", i + 1, min_lines)).alias("k1"),
                                                   F.xxhash64(F.slice("b", i + 1, min_lines)).alias("k2")))
-    return d.select("doc_id", "th", keys.alias("windows")).where(F.size("windows") > 0)
+    return d.select("doc_id", "th", keys.alias("windows"))  # no filter on it: that would repeat all of the above
 
 
 def _inside(i: Column, chunks: Column, min_lines: int) -> Column:
