@@ -224,8 +224,8 @@ def scatter_tiles(df: DataFrame, x: str, y: str, levels: int = 6, nulls: str = "
 def histogram_width_bins(df: DataFrame, x: str, nulls: str = "zero", max_bins: int | None = None) -> DataFrame:
     """The histogram whose bin width follows the data (Freedman-Diaconis): (bin, lo, hi, n).
 
-    Width 2 IQR / n^(1/3) from the exact quartiles; ceil((max - min) / width) equal bins, one
-    when the quartiles or the ends coincide. `max_bins` is a limit only the caller sets.
+    Width 2 IQR / n^(1/3) from the exact quartiles; ceil((max - min) / width) equal bins, as many
+    as values at most, one when the quartiles or the ends coincide. `max_bins` is a limit only the caller sets.
     """
     from tablesmith.operators.quantiles import column_quantiles
     vals = df.select(value_of(df, x, nulls).alias("v")).where("v is not null and not isnan(v)")
@@ -233,7 +233,7 @@ def histogram_width_bins(df: DataFrame, x: str, nulls: str = "zero", max_bins: i
     if not r.n:
         return histogram(vals, "v", 1, nulls="skip")
     width = 2 * (r.q[1] - r.q[0]) / r.n ** (1 / 3)
-    bins = max(1, math.ceil((r["max"] - r["min"]) / width)) if width > 0 else 1
+    bins = min(r.n, max(1, math.ceil((r["max"] - r["min"]) / width))) if width > 0 else 1
     return histogram(vals, "v", min(bins, max_bins) if max_bins else bins, nulls="skip", value_range=(r["min"], r["max"]))
 
 

@@ -14,7 +14,8 @@ each load (smallest and largest owner and a bitmap of hashed owners for each fil
 files out, a read of the owner column alone finds the files that do hold one, and one commit
 adds the rows they keep and names them as removed. All other files stay as they are.
 
-Any file system that Spark writes to will do; commit files appear by rename. One commit
+Writers may meet: of two compactions or purges that read the same batches the first counts,
+and the other one raises. Any file system that Spark writes to will do; commit files appear by rename. One commit
 row for each live batch comes to the driver, which `compact_log` keeps few.
 """
 
@@ -73,18 +74,41 @@ def _file(batch_id: str) -> str:
     return f"commits/{batch_id}.json"
 
 
+COMMIT = ("batch string, load string, covers array<string>, replaces array<string>, touches array<string>, "
+          "removes array<string>, schema string, made long")
+
+
+def _live(rows: list[dict]) -> list[dict]:
+    """The commits that count, in order.
+
+    A compaction or purge counts only if what it read was still so when it was committed: the
+    batches it replaces or takes files from, the files it removes, and, for a compaction, all
+    purges of the batches it replaces. Of two that met, the first counts. Commits that are
+    gone (`vacuum_log`) are not asked for.
+    """
+    known, live, removed = {r["batch"] for r in rows}, {}, set()
+    for r in sorted(rows, key=lambda r: (r["made"], r["batch"])):
+        replaces, touches, removes = (set(r[k] or []) for k in ("replaces", "touches", "removes"))
+        unseen = {b for b, c in live.items() if set(c["touches"] or []) & replaces} - replaces
+        if any(b in known and b not in live for b in replaces | touches) or removes & removed or unseen:
+            continue
+        for b in replaces:
+            live.pop(b, None)
+        removed |= removes
+        live[r["batch"]] = r
+    return list(live.values())
+
+
 def commits(spark: SparkSession, path: str) -> list[dict]:
-    """The commits that count: those that no compaction covers."""
+    """The commits that count."""
     folder = _Folder(spark, path)
     if not any(n.endswith(".json") for n in folder.names("commits")):
         return []
-    rows = spark.read.schema("batch string, load string, covers array<string>, removes array<string>, schema string, made long").option(
-        "pathGlobFilter", "*.json").json(f"{folder.path}/commits").where("load is not null").collect()
-    covered = {b for r in rows for b in r.covers or []}
-    return sorted((r.asDict() for r in rows if r.batch not in covered), key=lambda r: (r["made"], r["batch"]))
+    rows = spark.read.schema(COMMIT).option("pathGlobFilter", "*.json").json(f"{folder.path}/commits").where("load is not null").collect()
+    return _live([r.asDict() for r in rows])
 
 
-def _write(df: DataFrame, path: str, batch_id: str, files_per_day: int, covers: list[str], removes: list[str] | None = None) -> None:
+def _write(df: DataFrame, path: str, batch_id: str, files_per_day: int, **more) -> None:
     spark = df.sparkSession
     folder = _Folder(spark, path)
     load = f"{batch_id}-{uuid.uuid4().hex[:12]}"
@@ -93,7 +117,9 @@ def _write(df: DataFrame, path: str, batch_id: str, files_per_day: int, covers:
     out = df.repartition(F.col("day"), bucket)
     out.write.partitionBy("day").parquet(f"{folder.path}/data/{LOAD}={load}")
     made = max([c["made"] for c in commits(spark, path)], default=0) + 1
-    folder.write(_file(batch_id), json.dumps({"batch": batch_id, "load": load, "covers": covers, "removes": removes or [], "schema": df.schema.json(), "made": made}))
+    folder.write(_file(batch_id), json.dumps({"batch": batch_id, "load": load, "schema": df.schema.json(), "made": made, **more}))
+    if more and batch_id not in {c["batch"] for c in commits(spark, path)}:
+        raise RuntimeError(f"{batch_id} met another compaction or purge of the same batches, which was first; run it again")
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str, ts: str = "ts", files_per_day: int = 1) -> bool:
@@ -108,7 +134,7 @@ def append_batch(df: DataFrame, path: str, batch_id: str, ts: str = "ts", files_
     folder = _Folder(spark, path)
     if folder.exists(_file(batch_id)) or any(batch_id in (c["covers"] or []) for c in commits(spark, path)):
         return False
-    _write(df.withColumn("day", F.to_date(qcol(ts))), path, batch_id, files_per_day, [])
+    _write(df.withColumn("day", F.to_date(qcol(ts))), path, batch_id, files_per_day)
     return True
 
 
@@ -181,7 +207,9 @@ def purge_log(spark: SparkSession, path: str, owner: str, ids: DataFrame, files_
         return []
     rows = _read(spark, path, live, touched)
     kept = rows.join(wanted, qcol(owner) == F.col("id"), "left_anti")
-    _write(kept, path, f"purge-{uuid.uuid4().hex[:12]}", files_per_day, [], touched)
+    loads = {f.split("/")[0].removeprefix(f"{LOAD}=") for f in touched}
+    _write(kept, path, f"purge-{uuid.uuid4().hex[:12]}", files_per_day, removes=touched,
+           touches=[c["batch"] for c in live if c["load"] in loads])
     return touched
 
 
@@ -192,7 +220,7 @@ def compact_log(spark: SparkSession, path: str, files_per_day: int = 1) -> str |
         return None
     batch_id = f"compact-{uuid.uuid4().hex[:12]}"
     covers = [b for c in live for b in [c["batch"], *(c["covers"] or [])]]
-    _write(read_log(spark, path), path, batch_id, files_per_day, covers)
+    _write(read_log(spark, path), path, batch_id, files_per_day, covers=covers, replaces=[c["batch"] for c in live])
     return batch_id
 
 

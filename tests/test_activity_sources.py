@@ -210,3 +210,21 @@ def test_streamed_recent_activity_equals_the_batch_query(spark):
     stream_recent_activity(spark, land + "/*", sink, ckpt, schema=ev.schema, k=6, max_files=1).awaitTermination(300)
     got = read_recent_activity(spark, sink, ev.schema)
     assert _rows(got.select(*ev.columns, F.col("rank").cast("int"))) == _rows(ac.recent_activity_per_user(ev, 6))
+
+
+def test_of_two_rewrites_that_met_the_first_counts():
+    from tablesmith.sources.activity_log import _live
+    def commit(batch, made, **more):
+        return {"batch": batch, "load": f"{batch}-x", "covers": None, "replaces": None, "touches": None, "removes": None, "made": made, **more}
+    a, b = commit("a", 1), commit("b", 2)
+    names = lambda *rows: [c["batch"] for c in _live(list(rows))]
+    c1, c2 = commit("compact-1", 3, replaces=["a", "b"]), commit("compact-2", 3, replaces=["a", "b"])
+    assert names(a, b, c1, c2) == ["compact-1"]
+    p1, p2 = commit("purge-1", 3, touches=["a"], removes=["f1"]), commit("purge-2", 3, touches=["a"], removes=["f1", "f2"])
+    assert names(a, b, p1, p2) == ["a", "b", "purge-1"]
+    assert names(a, b, p1, commit("purge-3", 4, touches=["a"], removes=["f3"])) == ["a", "b", "purge-1", "purge-3"]
+    assert names(a, b, p1, commit("compact-3", 4, replaces=["a", "b"])) == ["a", "b", "purge-1"]  # it has not seen the purge
+    assert names(a, b, p1, commit("compact-4", 4, replaces=["a", "b", "purge-1"])) == ["compact-4"]
+    assert names(a, b, c1, commit("purge-4", 4, touches=["a"], removes=["f1"])) == ["compact-1"]
+    assert names(c1) == ["compact-1"]  # what it replaced has been vacuumed
+    assert names(a, b, c1, commit("late", 3)) == ["compact-1", "late"]
