@@ -216,3 +216,14 @@ def test_comoment_tree_merges_many_partitions(spark, monkeypatch):
     df = spark.range(400, numPartitions=40).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("b"))
     r = cm.pearson_from_moments(cm.pair_moments(df, ["a", "b"])).where("i = 0 and j = 1").first()["r"]
     assert r == pytest.approx(df.select(F.corr("a", "b")).first()[0], abs=1e-12)
+
+
+def test_ranges_are_even_and_follow_the_size(spark):
+    """Ranges of many different scores hold about as many rows each, so windows over them have even tasks."""
+    from tablesmith.operators.ranks import cut_points, range_of
+    df = spark.range(400_000).select((F.hash("id") / 7919.0).alias("s"))
+    for per_range, least in ((4_000, 90), (20_000, 18)):
+        cuts = cut_points(df, "s", per_range)
+        sizes = sorted(r["count"] for r in range_of(df, "s", cuts, "r").groupBy("r").count().collect())
+        assert len(sizes) >= least and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    assert cut_points(df.limit(10), "s") == []
