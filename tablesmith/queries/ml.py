@@ -232,7 +232,7 @@ def fit_logistic_regression(spark, sf):
 def _bands(spark, sf, table, key, source, algo):
     zone = F.col(source) % 4
     d = T(spark, sf, table).select(key, zone.alias("zone"), F.when(zone == 1, "high").when(
-        zone == 3, "high" if algo == "GBTClassifier" else "middle").otherwise("low").alias("band"))
+        zone == 3, "middle").otherwise("low").alias("band"))
     return train(d, "band", mode="C", features="zone", algorithm=algo, categorical=False, split_keys=[key])
 
 
@@ -247,10 +247,17 @@ def fit_rf_classifier(spark, sf):
     return res.predictions.select("c_custkey", "band", "predicted_band")
 
 
-@q("fit_gbt_classifier", _bands_sql("labels", "doc_id", "doc_id", "high"))
+@q("fit_gbt_classifier", """WITH s AS (SELECT doc_id, quality, regexp_matches(coalesce(text, ''), '[#$%&*|<>]')::INT AS marked,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 1000 < 800 AS in_train FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT marked, (avg(quality) > 0.5)::INT::VARCHAR AS predicted_quality FROM s WHERE in_train GROUP BY marked)
+SELECT doc_id, quality, predicted_quality FROM s JOIN m USING (marked) WHERE NOT in_train""")
 def fit_gbt_classifier(spark, sf):
-    res = _bands(spark, sf, "labels", "doc_id", "doc_id", "GBTClassifier")
-    return res.predictions.select("doc_id", "band", "predicted_band")
+    """Labelled quality from whether a text holds marks: what most training documents of its kind have."""
+    marked = F.coalesce(F.col("text"), F.lit("")).rlike("[#$%&*|<>]").cast("int").alias("marked")
+    d = T(spark, sf, "documents").select("doc_id", marked).join(T(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    res = train(d, "quality", mode="C", task="classification", features="marked", algorithm="GBTClassifier", categorical=False,
+                split_keys=["doc_id"])
+    return res.predictions.select("doc_id", "quality", "predicted_quality")
 
 
 @q("fit_pipeline", LINE_TERMS_SQL)
