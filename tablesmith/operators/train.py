@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tablesmith.functions.columns import is_numeric, qcol
 from tablesmith.operators.features import FEATURES, LABEL, SEED
 
 # Fixed values that must equal the reference's.
@@ -13,6 +14,8 @@ LOGISTIC_ITERATIONS = 50
 # Tree learners cache node ids and checkpoint them (to spark.checkpoint.dir) every few
 # iterations, so a lost executor re-runs a short lineage, not the whole fit.
 CHECKPOINT_INTERVAL = 10
+# What a task of a tree learner may read of the rows it keeps for its iterations, about.
+TASK_BYTES = 64 << 20
 
 REGRESSORS = ("LinearRegression", "RandomForestRegressor", "GBTRegressor")
 CLASSIFIERS = ("LogisticRegression", "RandomForestClassifier", "GBTClassifier")
@@ -56,6 +59,31 @@ def make_estimator(algo: str, features: str = FEATURES, label: str = LABEL, seed
     raise ValueError(f"unknown algorithm {algo!r}")
 
 
+def kept_row_bytes(estimator, slots: int) -> int:
+    """About the bytes an iteration of a tree learner reads for one row (measured for 100 trees); 0 for other learners.
+
+    For every tree a row has a sample count and a node id, which is read once more when it is renewed;
+    its slots are binned to one int each.
+    """
+    if not estimator.hasParam("maxBins"):
+        return 0
+    trees = estimator.getNumTrees() if estimator.hasParam("numTrees") else 1
+    return 12 * trees + 4 * slots + 250
+
+
+def spread(df: DataFrame, cols: list[str], rows: int, row_bytes: int) -> DataFrame:
+    """`cols` and the label in parts of at most TASK_BYTES (for at most `rows` rows); a small table stays as it is.
+
+    Tree learners keep a table as it is dealt out, and a small file with many rows is one task's. Rows are dealt
+    evenly whatever they hold, and ordered by their values: tree learners sample by part and place, so reruns agree.
+    """
+    parts = -(-rows * row_bytes // TASK_BYTES)
+    if parts <= 1:
+        return df
+    order = [qcol(c) if is_numeric(df.schema[c].dataType) else qcol(c).cast("string") for c in (LABEL, *cols)]
+    return df.select(LABEL, *[qcol(c) for c in cols]).repartition(parts).sortWithinPartitions(*order)
+
+
 def fit_pipeline(stages: list, df: DataFrame):
     """Fit a stage list on a table -> PipelineModel."""
     from pyspark.ml import Pipeline

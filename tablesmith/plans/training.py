@@ -5,7 +5,8 @@ sits inside one PipelineModel fitted on the training part only, so the saved mod
 scores raw tables. Passes over the data: one profile aggregation (drop rules, plus
 approximate level counts for categorical columns and a classification target), label
 index (classification), correlation selection (mode B), an all-null guard on the
-training part, the fit itself, and the metric aggregations over the persisted
+training part, the fitted preparation, the fit of the learner (tree learners get the training
+rows dealt into parts of bounded size), and the metric aggregations over the persisted
 (label, prediction, score) columns of the test part.
 """
 
@@ -17,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (Imputer, IndexToString, OneHotEncoder, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -24,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from tablesmith.functions.columns import is_numeric, orderable, qcol
 from tablesmith.operators import evaluate as ev
 from tablesmith.operators import features as fx
-from tablesmith.operators.train import CHECKPOINT_INTERVAL, choose_algorithm, make_estimator
+from tablesmith.operators.train import CHECKPOINT_INTERVAL, choose_algorithm, kept_row_bytes, make_estimator, spread
 from tablesmith.session import ensure_checkpoint_dir
 from tablesmith.sources.sinks import save_model
 
@@ -128,8 +130,8 @@ def source_slots(slots: list[str], numeric: list[str], categorical: list[str]) -
     return out
 
 
-def _profile_pass(df: DataFrame, approx_cols: list[str]) -> tuple[dict, dict]:
-    """One aggregation -> ({column: 'empty' | 'constant' | None}, {column: approx levels})."""
+def _profile_pass(df: DataFrame, approx_cols: list[str]) -> tuple[dict, dict, int]:
+    """One aggregation -> ({column: 'empty' | 'constant' | None}, {column: approx levels}, rows)."""
     exprs = [F.count(F.lit(1)).alias("rows")]
     fields = list(enumerate(df.schema.fields))
     for i, f in fields:
@@ -146,7 +148,7 @@ def _profile_pass(df: DataFrame, approx_cols: list[str]) -> tuple[dict, dict]:
             "constant" if row[f"s{i}"] and nonnull == row["rows"] else None)
         if f"d{i}" in row:
             levels[f.name] = row[f"d{i}"]
-    return reasons, levels
+    return reasons, levels, row["rows"]
 
 
 def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
@@ -181,7 +183,7 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
         if (categorical and max_categories is not None) else []
     if task == "classification" and max_classes is not None and target not in approx:
         approx.append(target)
-    reasons, levels = _profile_pass(df, approx)
+    reasons, levels, n_rows = _profile_pass(df, approx)
     if drop_rules:
         df = df.drop(*[c for c, r in reasons.items() if r])
         if target not in df.columns:
@@ -245,8 +247,11 @@ def train(df: DataFrame, target: str, mode: str = "B", task: str | None = None,
 
     out = Names.beside(df.columns, target)
     stages = build_stages(num, cat, algo, labels, out, hash_buckets, checkpoint_interval)
-    from pyspark.ml import Pipeline
-    model = Pipeline(stages=stages).fit(train_df)
+    at = len(stages) - (1 if labels is None else 2)  # the learner
+    prepared = Pipeline(stages=stages[:at]).fit(train_df)
+    slots = len(ev.slot_names(prepared.transform(train_df), fx.FEATURES))
+    dealt = spread(train_df, num + cat, n_rows, kept_row_bytes(stages[at], slots))
+    model = PipelineModel([*prepared.stages, stages[at].fit(prepared.transform(dealt)), *stages[at + 1:]])
 
     preds = model.transform(test_df)
     names = source_slots(ev.slot_names(preds, fx.FEATURES), num, cat)

@@ -258,3 +258,24 @@ def test_sql_and_column_form_of_the_hash_agree(spark):
     stage = build_stages([], [c], "LinearRegression", None, Names.beside(df.columns, "y"), 97)[0]
     out = stage.transform(df).select("__i0", fx.hash_bucket(c, 97).cast("double").alias("b")).collect()
     assert all(r["__i0"] == r["b"] for r in out)
+
+
+@pytest.mark.parametrize("algorithm", ["RandomForestRegressor"])
+def test_forest_rows_are_dealt_into_bounded_parts(spark, monkeypatch, algorithm):
+    """A file read by one task must not put all training rows into one part; all rows are learnt, reruns agree."""
+    from pyspark.ml import classification, regression
+    from tablesmith.operators import train as ops
+    kind = getattr(regression, algorithm, None) or getattr(classification, algorithm)
+    seen, fit = [], kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, d: (seen.append(
+        [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]), fit(self, d))[1])
+    monkeypatch.setattr(ops, "RF_TREES", 5)
+    monkeypatch.setattr(ops, "TASK_BYTES", 64 << 10, raising=False)  # about 200 rows
+    k = F.col("id") % 4
+    df = spark.range(0, 2000, 1, 1).select(F.col("id").alias("row_id"), k.alias("x"), F.when(F.col("id") % 3 > 0, "b").alias("c"),
+                                           (k * 10.0).alias("y") if "Regressor" in algorithm else F.concat(F.lit("l"), k).alias("y"))
+    res = [train(df, "y", mode="C", features="x,c", algorithm=algorithm, split_keys=["row_id"]) for _ in range(2)]
+    assert sum(seen[0]) == df.filter(fx.split_flag(["row_id"])).count()
+    assert len(seen[0]) > 5 and max(seen[0]) <= 250
+    trees = [r.model.stages[-1 if r.labels is None else -2].toDebugString.split("\n", 1)[1] for r in res]
+    assert trees[0] == trees[1]
