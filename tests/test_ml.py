@@ -260,7 +260,7 @@ def test_sql_and_column_form_of_the_hash_agree(spark):
     assert all(r["__i0"] == r["b"] for r in out)
 
 
-@pytest.mark.parametrize("algorithm", ["RandomForestRegressor"])
+@pytest.mark.parametrize("algorithm", ["RandomForestRegressor", "RandomForestClassifier"])
 def test_forest_rows_are_dealt_into_bounded_parts(spark, monkeypatch, algorithm):
     """A file read by one task must not put all training rows into one part; all rows are learnt, reruns agree."""
     from pyspark.ml import classification, regression
