@@ -279,3 +279,23 @@ def test_forest_rows_are_dealt_into_bounded_parts(spark, monkeypatch, algorithm)
     assert len(seen[0]) > 5 and max(seen[0]) <= 250
     trees = [r.model.stages[-1 if r.labels is None else -2].toDebugString.split("\n", 1)[1] for r in res]
     assert trees[0] == trees[1]
+
+
+@pytest.mark.parametrize("algorithm", ["GBTRegressor", "GBTClassifier"])
+def test_boosted_rows_are_dealt_into_bounded_parts(spark, monkeypatch, algorithm):
+    """The other tree learners of train() share the forests' step: no part grows with the table, no row is lost."""
+    from pyspark.ml import classification, regression
+    from tablesmith.operators import train as ops
+    kind = getattr(regression, algorithm, None) or getattr(classification, algorithm)
+    seen, fit = [], kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, d: (seen.append(
+        [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]), fit(self, d))[1])
+    monkeypatch.setattr(ops, "GBT_ITERATIONS", 2)
+    monkeypatch.setattr(ops, "TASK_BYTES", 64 << 10, raising=False)  # about 250 rows
+    for rows in (1000, 4000):
+        k = F.col("id") % 2
+        df = spark.range(0, rows, 1, 1).select(F.col("id").alias("row_id"), k.alias("x"), F.when(F.col("id") % 3 > 0, "b").alias("c"),
+                                               (k * 10.0).alias("y") if "Regressor" in algorithm else F.concat(F.lit("l"), k).alias("y"))
+        train(df, "y", mode="C", features="x,c", algorithm=algorithm, split_keys=["row_id"])
+        assert sum(seen[-1]) == df.filter(fx.split_flag(["row_id"])).count()
+        assert max(seen[-1]) <= 250
